@@ -44,8 +44,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return later.groupBy("at.doc_id", "at.mark").agg(F.sort_array(F.collect_set("at.line")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id, n_lines, n_removed, n_spans and the text that is left, one row per input row.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Return doc_id, n_lines, n_removed, n_spans, the text that is left and the columns in ``carry``, one row per input row.
 
     * lines end at ``\\n``; a null text stays null and has no lines;
     * texts under three lines are never touched; an empty text is one empty line;
@@ -55,7 +55,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
       order of their texts' hashes; a null doc_id comes first;
     * a document whose lines all go keeps its row, with an empty text.
     """
-    rows = _lines(docs, doc_id=id_col, text=text_col)
+    more = {f"carry{i}": c for i, c in enumerate(carry)}
+    rows = _lines(docs, doc_id=id_col, text=text_col, **more)
     found = repeated_windows(docs, id_col, text_col).withColumnRenamed("doc_id", "found_id").withColumnRenamed("mark", "found_mark")
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark")), "left")
     # Between repeats k - 1 and k stand the lines from starts[k - 1] + 3 up to starts[k].
@@ -70,6 +71,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"),
         F.when(F.col("starts").isNull(), 0).otherwise(spans).cast("long").alias("n_spans"),
         F.when(F.col("text").isNull() | F.col("starts").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+        *[F.col(c).alias(name) for c, name in more.items()],
     )
 
 

@@ -166,10 +166,11 @@ def _pair(h: int) -> tuple[int, int]:
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("no_id"))
-    return rows.select("doc_id", "id0", F.xxhash64("no_id", "text").alias("mark"), "text")
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    more = {f"carry{i}": c for i, c in enumerate(carry)}
+    rows = pick(docs, doc_id=id_col, text=text_col, **more)
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("no_id"), *more)
+    return rows.select("doc_id", "id0", F.xxhash64("no_id", "text").alias("mark"), "text", *more)
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -292,11 +293,12 @@ def merged_ranges(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[new, 0], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], axis=1)
 
 
-def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
     """Cut every byte covered by a ``window``-byte string that starts anywhere else too.
 
-    Return doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary),
-    one row per input row.
+    Return doc_id, the columns named in ``carry`` as they are, n_bytes, n_removed,
+    n_spans, kept_sha256 and, ``with_text``, kept (binary) and kept_text (without
+    the parts of characters that a cut may leave), one row per input row.
 
     * overlapping occurrences count, also within one document; strings are
       judged on the input;
@@ -304,14 +306,18 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col:
       under ``window`` bytes have no such string;
     * rows alike in doc_id and text are occurrences of one another and are
       returned alike; null ids are documents like others;
-    * cuts are of bytes, so ``kept`` may begin or end within a character.
+    * cuts are of bytes, so a character may be cut in two.
     """
     import pyarrow as pa
 
     small_batches(docs.sparkSession, 256)
     ranges = repeated_ranges(docs, window, gram, id_col, text_col)
-    rows = _keyed(docs, id_col, text_col).join(ranges, ["id0", "mark"], "left")
-    flat = rows.select("doc_id", "text", F.expr("flatten(transform(ranges, r -> array(r.s, r.e)))").alias("ranges"))
+    rows = _keyed(docs, id_col, text_col, carry).join(ranges, ["id0", "mark"], "left")
+    same = ["doc_id", *(f"carry{i}" for i in range(len(carry)))]
+    flat = rows.select(*same, "text", F.expr("flatten(transform(ranges, r -> array(r.s, r.e)))").alias("ranges"))
+    made = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+    if with_text:
+        made |= {"kept": pa.binary(), "kept_text": pa.string()}
 
     def cut(batches):
         for batch in batches:
@@ -324,13 +330,15 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col:
                     kept.append(raw[at:s])
                     at = e
                 left = b"".join([*kept, raw[at:]])
-                out.append((len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
-            columns = zip(*out, strict=True) if out else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                row = (len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest())
+                out.append((*row, left, left.decode("utf-8", "ignore")) if with_text else row)
+            columns = zip(*out, strict=True) if out else [()] * len(made)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), *(pa.array(c, k) for c, k in zip(columns, made.values(), strict=True))], names=[*same, *made])
 
-    return flat.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kinds = {"int64": "long", "string": "string", "binary": "binary"}
+    schema = ", ".join([f"{c} {flat.schema[c].dataType.simpleString()}" for c in same] + [f"{n} {kinds[str(k)]}" for n, k in made.items()])
+    return flat.mapInArrow(cut, schema).toDF("doc_id", *carry, *made)
 
 
 def op5_suffix_shards(spark, sf_dir: str) -> DataFrame:
-    return cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return cut_repeats(table(spark, sf_dir, "documents"), with_text=False)
