@@ -14,7 +14,8 @@ Likeness is the Jaccard similarity of the two paragraph sets, from their sizes
 and the number of recovered digests; two texts without words are alike (1).
 
 The next document is found from ids alone, in ranges of ids; a text is shuffled
-once by its own key, and its head once to the document that it edits.
+once by its own key (both branches read the same columns, so that Spark reuses
+the exchange), and its head once to the document that it edits.
 """
 
 from __future__ import annotations
@@ -140,13 +141,14 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = fingerprints(docs, id_col, text_col)
     chain = successors(rows.select("doc_id", "id0", "mark", "n_chars").distinct())
     chain = chain.select(F.col("next_id0").alias("id0"), F.col("next_mark").alias("mark"), F.col("id0").alias("to_id0"), F.col("mark").alias("to_mark"), F.floor(F.col("n_chars") / 3).alias("take"))
-    heads = rows.join(chain, ["id0", "mark"]).select("to_id0", "to_mark", F.expr("left(text, cast(take as int))").alias("head"), F.expr(digests_sql("text")).alias("next_keys"))
+    heads = rows.join(chain, ["id0", "mark"]).select("to_id0", "to_mark", F.expr("left(text, cast(take as int))").alias("head"), F.expr(digests_sql("text")).alias("next_keys"), F.col("doc_id").alias("next_doc_id"), F.col("n_chars").alias("next_n_chars"))
     once = Window.partitionBy("to_id0", "to_mark").orderBy("to_mark")
-    heads = heads.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(F.col("to_id0").alias("id0"), F.col("to_mark").alias("mark"), "head", "next_keys")
+    heads = heads.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(F.col("to_id0").alias("id0"), F.col("to_mark").alias("mark"), "head", "next_keys", "next_doc_id", "next_n_chars")
     both = rows.join(heads, ["id0", "mark"])
     edited = "concat(left(text, cast(n_chars - n_chars div 3 as int)), head)"
-    both = both.select("doc_id", "n_chars", F.expr(edited).alias("edited"), F.expr(digests_sql("text")).alias("keys"), "next_keys")
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", F.expr(digests_sql("edited")).alias("edited_keys"))
+    nexts = ["next_doc_id", "next_n_chars"]
+    both = both.select("doc_id", "n_chars", *nexts, F.expr(edited).alias("edited"), F.expr(digests_sql("text")).alias("keys"), "next_keys")
+    both = both.select("doc_id", "n_chars", *nexts, F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", F.expr(digests_sql("edited")).alias("edited_keys"))
     size = str(SUBTABLE)
     both = both.withColumn("cells", F.expr(cells_sql("keys", size))).withColumn("edited_cells", F.expr(cells_sql("edited_keys", size)))
     return both.select(
@@ -157,6 +159,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.expr(fingerprint_sql("edited_keys", "edited_cells")).alias("edited_fingerprint"),
         F.expr(likeness_sql("keys", "edited_keys", "cells", "edited_cells")).alias("near_edited"),
         F.expr(likeness_sql("keys", "next_keys")).alias("near_next"),
+        *nexts,
     )
 
 

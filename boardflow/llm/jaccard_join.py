@@ -11,8 +11,8 @@ and a >= t b. The order here is: rare first.
    are one record; records of equal prefix and size are one group.
 3. Groups meet by prefix shingles. In the first round each group is paired with
    one leader per shingle and size class; pairs are verified on the whole sets,
-   and links give components. A second round pairs one record of each component.
-   The last one expands the groups to all members and takes every pair that
+   and links give components. Further rounds pair a record of each component with
+   one of another, as long as that joins some. The last one expands the groups to all members and takes every pair that
    shares a prefix shingle, passes the size and position filters and isn't
    joined yet. So a large group of copies costs one check a member, and no link
    between different components is lost.
@@ -36,18 +36,11 @@ from boardflow.llm.filters import build_filter
 TABLE_BITS = 21
 CHUNK = 1 << 21  # shingles counted at once
 OFTEN = 4
-MOST_WORDS = 300_000  # that a worker remembers
+ENOUGH = 2  # pairs left for each row left, with which the last round begins
 
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[32, *range(9, 14)]] = True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -56,21 +49,49 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``words`` words; fewer words are one shingle, none give no shingle.
+def _word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``b`` begin, and a hash of each."""
+    blank = BLANK[b]
+    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return starts, np.zeros(0, dtype=np.uint64)
+    sizes = ends - starts
+    longest = int(sizes.max())
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest - 1, BASE)]))
+    head = starts[0]
+    place = np.arange(head, len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
+    value = np.where(blank[head:], np.uint64(0), (b[head:].astype(np.uint64) + np.uint64(1)) * power[np.minimum(place, longest - 1)])
+    return starts, _mix(np.add.reduceat(value, starts - head) + sizes.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles of ``words`` words; fewer words are one shingle, none give no shingle.
 
     A-Z are lower-cased; words end at blanks and the control characters 9 to 13.
     """
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, found), dtype=np.uint64, count=len(found))
-    n = max(1, len(w) - words + 1)
-    h = np.full(n, np.uint64(min(len(w), words)), dtype=np.uint64)
-    for i in range(min(len(w), words)):
-        h = (h + w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
-        h ^= h >> np.uint64(32)
-    return np.unique(_mix(h))
+    raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+    starts, w = _word_hashes(np.frombuffer(b"\n".join(raw), dtype=np.uint8))
+    begins = np.cumsum([0] + [len(r) + 1 for r in raw])
+    upto = np.searchsorted(starts, begins)
+
+    def combine(parts: list[np.ndarray]) -> np.ndarray:
+        h = np.full(len(parts[0]), np.uint64(len(parts)), dtype=np.uint64)
+        for i, part in enumerate(parts):
+            h = (h + part) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
+            h ^= h >> np.uint64(32)
+        return _mix(h)
+
+    n = len(w) - words + 1
+    every = combine([w[i : i + n] for i in range(words)]) if n > 0 else w[:0]
+    out = []
+    for lo, hi in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+        if hi - lo >= words:
+            h = np.sort(every[lo : hi - words + 1])
+            out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+        else:
+            out.append(combine([w[i : i + 1] for i in range(lo, hi)]) if hi > lo else w[:0])
+    return out
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -88,9 +109,9 @@ def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
             return pd.DataFrame({"h": h[c > 1].view(np.int64), "n": c[c > 1].astype(np.int64)})
 
         for pdf in batches:
-            for text in pdf["text"]:
-                held.append(shingle_set(text, words))
-                n += len(held[-1])
+            for found in shingle_sets(list(pdf["text"]), words):
+                held.append(found)
+                n += len(found)
                 if n >= CHUNK:
                     yield often()
                     held, n = [], 0
@@ -114,8 +135,7 @@ def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> D
 
         for batch in batches:
             n, h1, h2, p1, ends, parts = [], [], [], [], [0], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, words)
+            for s in shingle_sets(batch.column("text").to_pylist(), words):
                 rank = table.value[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                 size = int(prefix_length(len(s), percent)) if len(s) else 0
                 first = s[np.argsort(rank, kind="stable")[:size]]  # s is sorted: by frequency, then by hash
@@ -134,29 +154,31 @@ def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> D
 
 
 def _whole_sets(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """rec and items (sorted hashes) of the wanted records (rec, n, h1, h2), made anew from their texts."""
+    """rec and items (sorted hashes) of the wanted records (rec, n, h1, h2, least), made anew from their texts.
+
+    Only texts whose doc_id may be a wanted record's least one are made sets of.
+    """
     spark = rows.sparkSession
-    filter_ = spark.sparkContext.broadcast(build_filter(wanted.select(F.col("h1").alias("h")), wanted.count()))
+    ids = wanted.select(F.xxhash64("least").alias("h"))
+    filter_ = spark.sparkContext.broadcast(build_filter(ids, wanted.count()))
+
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(filter_.value.has(h.to_numpy().astype(np.int64).view(np.uint64)))
 
     def sets(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()  # a copy is passed on once a task
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, words)
+            for s in shingle_sets(batch.column("text").to_pylist(), words):
                 both = xxhash.xxh3_128_intdigest(s.tobytes())
-                if len(s) and both not in seen and filter_.value.has(np.array([both >> 64], dtype=np.uint64))[0]:
-                    if len(seen) > MOST_WORDS:
-                        seen.clear()
-                    seen.add(both)
-                    out.append((len(s), both >> 64, both & (2**64 - 1), s.tobytes()))
+                out.append((len(s), both >> 64, both & (2**64 - 1), s.tobytes()))
             n, h1, h2, items = zip(*out, strict=True) if out else ((), (), (), ())
             long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), long(h1), long(h2), pa.array(items, pa.binary())], names=["n", "h1", "h2", "items"])
 
-    made = rows.select("text").mapInArrow(sets, "n long, h1 long, h2 long, items binary")
+    found = rows.where(F.pandas_udf(may, "boolean")(F.xxhash64("doc_id"))).select("text")
+    made = found.mapInArrow(sets, "n long, h1 long, h2 long, items binary")
     return made.join(wanted, ["n", "h1", "h2"]).select("rec", "items").dropDuplicates(["rec"])
 
 
@@ -207,9 +229,18 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
     postings = scratch.keep(postings.join(shared, "token").withColumn("class", size_class), "postings")
 
-    members = records.join(groups.select("n", "p1", F.col("rec").alias("gid")), ["n", "p1"]).select("rec", "gid", "n", "h1", "h2")
+    members = records.join(groups.select("n", "p1", F.col("rec").alias("gid")), ["n", "p1"]).select("rec", "gid", "n", "h1", "h2", "least")
     members = scratch.keep(members.join(postings.select("gid").distinct(), "gid"), "members")
-    sets = scratch.keep(_whole_sets(rows, words, members.select("rec", "n", "h1", "h2")), "sets")
+    sets = None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nonlocal sets
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
+        wanted = wanted if sets is None else wanted.join(sets.select("rec"), "rec", "left_anti")
+        wanted = scratch.keep(members.join(wanted, "rec").select("rec", "n", "h1", "h2", "least"), "wanted")
+        more = scratch.keep(_whole_sets(rows, words, wanted), "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        return scratch.keep(_verified(pairs, sets, percent), "linked")
 
     needed = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + percent))
     reach = 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1) >= needed
@@ -223,25 +254,33 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     first = led.alias("a").join(lead.alias("b"), ["token", "class"]).where((F.col("a.rec") != F.col("b.rec")) & near).select(*pair)
     own = members.where("rec != gid").select(F.least("rec", "gid").alias("a"), F.greatest("rec", "gid").alias("b"))
     done = scratch.keep(first.unionByName(own).distinct(), "pairs")
-    links = scratch.keep(_verified(done, sets, percent), "linked")
+    links = verified(done)
 
-    for last in (False, True):
+    turn, merging = 0, True
+    while True:
         joined = connected_components(links, scratch)
         known = members.join(joined.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "gid", F.coalesce("component", "rec").alias("comp"))
         open_ = postings.join(known, "gid")
         mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
         open_ = scratch.keep(open_.join(mixed, "token").select("token", "class", "rec", "n", "pos", "comp"), "open")
+        # Pairs of different components that share a shingle: few enough to take them all?
+        sizes = open_.groupBy("token", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        rows_open, apart = sizes.agg(F.sum("k"), F.sum(F.col("k") * F.col("k") - F.col("kk")) / 2).first()
+        last = not merging or (apart or 0) <= ENOUGH * (rows_open or 0)
         if last:
-            b = open_
-        else:  # of each component one record meets the least one of its size class, and of the class before
-            open_ = open_.groupBy("token", "class", "comp").agg(F.min(F.struct("rec", "n", "pos")).alias("r")).select("token", "class", "comp", "r.rec", "r.n", "r.pos")
-            b = open_.groupBy("token", "class").agg(F.min(F.struct("rec", "n", "pos", "comp")).alias("r")).select("token", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "r.rec", "r.n", "r.pos", "r.comp")
-        on = ["token"] if last else ["token", "class"]
-        apart = F.col("a.comp") < F.col("b.comp") if last else F.col("a.comp") != F.col("b.comp")
-        found = open_.alias("a").join(b.alias("b"), on).where(apart & near).select(*pair).distinct()
+            b, on, differ = open_, ["token"], F.col("a.comp") < F.col("b.comp")
+        else:  # of each component a record drawn anew each turn meets one of its size class, and one of the class before
+            drawn = F.struct(F.xxhash64("rec", F.lit(turn)).alias("draw"), "rec", "n", "pos", "comp")
+            open_ = open_.groupBy("token", "class", "comp").agg(F.min(drawn).alias("r")).select("token", "class", "comp", "r.rec", "r.n", "r.pos", "r.draw")
+            b = open_.groupBy("token", "class").agg(F.min(drawn).alias("r")).select("token", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "r.rec", "r.n", "r.pos", "r.comp")
+            on, differ = ["token", "class"], F.col("a.comp") != F.col("b.comp")
+        found = open_.alias("a").join(b.alias("b"), on).where(differ & near).select(*pair).distinct()
         pairs = scratch.keep(found.join(done, ["a", "b"], "left_anti"), "pairs")
-        more = scratch.keep(_verified(pairs, sets, percent), "linked")
-        links, done = links.unionByName(more), done.unionByName(pairs)
+        more = verified(pairs)
+        merging = not more.isEmpty()
+        links, done, turn = links.unionByName(more), done.unionByName(pairs), turn + 1
+        if last:
+            break
 
     joined = connected_components(links, scratch).withColumnRenamed("node", "rec")
     named = records.join(joined, "rec", "left").withColumn("component", F.coalesce("component", "rec"))

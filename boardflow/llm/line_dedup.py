@@ -18,16 +18,16 @@ from pyspark.sql import functions as F
 from boardflow.llm.common import pick, table
 
 WINDOW = 3
+LINES = r"split(coalesce(text, ''), '\n', -1)"  # SQL
 
 
 def _lines(docs: DataFrame, **columns: str) -> DataFrame:
-    rows = pick(docs, **columns)
-    return rows.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).withColumn("mark", F.xxhash64("text"))
+    return pick(docs, **columns).withColumn("mark", F.xxhash64("text"))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Start of every later occurrence of a three-line window: doc_id, mark (hash of the text), starts (sorted)."""
-    rows = _lines(docs, doc_id=id_col, text=text_col).where(F.size("lines") >= WINDOW)
+    rows = _lines(docs, doc_id=id_col, text=text_col).withColumn("lines", F.expr(LINES)).where(F.size("lines") >= WINDOW)
     windows = rows.select(
         "doc_id",
         "mark",
@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = {f"carry{i}": c for i, c in enumerate(carry)}
     rows = _lines(docs, doc_id=id_col, text=text_col, **more)
     found = repeated_windows(docs, id_col, text_col).withColumnRenamed("doc_id", "found_id").withColumnRenamed("mark", "found_mark")
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark")), "left")
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark")), "left").withColumn("lines", F.expr(LINES))
     # Between repeats k - 1 and k stand the lines from starts[k - 1] + 3 up to starts[k].
     begin = f"if(k = 0, 0, starts[k - 1] + {WINDOW})"
     end = "if(k = size(starts), size(lines), starts[k])"
