@@ -82,6 +82,8 @@ def anchors(b: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray,
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Larsson-Sadakane: sort by the first bytes, then refine groups of equal rank by the rank ``depth`` further on."""
     n = len(text)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
     padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, dtype=np.int64)])
     key = np.zeros(n, dtype=np.int64)
     for i in range(6):
