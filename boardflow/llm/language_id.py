@@ -54,7 +54,9 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(b"".join(raw) + b"    ", dtype=np.uint8).astype(np.uint32)
     n = int(lengths.sum())
     grams = b[:n] | b[1 : n + 1] << np.uint32(8) | b[2 : n + 2] << np.uint32(16) | b[3 : n + 3] << np.uint32(24)
-    return grams, np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    ends = np.cumsum(lengths)
+    grams[(ends[:, None] - np.arange(1, 4)).ravel()] = 0x20202020  # else the next text would begin in them
+    return grams, np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
 
 def make_filters(langs: list[str], lang: np.ndarray, grams: np.ndarray, bits: int = 18) -> Filters:

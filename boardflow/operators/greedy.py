@@ -1,0 +1,38 @@
+"""Two small sequential rules that tasks apply to one board's or recording's rows."""
+
+from __future__ import annotations
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def first_leaders(keys: list[str], shown: list[str], ids: list[int], least: float) -> list[str]:
+    leaders: list[tuple[str, str, str]] = []
+    out = []
+    for key, signs, i in zip(keys, shown, ids, strict=True):
+        for lead, lead_signs, name in leaders:
+            if signs == lead_signs if not key and not lead else 1 - _edits(key, lead) / max(len(key), len(lead), 1) >= least:
+                out.append(name)
+                break
+        else:
+            leaders.append((key, signs, f"o{i}"))
+            out.append(f"o{i}")
+    return out
+
+
+def equal_steps(total: list[float], picks: int) -> list[int]:
+    """Places where a running total has grown by a ``picks``-th since the last one, the first place included."""
+    if not total or picks < 1:
+        return []
+    gap, want, out = total[-1] / picks, 0.0, []
+    for i, x in enumerate(total):
+        if x >= want and len(out) < picks:
+            out.append(i)
+            want = x + gap
+    return out
