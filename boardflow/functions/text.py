@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Look-alikes of ASCII letters that decomposition leaves as they are.
 LOOKALIKES = {
@@ -46,7 +47,7 @@ def fold_text(text: str) -> str:
     return re.sub("[^a-z0-9]", "", plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_udf(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
 
