@@ -235,7 +235,8 @@ def extract_json(said: str) -> object:
     braces = re.search(r"\{.*\}", said, re.S)
     for text in (said, fenced and fenced[1], braces and braces[0]):
         try:
-            return json.loads(text) if text else None
+            if text:
+                return json.loads(text)
         except ValueError:
             continue
     return None

@@ -142,4 +142,5 @@ def wait_seconds(message: Column, most: float = 90.0) -> Column:
     """Seconds that a refusal asks to wait; null if it names none."""
     seconds = F.nullif(F.regexp_extract(message, r"(?i)(?:retry|try again)\s+in\s+(\d+(?:\.\d+)?)\s*s", 1), F.lit("")).try_cast("double")
     millis = F.nullif(F.regexp_extract(message, r"(?i)(?:retry|try again)\s+in\s+(\d+(?:\.\d+)?)\s*ms", 1), F.lit("")).try_cast("double") / 1000
-    return F.least(F.lit(most), F.coalesce(millis, seconds))
+    asked = F.coalesce(millis, seconds)
+    return F.when(asked.isNotNull(), F.least(F.lit(most), asked))
