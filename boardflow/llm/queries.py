@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from boardflow.llm.byte_bpe import op8_padded_bpe
-from boardflow.llm.embedding_dedup import op7_pivot_cells
+from boardflow.llm.embedding_dedup import OP7_SQL, op7_pivot_cells
 from boardflow.llm.fingerprint import op6_lookup_sketches
 from boardflow.llm.jaccard_join import op1_grouped_prefixes
 from boardflow.llm.language_id import op3_language_masks
@@ -11,7 +11,7 @@ from boardflow.llm.line_dedup import OP10_SQL, op10_line_windows
 from boardflow.llm.packing import op4_pattern_packing
 from boardflow.llm.sharding import op9_stratified_shards
 from boardflow.llm.suffix_dedup import op5_suffix_shards
-from boardflow.llm.warc import op2_chunked_records
+from boardflow.llm.warc import OP2_SQL, op2_chunked_records
 
 QUERIES = {
     f.__name__: f
@@ -29,4 +29,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op10_line_windows": OP10_SQL}
+ORACLE_SQL = {"op2_chunked_records": OP2_SQL, "op7_pivot_cells": OP7_SQL, "op10_line_windows": OP10_SQL}

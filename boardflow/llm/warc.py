@@ -258,3 +258,19 @@ def op2_chunked_records(spark, sf_dir: str) -> DataFrame:
         "record_type",
         "refers_to",
     )
+
+
+#: Base32 from SHA-1 in hexadecimal: each five hexadecimal digits are four characters.
+_BASE32_SQL = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((CAST('0x' || substr(sha, {5 * g + 1}, 5) AS BIGINT) >> {15 - 5 * j}) & 31) + 1), 1)" for g in range(8) for j in range(4)
+)
+OP2_SQL = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS sha FROM pages
+), q AS (
+  SELECT *, min(page_id) OVER (PARTITION BY sha) AS least FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32_SQL} AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM q
+"""
