@@ -35,6 +35,7 @@ from boardflow.llm.filters import build_filter
 
 TABLE_BITS = 21
 CHUNK = 1 << 21  # shingles counted at once
+SHORT = 24  # bits of a shingle's hash that are left out where it is only counted
 OFTEN = 4
 ENOUGH = 2  # pairs left for each row left, with which the last round begins
 
@@ -153,10 +154,10 @@ def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> D
     return rows.mapInArrow(sketch, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, p1 long, prefix array<long>")
 
 
-def _whole_sets(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """rec and items (sorted hashes) of the wanted records (rec, n, h1, h2, least), made anew from their texts.
+def _whole_texts(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """rec and packed (compressed text, a third of its set's size) of the wanted records (rec, n, h1, h2, least).
 
-    Only texts whose doc_id may be a wanted record's least one are made sets of.
+    Only texts whose doc_id may be a wanted record's least one are looked at.
     """
     spark = rows.sparkSession
     ids = wanted.select(F.xxhash64("least").alias("h"))
@@ -165,36 +166,47 @@ def _whole_sets(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     def may(h: pd.Series) -> pd.Series:
         return pd.Series(filter_.value.has(h.to_numpy().astype(np.int64).view(np.uint64)))
 
-    def sets(batches):
+    def pack(batches):
         import pyarrow as pa
+        import zstandard
 
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            texts = batch.column("text").to_pylist()
             out = []
-            for s in shingle_sets(batch.column("text").to_pylist(), words):
+            for t, s in zip(texts, shingle_sets(texts, words), strict=True):
                 both = xxhash.xxh3_128_intdigest(s.tobytes())
-                out.append((len(s), both >> 64, both & (2**64 - 1), s.tobytes()))
-            n, h1, h2, items = zip(*out, strict=True) if out else ((), (), (), ())
+                out.append((len(s), both >> 64, both & (2**64 - 1), press.compress((t or "").encode("utf-8", "replace"))))
+            n, h1, h2, packed = zip(*out, strict=True) if out else ((), (), (), ())
             long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), long(h1), long(h2), pa.array(items, pa.binary())], names=["n", "h1", "h2", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), long(h1), long(h2), pa.array(packed, pa.binary())], names=["n", "h1", "h2", "packed"])
 
     found = rows.where(F.pandas_udf(may, "boolean")(F.xxhash64("doc_id"))).select("text")
-    made = found.mapInArrow(sets, "n long, h1 long, h2 long, items binary")
-    return made.join(wanted, ["n", "h1", "h2"]).select("rec", "items").dropDuplicates(["rec"])
+    made = found.mapInArrow(pack, "n long, h1 long, h2 long, packed binary")
+    return made.join(wanted, ["n", "h1", "h2"]).select("rec", "packed").dropDuplicates(["rec"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b of records whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("rec").alias("a"), F.col("items").alias("x")), "a")
-    both = both.join(sets.select(F.col("rec").alias("b"), F.col("items").alias("y")), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs a, b of records whose sets, made anew from their texts, are similar enough."""
+    both = pairs.join(texts.select(F.col("rec").alias("a"), F.col("packed").alias("x")), "a")
+    both = both.join(texts.select(F.col("rec").alias("b"), F.col("packed").alias("y")), "b")
 
     def verify(batches):
         import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
 
+        def of(packed: bytes) -> np.ndarray:
+            return shingle_sets([unpack.decompress(packed).decode()], words)[0]
+
+        last, y = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             hit = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                z = np.concatenate([x, y])
+            for b, x, packed in zip(batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                if b != last:
+                    last, y = b, of(packed.as_py())
+                z = np.concatenate([of(x.as_py()), y])
                 z.sort(kind="stable")
                 same = int((z[1:] == z[:-1]).sum())
                 hit.append(100 * same >= percent * (len(z) - same))
@@ -204,6 +216,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def _postings(sketched: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """gid, n, members, pos, token: the prefixes of the groups' first records, without shingles that no other group has.
+
+    Two Bloom filters keep what can't pair out of the shuffles: one of the
+    groups' first records (salted: of those with several members, whose whole
+    prefix stays), and one of the shingles counted twice or more. What passes by
+    chance finds no partner, or goes in the last join.
+    """
+    spark = sketched.sparkSession
+    heads = groups.select(F.explode(F.array(F.xxhash64("rec"), F.when(F.col("members") > 1, F.xxhash64("rec", F.lit("many"))))).alias("h")).where("h is not null")
+    head = spark.sparkContext.broadcast(build_filter(heads, heads.count()))
+
+    def is_head(h: pd.Series) -> pd.Series:
+        return pd.Series(head.value.has(h.to_numpy().astype(np.int64).view(np.uint64)))
+
+    rows = sketched.where("n > 0").select("row", F.xxhash64("row").alias("h"), F.xxhash64("row", F.lit("many")).alias("m"), "prefix")
+    leading = rows.where(F.pandas_udf(is_head, "boolean")("h"))
+    often = leading.select(F.explode("prefix").alias("t")).select(F.shiftrightunsigned("t", SHORT).alias("h")).groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    often = scratch.keep(often.select("h"), "often")
+    token = spark.sparkContext.broadcast(build_filter(often, often.count()))
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            prefix = batch.column("prefix")
+            sizes = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            lead, many = (head.value.has(batch.column(c).to_numpy().view(np.uint64)) for c in ("h", "m"))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(lead[owner] & (many[owner] | token.value.has(values >> np.uint64(SHORT))))
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(owner[at])), pa.array(pos[at].astype(np.int32)), pa.array(values[at].view(np.int64))], names=["gid", "pos", "token"])
+
+    found = rows.mapInArrow(kept, "gid long, pos int, token long")
+    return found.join(groups.select(F.col("rec").alias("gid"), "n", "members"), "gid")
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents of a Jaccard similarity of at least ``percent`` / 100: doc_id, n_shingles, component_id, one row per input row.
 
@@ -222,25 +272,22 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     # Records: distinct sets. Groups: records of one prefix and size.
     records = sketched.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("row").alias("rec"), F.min("doc_id").alias("least"), F.first("p1").alias("p1"))
     records = scratch.keep(records, "records")
-    groups = records.groupBy("n", "p1").agg(F.min("rec").alias("rec"), F.count("*").alias("members"))
-    leaders = sketched.select("row", "prefix").join(groups.select(F.col("rec").alias("row"), "n", "members"), "row")
-    postings = leaders.select(F.col("row").alias("gid"), "n", "members", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.sum("members").alias("all")).where("all > 1").select("token")
+    groups = scratch.keep(records.groupBy("n", "p1").agg(F.min("rec").alias("rec"), F.count("*").alias("members")), "groups")
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
-    postings = scratch.keep(postings.join(shared, "token").withColumn("class", size_class), "postings")
+    postings = scratch.keep(_postings(sketched, groups, scratch).withColumn("class", size_class), "postings")
 
     members = records.join(groups.select("n", "p1", F.col("rec").alias("gid")), ["n", "p1"]).select("rec", "gid", "n", "h1", "h2", "least")
     members = scratch.keep(members.join(postings.select("gid").distinct(), "gid"), "members")
-    sets = None
+    texts = None
 
     def verified(pairs: DataFrame) -> DataFrame:
-        nonlocal sets
+        nonlocal texts
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
-        wanted = wanted if sets is None else wanted.join(sets.select("rec"), "rec", "left_anti")
+        wanted = wanted if texts is None else wanted.join(texts.select("rec"), "rec", "left_anti")
         wanted = scratch.keep(members.join(wanted, "rec").select("rec", "n", "h1", "h2", "least"), "wanted")
-        more = scratch.keep(_whole_sets(rows, words, wanted), "sets")
-        sets = more if sets is None else sets.unionByName(more)
-        return scratch.keep(_verified(pairs, sets, percent), "linked")
+        more = scratch.keep(_whole_texts(rows, words, wanted), "texts")
+        texts = more if texts is None else texts.unionByName(more)
+        return scratch.keep(_verified(pairs, texts, words, percent), "linked")
 
     needed = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + percent))
     reach = 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1) >= needed
