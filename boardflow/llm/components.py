@@ -2,7 +2,7 @@
 
 Every step is an aggregation (the least neighbour of each node) and a join that
 Spark may split where a node has very many neighbours. Links are written to the
-shared folder between rounds; only two numbers of a round come to the driver.
+shared folder between rounds; only one number of a round comes to the driver.
 """
 
 from __future__ import annotations
@@ -26,6 +26,12 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _is_star(links: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour and no larger one, or the other way round."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").count() == 0
+
+
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``links`` has columns a, b (long, not null). Return node, component (its least node), for every linked node.
 
@@ -33,11 +39,8 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     with none but to itself isn't returned. No links give no rows.
     """
     now = scratch.keep(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen, old = mark, now
+    while not _is_star(now):
+        old = now
         now = scratch.keep(_star(_star(now, large=True), large=False), "links")
         scratch.drop(old)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
