@@ -12,7 +12,7 @@ and a >= t b. The order here is: rare first.
 3. Groups meet by prefix shingles. In the first round each group is paired with
    one leader per shingle and size class; pairs are verified on the whole sets,
    and links give components. Further rounds pair a record of each component with
-   one of another, as long as that joins some. The last one expands the groups to all members and takes every pair that
+   one of another, as long as many of those link. The last one expands the groups to all members and takes every pair that
    shares a prefix shingle, passes the size and position filters and isn't
    joined yet. So a large group of copies costs one check a member, and no link
    between different components is lost.
@@ -37,6 +37,7 @@ TABLE_BITS = 21
 CHUNK = 1 << 21  # shingles counted at once
 SHORT = 24  # bits of a shingle's hash that are left out where it is only counted
 OFTEN = 4
+WORTHWHILE = 4  # a round that draws pairs is followed by another if one in so many links
 ENOUGH = 2  # pairs left for each row left, with which the last round begins
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -324,7 +325,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         found = open_.alias("a").join(b.alias("b"), on).where(differ & near).select(*pair).distinct()
         pairs = scratch.keep(found.join(done, ["a", "b"], "left_anti"), "pairs")
         more = verified(pairs)
-        merging = not more.isEmpty()
+        merging = more.count() * WORTHWHILE > pairs.count()
         links, done, turn = links.unionByName(more), done.unionByName(pairs), turn + 1
         if last:
             break
