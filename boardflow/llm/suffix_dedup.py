@@ -125,7 +125,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     before[sa[1:]] = sa[:-1]
     i = np.arange(n)
     falls = np.zeros(n, dtype=bool)
-    falls[1:] = (before[1:] > 0) & (before[:-1] >= 0) & (before[1:] - 1 == before[:-1])
+    falls[1:] = (before[1:] > 0) & (before[1:] - 1 == before[:-1]) & (text[:-1] == text[before[1:] - 1])
     at = np.flatnonzero(~falls & (before >= 0))
     length = np.zeros(n, dtype=np.int64)
     padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)])

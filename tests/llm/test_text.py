@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -37,6 +38,22 @@ def test_suffix_array_and_common_prefixes():
     assert len(suffix_dedup.suffix_array(np.zeros(0, dtype=np.uint8))) == 0
 
 
+def test_common_prefixes_after_different_bytes(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("0123456789") for _ in range(230))
+    for pair in (("b", "a"), ("a", "b")):
+        contents = [(x + passage).encode() for x in pair]
+        is_start, of, hit = suffix_dedup.repeated_starts(contents, 200)
+        assert np.flatnonzero(hit).tolist() == [*range(1, 32), *range(232, 263)]
+        assert (of[1:32] == of[232:263]).all()
+        text = np.frombuffer(b"".join(contents), dtype=np.uint8)
+        sa = suffix_dedup.suffix_array(text)
+        lcp = suffix_dedup.common_prefixes(text, sa)
+        assert lcp[1:].tolist() == [len(os.path.commonprefix([text[a:].tobytes(), text[b:].tobytes()])) for a, b in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True)]
+        rows = [(i, x + passage) for i, x in enumerate(pair)]
+        data.same(removed(cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"))), data.suffix_rows(rows, 200))
+
+
 def removed(df):
     return [tuple(r) for r in df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
 
