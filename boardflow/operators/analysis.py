@@ -40,9 +40,10 @@ def listing(df: DataFrame, label: Column, value: Column, order: list[Column], li
 
 
 def bars(df: DataFrame, label: Column, value: Column, limit: int = CHART_ROWS) -> DataFrame:
-    """An aggregate for each label, largest first; null labels and values are left out."""
-    rows = df.groupBy(F.substring(label.cast("string"), 1, 60).alias("label")).agg(value.cast("double").alias("value"))
-    return rows.where("label != '' and value is not null").orderBy(F.desc("value"), "label").limit(limit)
+    """An aggregate for each whole label, largest first; null labels and values are left out. 60 characters of a label are shown."""
+    rows = df.groupBy(label.cast("string").alias("label")).agg(value.cast("double").alias("value"))
+    rows = rows.where("label != '' and value is not null").orderBy(F.desc("value"), "label").limit(limit)
+    return rows.withColumn("label", F.substring("label", 1, 60))
 
 
 def lines(df: DataFrame, series: Column, x: Column, y: Column, limit: int = SERIES, points: int = POINTS) -> DataFrame:

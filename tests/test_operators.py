@@ -198,3 +198,11 @@ def test_sampling(spark):
     cells = spark.createDataFrame([(1, c, 10.0 if c % 8 in (2, 3, 4) and c // 8 < 4 else 0.0) for c in range(64)], "g int, cell int, change double")
     box = sampling.moving_region(cells, "g", 8, 8).first()
     assert (round(box.x0, 3), box.y0, round(box.x1, 3), round(box.y1, 3)) == (0.244, 0.0, 0.631, 0.506)
+
+
+def test_bars_keep_labels_with_a_common_head_apart(spark):
+    head = "h" * 60
+    df = spark.createDataFrame([(head + "/a", 1.0), (head + "/a", 3.0), (head + "/b", 10.0)], "url string, points double")
+    for intent, want in (("average", [(head, 10.0), (head, 2.0)]), ("total", [(head, 10.0), (head, 4.0)])):
+        _, bars = analysis.ask(df, intent, group="url", value="points")["components"][0]
+        assert [tuple(r) for r in bars.collect()] == want
