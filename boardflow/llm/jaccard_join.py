@@ -129,7 +129,8 @@ def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), h1, h2 (hash of the set), p1 (hash of prefix and size), prefix."""
+    """All columns but the text, n (size of the set), h1, h2 (hash of the set), p1 (hash of prefix and size), prefix."""
+    carried = [f for f in rows.schema.fields if f.name != "text"]
     table = rows.sparkSession.sparkContext.broadcast(often)  # 1 << TABLE_BITS bytes
 
     def sketch(batches):
@@ -150,9 +151,10 @@ def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> D
                 ends.append(ends[-1] + size)
             long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), long(np.concatenate(parts) if parts else []))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), long(h1), long(h2), long(p1), prefix], names=["doc_id", "n", "h1", "h2", "p1", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), pa.array(n, pa.int64()), long(h1), long(h2), long(p1), prefix], names=[*(f.name for f in carried), "n", "h1", "h2", "p1", "prefix"])
 
-    return rows.mapInArrow(sketch, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, p1 long, prefix array<long>")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried)
+    return rows.mapInArrow(sketch, f"{kinds}, n long, h1 long, h2 long, p1 long, prefix array<long>")
 
 
 def _whole_texts(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -255,19 +257,25 @@ def _postings(sketched: DataFrame, groups: DataFrame, scratch: Scratch) -> DataF
     return found.join(groups.select(F.col("rec").alias("gid"), "n", "members"), "gid")
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Link documents of a Jaccard similarity of at least ``percent`` / 100: doc_id, n_shingles, component_id, one row per input row.
 
     ``component_id`` is the smallest doc_id that links reach. A null text or one
     without words has 0 shingles, links with nothing and is its own component.
     Repeated rows link like copies. Null ids are never the smallest, but where a
     component has no other. An empty table gives no rows.
+
+    With ``carry`` follow the columns named there, as they are, and ``component``,
+    a number of its own for each component (null without words): where ids are
+    repeated or null, different components may have one component_id.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
     scratch = Scratch(spark, "jaccard")
     rows = pick(docs, doc_id=id_col, text=text_col)
-    sketched = _sketches(rows, words, percent, _frequencies(rows, words)).withColumn("row", F.monotonically_increasing_id())
+    carried = [f"carry{i}" for i in range(len(carry))]
+    carrying = pick(docs, doc_id=id_col, text=text_col, **dict(zip(carried, carry, strict=True)))
+    sketched = _sketches(carrying, words, percent, _frequencies(rows, words)).withColumn("row", F.monotonically_increasing_id())
     sketched = scratch.keep(sketched, "sketches")
 
     # Records: distinct sets. Groups: records of one prefix and size.
@@ -333,9 +341,12 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     joined = connected_components(links, scratch).withColumnRenamed("node", "rec")
     named = records.join(joined, "rec", "left").withColumn("component", F.coalesce("component", "rec"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.select("n", "h1", "h2", "component").join(least, "component").select("n", "h1", "h2", "component_id")
-    out = sketched.where("n > 0").select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = named.select("n", "h1", "h2", "component").join(least, "component").select("n", "h1", "h2", "component_id", *(["component"] if carry else []))
+    tail = [*carried, "component"] if carry else []
+    out = sketched.where("n > 0").select("doc_id", "n", "h1", "h2", *carried).join(named, ["n", "h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *tail)
+    alone = sketched.where("n = 0").withColumn("component", F.lit(None).cast("long"))
+    out = out.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *tail))
+    return out.toDF("doc_id", "n_shingles", "component_id", *carry, *(["component"] if carry else []))
 
 
 def op1_grouped_prefixes(spark, sf_dir: str) -> DataFrame:

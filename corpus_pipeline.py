@@ -7,7 +7,7 @@ return the columns of ``documents``; a stage that changes texts brings
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardflow.llm.common import Scratch, pick, table
@@ -36,16 +36,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates (five words, 0.8).
+    """Keep one row of each group of near-duplicates (five words, 0.8): with the smallest doc_id, then the smallest hash of the text.
 
-    Of rows with the same doc_id in a group one stays. Rows without words, and
-    rows with a null doc_id that no other id represents, all stay.
+    A null doc_id comes after all others. Rows without words all stay. Of kept
+    rows alike in doc_id and text, one stays: the first by its other columns.
     """
-    kept = link(docs, words=5, percent=80).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col("doc_id").alias("kept_id")).agg(F.max("n_shingles").alias("n"))
-    rows = pick(docs, **{c: c for c in COLUMNS}).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rows.withColumn("nth", nth).where("nth = 1 or n = 0 or doc_id is null").select(*COLUMNS)
+    rows = pick(docs, **{c: c for c in COLUMNS})
+    key = ["no_id", "id0", "mark"]
+    rows = rows.withColumns({"no_id": F.col("doc_id").isNull(), "id0": F.coalesce("doc_id", F.lit(0)), "mark": F.xxhash64("text")})
+    scratch = Scratch(spark, "near")
+    linked = link(rows, words=5, percent=80, carry=tuple(key))
+    alike = linked.where("n_shingles > 0").groupBy("component", *key).agg(F.count("*").alias("copies"))
+    kept = alike.groupBy("component").agg(F.min(F.struct(*key, "copies")).alias("r")).select("r.*")
+    wordless = linked.where("n_shingles = 0").select(*key, F.lit(0).cast("long").alias("copies")).distinct()
+    kept = scratch.keep(kept.unionByName(wordless), "kept")
+    out = rows.join(kept.where("copies < 2").select(*key), key).select(*COLUMNS)
+    repeated = kept.where("copies > 1").select(*key)
+    if repeated.isEmpty():
+        return out
+    once = rows.groupBy(*key).agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("r"))
+    return out.unionByName(once.join(repeated, key).select(*[F.col(f"r.{c}").alias(c) for c in COLUMNS]))
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,3 +209,21 @@ def test_pipeline_edge_cases(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, data.no_docs(spark), data.SF).collect() == []
         stage(spark, data.edge_docs(spark), data.SF).collect()
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [
+        (5, text("a")), (5, text("b")),  # one id, unrelated texts: both stay
+        (1, text("c")), (6, text("c")), (6, text("d")),  # of id 6 only the copy of 1 goes
+        (7, ""), (7, ""), (7, text("e")), (7, text("e")),  # rows without words stay, of equal rows one
+        (2, text("f")), (None, text("f")), (None, text("g")), (None, text("h")), (None, text("h")), (None, text("h") + " more"), (None, None), (None, None),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", f"s{i}", len(t or "")) for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.near_dedup(spark, docs, data.SF)
+    assert found.columns == corpus_pipeline.COLUMNS
+    found = [(r.doc_id, r.text) for r in found.collect()]
+    third = [r for r in found if r[0] is None and r[1] and r[1].startswith("h0 ")]
+    assert len(third) == 1
+    want = [(5, text("a")), (5, text("b")), (1, text("c")), (6, text("d")), (7, ""), (7, ""), (7, text("e")), (2, text("f")), (None, text("g")), *third, (None, None), (None, None)]
+    data.same(found, want)
