@@ -1,8 +1,9 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 One table of slots serves all languages: bit ``l`` of a slot belongs to the
-filter of language ``l``, so the conjunction of an n-gram's slots is the set of
-all languages that contain it. A text's score for a language is the number of
+filter of language ``l`` (a slot has a word of 64 bits for every 64 languages),
+so the conjunction of an n-gram's slots is the set of all languages that
+contain it. A text's score for a language is the number of
 its n-grams with that bit, corrected for false positives: of ``n`` n-grams,
 ``n * fp`` hits come by chance where ``fp`` is the filter's fill to the power
 of the number of hashes.
@@ -15,7 +16,7 @@ text, with everything but letters a blank.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,27 +24,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardflow.llm.common import pick, small_batches, table
+from boardflow.llm.common import Scratch, pick, small_batches, table
 
 HASHES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 BLANK = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 UNKNOWN = "und"
-#: A bound on what is fitted: documents and n-grams of each language, and languages.
-DOCS_PER_LANG, GRAMS_PER_LANG, LANGS = 2_000, 10_000, 64
+#: A bound on what is fitted: documents and n-grams of each language.
+DOCS_PER_LANG, GRAMS_PER_LANG = 2_000, 10_000
+WORD = 64  # languages in a word of a slot
+LANGS_AT_ONCE = 4 * WORD  # languages whose n-grams come to the driver together
 
 
 @dataclass
 class Filters:
     langs: list[str]
-    slots: np.ndarray  # uint64, a power of two of them
+    slots: np.ndarray  # uint64, a row for each word, a power of two of columns
     rates: np.ndarray  # false positives of each language
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram the bits of the languages that contain it."""
-        shift = np.uint32(32 - (len(self.slots).bit_length() - 1))
-        out = self.slots[(grams * HASHES[0]) >> shift]
+    def masks(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the bits of the languages that contain it, of the languages from ``WORD * word`` on."""
+        slots = self.slots[word]
+        shift = np.uint32(32 - (len(slots).bit_length() - 1))
+        out = slots[(grams * HASHES[0]) >> shift]
         for h in HASHES[1:]:
-            out = out & self.slots[((grams ^ (grams >> np.uint32(15))) * h) >> shift]
+            out = out & slots[((grams ^ (grams >> np.uint32(15))) * h) >> shift]
         return out
 
 
@@ -60,60 +64,74 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def make_filters(langs: list[str], lang: np.ndarray, grams: np.ndarray, bits: int = 18) -> Filters:
-    slots = np.zeros(1 << bits, dtype=np.uint64)
+    return filled(langs, [(lang, grams)], bits)
+
+
+def filled(langs: list[str], parts: Iterable[tuple[np.ndarray, np.ndarray]], bits: int = 18) -> Filters:
+    """Filters of n-grams that come in parts: numbers of languages, and an n-gram of each."""
+    slots = np.zeros((-(-len(langs) // WORD), 1 << bits), dtype=np.uint64)
     shift = np.uint32(32 - bits)
-    own = np.uint64(1) << lang.astype(np.uint64)
-    np.bitwise_or.at(slots, (grams * HASHES[0]) >> shift, own)
-    for h in HASHES[1:]:
-        np.bitwise_or.at(slots, ((grams ^ (grams >> np.uint32(15))) * h) >> shift, own)
-    fill = np.array([float(((slots >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(langs))])
+    for lang, grams in parts:
+        word, own = lang // WORD, np.uint64(1) << (lang % WORD).astype(np.uint64)
+        np.bitwise_or.at(slots, (word, (grams * HASHES[0]) >> shift), own)
+        for h in HASHES[1:]:
+            np.bitwise_or.at(slots, (word, ((grams ^ (grams >> np.uint32(15))) * h) >> shift), own)
+    fill = np.array([float(((slots[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean()) for i in range(len(langs))])
     return Filters(langs, slots, fill ** len(HASHES))
 
 
 def score_texts(filters: Filters, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Corrected hits (texts x languages) and the number of n-grams with a letter of each text."""
     grams, starts = grams_of(texts)
-    masks = filters.masks(grams)
     letters = np.add.reduceat((grams != 0x20202020).astype(np.int64), starts)
     kinds = np.zeros((len(texts), len(filters.langs)))
     for i in range(len(filters.langs)):
-        kinds[:, i] = np.add.reduceat(((masks >> np.uint64(i)) & np.uint64(1)).astype(np.int64), starts)
+        if i % WORD == 0:
+            masks = filters.masks(grams, i // WORD)
+        kinds[:, i] = np.add.reduceat(((masks >> np.uint64(i % WORD)) & np.uint64(1)).astype(np.int64), starts)
     rates = filters.rates
     return np.maximum(0, (kinds - letters[:, None] * rates) / (1 - np.minimum(rates, 0.999))), letters
 
 
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG) -> Filters:
-    """Fit on rows of text and lang (not null); what comes to the driver is bounded by ``LANGS * grams_per_lang``.
+    """Fit on rows of text and lang (not null), every language; what comes to the driver at once is bounded by ``LANGS_AT_ONCE * grams_per_lang``.
 
     A language gets an n-gram that is at least half as frequent in it as in any
-    other. Beyond ``LANGS`` languages the rarest ones are not learned.
+    other.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
-        return Filters([], np.zeros(1 << 10, dtype=np.uint64), np.zeros(0))
+        return Filters([], np.zeros((0, 1 << 10), dtype=np.uint64), np.zeros(0))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 20))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1, docs_per_lang / counts[k]) * (1 << 20))))])
-    sample = docs.where(F.col("lang").isin(langs)).where(draw < share[F.col("lang")])
+    shares = spark.createDataFrame([(k, i, int(min(1, docs_per_lang / counts[k]) * (1 << 20))) for i, k in enumerate(langs)], "lang string, at int, share int")
+    sample = docs.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # a row for each language, which the filters have too
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
+            for at, part in pdf.groupby("at"):
                 grams, n = np.unique(grams_of(list(part["text"]))[0], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n})
+                yield pd.DataFrame({"at": at, "gram": grams.astype(np.int64), "n": n})
 
-    found = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long")
-    found = found.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(f"n >= 3 and gram != {0x20202020}")
-    total = found.groupBy("lang").agg(F.sum("n").alias("total"))
-    found = found.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total"))  # LANGS rows at most
+    found = sample.select("at", "text").mapInPandas(count, "at int, gram long, n long")
+    found = found.groupBy("at", "gram").agg(F.sum("n").alias("n")).where(f"n >= 3 and gram != {0x20202020}")
+    total = found.groupBy("at").agg(F.sum("n").alias("total"))
+    found = found.join(F.broadcast(total), "at").withColumn("share", F.col("n") / F.col("total"))  # a row for each language
     found = found.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where("share >= 0.5 * most")
-    ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    top = ranked.where(F.col("nth") <= grams_per_lang).select("lang", "gram").toPandas()
-    lang = top["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy(dtype=np.int64)
-    return make_filters(langs, lang, top["gram"].to_numpy(dtype=np.int64).astype(np.uint32))
+    ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), "gram")))
+    top = ranked.where(F.col("nth") <= grams_per_lang).select("at", "gram")
+    if len(langs) > LANGS_AT_ONCE:
+        top = Scratch(spark, "langs").keep(top, "grams")
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for first in range(0, len(langs), LANGS_AT_ONCE):
+            some = top.where(F.col("at").between(first, first + LANGS_AT_ONCE - 1)).toPandas()
+            yield some["at"].to_numpy(dtype=np.int64), some["gram"].to_numpy(dtype=np.int64).astype(np.uint32)
+
+    return filled(langs, parts())
 
 
 def predict(docs: DataFrame, filters: Filters, keep: list[Column | str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from boardflow.llm import fingerprint as fp
+from boardflow.llm import language_id
 from boardflow.llm.common import Scratch
 from boardflow.llm.language_id import grams_of, identify, make_filters, score_texts
 from boardflow.llm.queries import QUERIES
@@ -114,6 +115,17 @@ def test_held_out_accuracy(spark):
     assert len(right) > 100 and np.mean(right) >= 0.97
 
 
+@pytest.mark.parametrize("at_once", [256, 20])
+def test_more_labels_than_bits_of_a_word(spark, monkeypatch, at_once):
+    monkeypatch.setattr(language_id, "LANGS_AT_ONCE", at_once, raising=False)
+    rng = np.random.default_rng(8)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for _ in range(130)]
+    rows = [(130 * d + k, " ".join(rng.permutation(w).tolist()), f"l{k:03}") for k, w in enumerate(words) for d in range(8 if k < 129 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in identify(docs).collect()}
+    assert found == {d: lang for d, _, lang in rows}
+
+
 def test_held_out_labels_are_never_used(spark):
     docs = data.documents(spark)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
