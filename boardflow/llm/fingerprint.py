@@ -13,6 +13,11 @@ once more at three times the size before its digests themselves are compared.
 Likeness is the Jaccard similarity of the two paragraph sets, from their sizes
 and the number of recovered digests; two texts without words are alike (1).
 
+Such paragraphs are too coarse for a text of few words or of very long ones: it
+is a single digest. So two texts are also likened by finer pieces, runs of code
+points of their words, where both have long words or one is short; elsewhere
+paragraphs do. The length of a run comes from the longer text and holds for both.
+
 The next document is found from ids alone, in ranges of ids; a text is shuffled
 once by its own key (both branches read the same columns, so that Spark reuses
 the exchange), and its head once to the document that it edits.
@@ -29,6 +34,10 @@ PIECE_WORDS = 16
 SUBTABLE = 8  # cells of each of the three subtables of a fingerprint
 BLOCK = 16  # digests, of both texts, in a block of a larger sketch
 ROUNDS = 60
+SHORT = 1024  # code points of a text that is likened by finer pieces to texts of up to ``TIMES`` times its length
+TIMES = 16
+SPARSE = 256  # code points for each distinct paragraph, beyond which a text has very long words or repeats itself
+RUNS = 16  # runs of code points, at least, in a text of 32 code points or more in one word
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -42,6 +51,21 @@ def digests_sql(text: str) -> str:
     return f"array_distinct(transform({pieces}, p -> xxhash64(rtrim(p))))"
 
 
+def runs_sql(text: str, n: str, m: str) -> str:
+    """SQL: distinct digests of the runs of code points of a text's words, for a comparison of texts of ``n`` and ``m`` code points."""
+    size = f"greatest(2, greatest({n}, {m}) div {RUNS})"
+    return rf"array_distinct(transform(regexp_extract_all({text}, concat(r'\S{{1,', {size}, '}}+'), 0), p -> xxhash64(p)))"
+
+
+def sparse_sql(keys: str, n: str) -> str:
+    return f"({n} > {SPARSE} * size({keys}))"
+
+
+def short_sql(n: str, m: str) -> str:
+    """SQL: whether one of two texts is short and the other not much longer."""
+    return f"(least({n}, {m}) <= {SHORT} and greatest({n}, {m}) <= {TIMES} * least({n}, {m}))"
+
+
 def _places(key: str, sub: str) -> str:
     return ", ".join(f"cast({j} * {sub} + pmod(xxhash64({key}, {j}), {sub}) as int) as p{j}" for j in range(3))
 
@@ -137,21 +161,33 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     returned; rows with the same doc_id and other texts follow one another in
     the order of their texts' hashes; a null doc_id comes last. A lone document
     is its own next one. An empty table gives none.
+
+    near_edited and near_next are by paragraphs; fine_edited and fine_next by
+    runs of code points where texts are short or have very long words, by
+    paragraphs elsewhere.
     """
     rows = fingerprints(docs, id_col, text_col)
     chain = successors(rows.select("doc_id", "id0", "mark", "n_chars").distinct())
-    chain = chain.select(F.col("next_id0").alias("id0"), F.col("next_mark").alias("mark"), F.col("id0").alias("to_id0"), F.col("mark").alias("to_mark"), F.floor(F.col("n_chars") / 3).alias("take"))
-    heads = rows.join(chain, ["id0", "mark"]).select("to_id0", "to_mark", F.expr("left(text, cast(take as int))").alias("head"), F.expr(digests_sql("text")).alias("next_keys"), F.col("doc_id").alias("next_doc_id"), F.col("n_chars").alias("next_n_chars"))
+    chain = chain.select(F.col("next_id0").alias("id0"), F.col("next_mark").alias("mark"), F.col("id0").alias("to_id0"), F.col("mark").alias("to_mark"), F.floor(F.col("n_chars") / 3).alias("take"), F.col("n_chars").alias("to_n_chars"))
+    heads = rows.join(chain, ["id0", "mark"]).select("to_id0", "to_mark", F.expr("left(text, cast(take as int))").alias("head"), F.expr(digests_sql("text")).alias("next_keys"), F.col("doc_id").alias("next_doc_id"), F.col("n_chars").alias("next_n_chars"), "to_n_chars", "text")
+    heads = heads.withColumn("next_text", F.expr(f"if({sparse_sql('next_keys', 'next_n_chars')} or {short_sql('next_n_chars', 'to_n_chars')}, text, null)")).drop("text", "to_n_chars")
     once = Window.partitionBy("to_id0", "to_mark").orderBy("to_mark")
-    heads = heads.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(F.col("to_id0").alias("id0"), F.col("to_mark").alias("mark"), "head", "next_keys", "next_doc_id", "next_n_chars")
+    heads = heads.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(F.col("to_id0").alias("id0"), F.col("to_mark").alias("mark"), "head", "next_keys", "next_doc_id", "next_n_chars", "next_text")
     both = rows.join(heads, ["id0", "mark"])
     edited = "concat(left(text, cast(n_chars - n_chars div 3 as int)), head)"
     nexts = ["next_doc_id", "next_n_chars"]
-    both = both.select("doc_id", "n_chars", *nexts, F.expr(edited).alias("edited"), F.expr(digests_sql("text")).alias("keys"), "next_keys")
-    both = both.select("doc_id", "n_chars", *nexts, F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", F.expr(digests_sql("edited")).alias("edited_keys"))
+    both = both.select("doc_id", "n_chars", *nexts, F.expr(edited).alias("edited"), F.expr(digests_sql("text")).alias("keys"), "next_keys", "text", "next_text")
+    both = both.select("doc_id", "n_chars", *nexts, F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", F.expr(digests_sql("edited")).alias("edited_keys"), "text", "next_text", "edited", F.expr("char_length(edited)").alias("edited_n_chars"))
+    for other in ("edited", "next"):
+        fine = f"({sparse_sql('keys', 'n_chars')} and {sparse_sql(f'{other}_keys', f'{other}_n_chars')} or {short_sql('n_chars', f'{other}_n_chars')})"
+        its = "edited" if other == "edited" else "next_text"
+        both = both.withColumn(f"runs_{other}", F.expr(f"if({fine}, {runs_sql('text', 'n_chars', f'{other}_n_chars')}, null)"))
+        both = both.withColumn(f"{other}_runs", F.expr(f"if({fine}, {runs_sql(its, 'n_chars', f'{other}_n_chars')}, null)"))
+    both = both.drop("text", "next_text", "edited", "edited_n_chars")
     size = str(SUBTABLE)
     both = both.withColumn("cells", F.expr(cells_sql("keys", size))).withColumn("edited_cells", F.expr(cells_sql("edited_keys", size)))
-    return both.select(
+    runs = [f"{a}_{b}" for o in ("edited", "next") for a, b in (("runs", o), (o, "runs"))]
+    both = both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -160,7 +196,10 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.expr(likeness_sql("keys", "edited_keys", "cells", "edited_cells")).alias("near_edited"),
         F.expr(likeness_sql("keys", "next_keys")).alias("near_next"),
         *nexts,
+        *runs,
     )
+    fine = {f"fine_{o}": F.expr(f"if(runs_{o} is null, near_{o}, {likeness_sql(f'runs_{o}', f'{o}_runs')})") for o in ("edited", "next")}
+    return both.withColumns(fine).drop(*runs)
 
 
 def op6_lookup_sketches(spark, sf_dir: str) -> DataFrame:

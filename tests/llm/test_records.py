@@ -190,6 +190,27 @@ def test_fingerprint_edge_cases(spark):
     assert fp.compare_edited(spark.createDataFrame([(1, "alone")], "doc_id long, text string")).first().near_next == 1.0
 
 
+def test_texts_of_one_paragraph_are_like_their_edited_ones(spark):
+    rng = np.random.default_rng(9)
+    letters = lambda low, n: "".join(chr(low + int(i)) for i in rng.integers(0, 3000, n))
+    texts = ["a few words of text stay", "abc", "Boardflow", letters(0x4E00, 90), letters(0xAC00, 5000), letters(0x3400, 70_000), "\U0001f43c\U0001f40d" * 9, " ".join(f"w{i}" for i in range(1500))]
+    rows = [(len(texts) - i, t) for i, t in enumerate(texts)]
+    found = {r.doc_id: r for r in fp.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def runs(text, n):
+        return set(re.findall(rf"\S{{1,{max(2, n // 16)}}}", text))
+
+    for doc_id, text, edited, after in chain_rows(rows):
+        r, n = found[doc_id], len(text)
+        short = lambda m: min(n, m) <= 1024 and max(n, m) <= 16 * min(n, m)  # noqa: B023, E731
+        sparse = lambda t: len(t) > 256 * len(paragraphs(t))
+        for other, fine, near in ((edited, r.fine_edited, r.near_edited), (after, r.fine_next, r.near_next)):
+            pair = max(n, len(other))
+            assert fine == pytest.approx(alike(runs(text, pair), runs(other, pair)) if short(len(other)) or sparse(text) and sparse(other) else near)
+        assert r.fine_edited > 0.3 and r.fine_edited > r.fine_next
+    assert found[len(texts)].near_edited == 0
+
+
 def test_peeling_recovers_the_difference(spark):
     a, b = [f"p{i}" for i in range(40)], [f"p{i}" for i in range(4, 45)]
     rows = spark.createDataFrame([("\n".join(a), "\n".join(b))], "a string, b string")
