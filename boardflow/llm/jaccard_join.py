@@ -260,6 +260,8 @@ def _postings(sketched: DataFrame, groups: DataFrame, scratch: Scratch) -> DataF
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Link documents of a Jaccard similarity of at least ``percent`` / 100: doc_id, n_shingles, component_id, one row per input row.
 
+    It gives components, neither pairs nor a document's number of links: pairs
+    inside a component that is known already aren't verified.
     ``component_id`` is the smallest doc_id that links reach. A null text or one
     without words has 0 shingles, links with nothing and is its own component.
     Repeated rows link like copies. Null ids are never the smallest, but where a
