@@ -7,15 +7,20 @@ and a >= t b. The order here is: rare first.
 1. Frequencies: each task counts its documents' shingles in chunks and passes
    on those it saw twice or more; their sums go, as a logarithm, into a table of
    fixed size. It only orders shingles; what it gets wrong costs time, not links.
-2. Every document becomes its set's size and hash and its prefix. Equal sets
-   are one record; records of equal prefix and size are one group.
-3. Groups meet by prefix shingles. In the first round each group is paired with
-   one leader per shingle and size class; pairs are verified on the whole sets,
-   and links give components. Further rounds pair a record of each component with
-   one of another, as long as many of those link. The last one expands the groups to all members and takes every pair that
-   shares a prefix shingle, passes the size and position filters and isn't
-   joined yet. So a large group of copies costs one check a member, and no link
+2. Every document becomes its set's size and hash, its prefix and a parity
+   bitmap of the set with about a bit for each shingle. Equal sets are one
+   record; records of equal prefix and size are one group.
+3. Groups meet by prefix shingles within ranges of sizes. In the first round each
+   group is paired with one leader per shingle and size class, and with its own
+   members; links give components. Further rounds pair a group of each component
+   with one of another, as long as many of those link. The last one takes every
+   pair of groups that shares a prefix shingle, passes the size and position
+   filters and holds members of different components, and only then expands it to
+   its members. So a large group of copies costs one check a member, and no link
    between different components is lost.
+4. Of two sets the bitmaps differ in at most as many bits as the sets in
+   shingles: pairs that this bound rules out go before any text is fetched. The
+   others are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardflow.llm.common import Scratch, pick, small_batches, table
@@ -38,7 +43,8 @@ CHUNK = 1 << 21  # shingles counted at once
 SHORT = 24  # bits of a shingle's hash that are left out where it is only counted
 OFTEN = 4
 WORTHWHILE = 4  # a round that draws pairs is followed by another if one in so many links
-ENOUGH = 2  # pairs left for each row left, with which the last round begins
+ENOUGH = 8  # pairs left for each row left, before any filter, with which the last round begins
+RANGE = 6  # size classes in a range within which groups meet
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.zeros(256, dtype=bool)
@@ -100,6 +106,20 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bit for each value that so many hashes of the set end in, a power of two of them: whether their number is odd."""
+    size = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def may_link(n_a: int, n_b: int, a: bytes, b: bytes, percent: int) -> bool:
+    """Whether sets of these sizes and parity bits can be similar enough: each differing bit is a shingle that only one has."""
+    x, y = (np.frombuffer(bits, dtype=np.uint8) for bits in ((a, b) if len(a) <= len(b) else (b, a)))
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    same = (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
+    return 100 * same >= percent * (n_a + n_b - same)
+
+
 def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
     """Table of the logarithm of about how many documents have a shingle, by the shingle's upper bits."""
 
@@ -129,7 +149,7 @@ def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> DataFrame:
-    """All columns but the text, n (size of the set), h1, h2 (hash of the set), p1 (hash of prefix and size), prefix."""
+    """All columns but the text, n (size of the set), h1, h2 (hash of the set), p1 (hash of prefix and size), prefix, bits (parity)."""
     carried = [f for f in rows.schema.fields if f.name != "text"]
     table = rows.sparkSession.sparkContext.broadcast(often)  # 1 << TABLE_BITS bytes
 
@@ -137,7 +157,7 @@ def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> D
         import pyarrow as pa
 
         for batch in batches:
-            n, h1, h2, p1, ends, parts = [], [], [], [], [0], []
+            n, h1, h2, p1, ends, parts, bits = [], [], [], [], [0], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 rank = table.value[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                 size = int(prefix_length(len(s), percent)) if len(s) else 0
@@ -148,13 +168,14 @@ def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> D
                 h2.append(both & (2**64 - 1))
                 p1.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=len(s)))
                 parts.append(first)
+                bits.append(parity_bits(s) if len(s) else None)
                 ends.append(ends[-1] + size)
             long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), long(np.concatenate(parts) if parts else []))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), pa.array(n, pa.int64()), long(h1), long(h2), long(p1), prefix], names=[*(f.name for f in carried), "n", "h1", "h2", "p1", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), pa.array(n, pa.int64()), long(h1), long(h2), long(p1), prefix, pa.array(bits, pa.binary())], names=[*(f.name for f in carried), "n", "h1", "h2", "p1", "prefix", "bits"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried)
-    return rows.mapInArrow(sketch, f"{kinds}, n long, h1 long, h2 long, p1 long, prefix array<long>")
+    return rows.mapInArrow(sketch, f"{kinds}, n long, h1 long, h2 long, p1 long, prefix array<long>, bits binary")
 
 
 def _whole_texts(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -219,42 +240,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _postings(sketched: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """gid, n, members, pos, token: the prefixes of the groups' first records, without shingles that no other group has.
+def _plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b of records that their sizes and parity bits don't rule out."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(members.select(F.col("rec").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+
+    def may(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True)
+            at = pa.array([may_link(*row, percent) for row in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(at), batch.column("b").filter(at)], names=["a", "b"])
+
+    return both.mapInArrow(may, "a long, b long")
+
+
+def _ranges(percent: int) -> Column:
+    """The ranges of sizes that a set of ``n`` shingles is in, as hashes: sets of which one is at most 100 / percent times as large share one."""
+    at = F.log(F.col("n").cast("double")) / math.log(100 / percent)
+    return F.array_distinct(F.array(F.xxhash64(F.floor(at / RANGE)), F.xxhash64(F.floor((at + (1 + 1e-6)) / RANGE))))
+
+
+def _postings(sketched: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """gid, n, range, pos, token: the prefixes of the groups' first records, without shingles that no other group of such a size has.
 
-    Two Bloom filters keep what can't pair out of the shuffles: one of the
-    groups' first records (salted: of those with several members, whose whole
-    prefix stays), and one of the shingles counted twice or more. What passes by
+    Of a pair the set that isn't the larger one has its first common shingle so
+    early that a set of its own size could still be similar enough; so a shingle
+    counts only where it stands that early in one of its sets. Two Bloom filters
+    keep what can't pair out of the shuffles: one of the groups' first records, and
+    one of the shingles, with a range of sizes, counted twice or more. What passes by
     chance finds no partner, or goes in the last join.
     """
     spark = sketched.sparkSession
-    heads = groups.select(F.explode(F.array(F.xxhash64("rec"), F.when(F.col("members") > 1, F.xxhash64("rec", F.lit("many"))))).alias("h")).where("h is not null")
+    heads = groups.select(F.xxhash64("rec").alias("h"))
     head = spark.sparkContext.broadcast(build_filter(heads, heads.count()))
 
     def is_head(h: pd.Series) -> pd.Series:
         return pd.Series(head.value.has(h.to_numpy().astype(np.int64).view(np.uint64)))
 
-    rows = sketched.where("n > 0").select("row", F.xxhash64("row").alias("h"), F.xxhash64("row", F.lit("many")).alias("m"), "prefix")
-    leading = rows.where(F.pandas_udf(is_head, "boolean")("h"))
-    often = leading.select(F.explode("prefix").alias("t")).select(F.shiftrightunsigned("t", SHORT).alias("h")).groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    rows = sketched.where("n > 0").select("row", "n", F.xxhash64("row").alias("h"), "prefix", _ranges(percent).alias("ranges"))
+    leading = rows.where(F.pandas_udf(is_head, "boolean")("h")).drop("h")
+    ranged = leading.select("n", F.explode("ranges").alias("range"), "prefix").select("n", "range", F.posexplode("prefix").alias("pos", "t"))
+    early = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
+    often = ranged.select(F.shiftrightunsigned(F.col("t").bitwiseXOR(F.col("range")), SHORT).alias("h"), early.alias("early"))
+    often = often.groupBy("h").agg(F.count("*").alias("k"), F.max("early").alias("early")).where("k > 1 and early")
     often = scratch.keep(often.select("h"), "often")
     token = spark.sparkContext.broadcast(build_filter(often, often.count()))
+    scratch.drop(often)
 
     def kept(batches):
         import pyarrow as pa
 
+        long = lambda a: a.to_numpy(zero_copy_only=False).astype(np.int64)
         for batch in batches:
-            prefix = batch.column("prefix")
-            sizes = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            values = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            lead, many = (head.value.has(batch.column(c).to_numpy().view(np.uint64)) for c in ("h", "m"))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.flatnonzero(lead[owner] & (many[owner] | token.value.has(values >> np.uint64(SHORT))))
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(owner[at])), pa.array(pos[at].astype(np.int32)), pa.array(values[at].view(np.int64))], names=["gid", "pos", "token"])
+            prefix, ranges = batch.column("prefix"), batch.column("ranges")
+            sizes, values = long(prefix.value_lengths()), long(prefix.flatten())
+            begins, salts, of = np.cumsum(sizes) - sizes, long(ranges.flatten()), np.repeat(np.arange(len(sizes)), long(ranges.value_lengths()))
+            owner = np.repeat(np.arange(len(of)), sizes[of])  # a row for each document, range and shingle
+            pos = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[of]) - sizes[of], sizes[of])
+            t = values[begins[of[owner]] + pos]
+            at = np.flatnonzero(token.value.has((t ^ salts[owner]).view(np.uint64) >> np.uint64(SHORT)))
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(of[owner[at]])), pa.array(salts[owner[at]]), pa.array(pos[at].astype(np.int32)), pa.array(t[at])], names=["gid", "range", "pos", "token"])
 
-    found = rows.mapInArrow(kept, "gid long, pos int, token long")
-    return found.join(groups.select(F.col("rec").alias("gid"), "n", "members"), "gid")
+    found = leading.mapInArrow(kept, "gid long, range long, pos int, token long")
+    return found.join(groups.select(F.col("rec").alias("gid"), "n"), "gid")
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -285,31 +336,37 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     records = scratch.keep(records, "records")
     groups = scratch.keep(records.groupBy("n", "p1").agg(F.min("rec").alias("rec"), F.count("*").alias("members")), "groups")
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
-    postings = scratch.keep(_postings(sketched, groups, scratch).withColumn("class", size_class), "postings")
+    postings = scratch.keep(_postings(sketched, groups, percent, scratch).withColumn("class", size_class), "postings")
 
+    heads = postings.select("gid").unionByName(groups.where("members > 1").select(F.col("rec").alias("gid"))).distinct()
     members = records.join(groups.select("n", "p1", F.col("rec").alias("gid")), ["n", "p1"]).select("rec", "gid", "n", "h1", "h2", "least")
-    members = scratch.keep(members.join(postings.select("gid").distinct(), "gid"), "members")
+    members = members.join(heads, "gid").join(sketched.select(F.col("row").alias("rec"), "bits"), "rec")
+    members = scratch.keep(members, "members")
     texts = None
 
     def verified(pairs: DataFrame) -> DataFrame:
         nonlocal texts
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
-        wanted = wanted if texts is None else wanted.join(texts.select("rec"), "rec", "left_anti")
+        pairs = scratch.keep(_plausible(pairs, members, percent), "plausible")
+        named = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct(), "named")
+        wanted = named if texts is None else named.join(texts.select("rec"), "rec", "left_anti")
         wanted = scratch.keep(members.join(wanted, "rec").select("rec", "n", "h1", "h2", "least"), "wanted")
-        more = scratch.keep(_whole_texts(rows, words, wanted), "texts")
+        more = scratch.keep(_whole_texts(rows, words, wanted), "texts")  # each text is fetched once
+        used = more if texts is None else more.unionByName(texts.join(named, "rec", "left_semi"))
         texts = more if texts is None else texts.unionByName(more)
-        return scratch.keep(_verified(pairs, texts, words, percent), "linked")
+        linked = scratch.keep(_verified(pairs, used, words, percent), "linked")
+        for read in (named, wanted, pairs):
+            scratch.drop(read)
+        return linked
 
     needed = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + percent))
     reach = 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1) >= needed
     near = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & reach
-    pair = [F.least("a.rec", "b.rec").alias("a"), F.greatest("a.rec", "b.rec").alias("b")]
+    pair = [F.least("a.gid", "b.gid").alias("a"), F.greatest("a.gid", "b.gid").alias("b")]
 
     # First round: one leader for a shingle and a size class, and a group's own members.
-    led = postings.withColumn("rec", F.col("gid"))
-    lead = led.groupBy("token", "class").agg(F.min(F.struct("rec", "n", "pos")).alias("lead"), F.count("*").alias("k")).where("k > 1")
-    lead = lead.select("token", "class", "lead.rec", "lead.n", "lead.pos")
-    first = led.alias("a").join(lead.alias("b"), ["token", "class"]).where((F.col("a.rec") != F.col("b.rec")) & near).select(*pair)
+    lead = postings.groupBy("token", "range", "class").agg(F.min(F.struct("gid", "n", "pos")).alias("lead"), F.count("*").alias("k")).where("k > 1")
+    lead = lead.select("token", "range", "class", "lead.gid", "lead.n", "lead.pos")
+    first = postings.alias("a").join(lead.alias("b"), ["token", "range", "class"]).where((F.col("a.gid") != F.col("b.gid")) & near).select(*pair)
     own = members.where("rec != gid").select(F.least("rec", "gid").alias("a"), F.greatest("rec", "gid").alias("b"))
     done = scratch.keep(first.unionByName(own).distinct(), "pairs")
     links = verified(done)
@@ -317,24 +374,33 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     turn, merging = 0, True
     while True:
         joined = connected_components(links, scratch)
-        known = members.join(joined.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "gid", F.coalesce("component", "rec").alias("comp"))
-        open_ = postings.join(known, "gid")
-        mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-        open_ = scratch.keep(open_.join(mixed, "token").select("token", "class", "rec", "n", "pos", "comp"), "open")
+        known = members.select("rec", "gid").join(joined.withColumnRenamed("node", "rec"), "rec", "left").select("rec", "gid", F.coalesce("component", "rec").alias("comp"))
+        known = scratch.keep(known, "known")
+        # A group's components: the least, the greatest and its first record's.
+        spread = known.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("rec") == F.col("gid"), F.col("comp"))).alias("comp"))
+        open_ = postings.join(spread, "gid")
+        mixed = open_.groupBy("token", "range").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token", "range")
+        open_ = scratch.keep(open_.join(mixed, ["token", "range"]), "open")
         # Pairs of different components that share a shingle: few enough to take them all?
-        sizes = open_.groupBy("token", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        sizes = open_.groupBy("token", "range", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("token", "range").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         rows_open, apart = sizes.agg(F.sum("k"), F.sum(F.col("k") * F.col("k") - F.col("kk")) / 2).first()
         last = not merging or (apart or 0) <= ENOUGH * (rows_open or 0)
         if last:
-            b, on, differ = open_, ["token"], F.col("a.comp") < F.col("b.comp")
-        else:  # of each component a record drawn anew each turn meets one of its size class, and one of the class before
-            drawn = F.struct(F.xxhash64("rec", F.lit(turn)).alias("draw"), "rec", "n", "pos", "comp")
-            open_ = open_.groupBy("token", "class", "comp").agg(F.min(drawn).alias("r")).select("token", "class", "comp", "r.rec", "r.n", "r.pos", "r.draw")
-            b = open_.groupBy("token", "class").agg(F.min(drawn).alias("r")).select("token", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "r.rec", "r.n", "r.pos", "r.comp")
-            on, differ = ["token", "class"], F.col("a.comp") != F.col("b.comp")
-        found = open_.alias("a").join(b.alias("b"), on).where(differ & near).select(*pair).distinct()
-        pairs = scratch.keep(found.join(done, ["a", "b"], "left_anti"), "pairs")
+            differ = (F.col("a.gid") < F.col("b.gid")) & (F.least("a.low", "b.low") != F.greatest("a.high", "b.high"))
+            found = open_.alias("a").join(open_.alias("b"), ["token", "range"]).where(differ & near).select(*pair)
+            found = found.unionByName(spread.where("low != high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
+            one, two = (known.select(F.col("gid").alias(side), F.col("rec").alias(f"rec_{side}"), F.col("comp").alias(f"comp_{side}")) for side in ("a", "b"))
+            found = found.join(one, "a").join(two, "b").where("comp_a < comp_b or (comp_a > comp_b and a != b)")
+            found = found.select(F.least("rec_a", "rec_b").alias("a"), F.greatest("rec_a", "rec_b").alias("b"))
+        else:  # of each component a group drawn anew each turn meets one of its size class, and one of the class before
+            drawn = F.struct(F.xxhash64("gid", F.lit(turn)).alias("draw"), "gid", "n", "pos", "comp")
+            some = open_.groupBy("token", "range", "class", "comp").agg(F.min(drawn).alias("r")).select("token", "range", "class", "comp", "r.gid", "r.n", "r.pos", "r.draw")
+            b = some.groupBy("token", "range", "class").agg(F.min(drawn).alias("r")).select("token", "range", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "r.gid", "r.n", "r.pos", "r.comp")
+            found = some.alias("a").join(b.alias("b"), ["token", "range", "class"]).where((F.col("a.comp") != F.col("b.comp")) & near).select(*pair)
+        pairs = scratch.keep(found.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         more = verified(pairs)
+        scratch.drop(open_)
+        scratch.drop(known)
         merging = more.count() * WORTHWHILE > pairs.count()
         links, done, turn = links.unionByName(more), done.unionByName(pairs), turn + 1
         if last:
