@@ -1,16 +1,19 @@
 """Shared helpers: positional column picking, scratch tables, Arrow batch limits.
 
-Scratch tables live under ``spark.checkpoint.dir`` (a folder all executors and
-the driver share). Only where that setting is absent, as in local tests, is a
-temporary folder used. They replace lineage: a lost executor never forces the
-text scans before them to run again.
+Scratch tables live under ``spark.checkpoint.dir`` or the context's checkpoint
+directory, a folder that all executors and the driver share. Only where neither
+is set and the master is local, as in tests, is a temporary folder used. They
+replace lineage: a lost executor never forces the text scans before them to run
+again.
 """
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +37,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or a local one where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder for scratch tables; an error where there is none on a cluster."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="boardflow-")
     return _LOCAL[app]
@@ -71,16 +77,25 @@ class Scratch:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder: by Spark's file system, or a local one after the session has ended."""
     if spark.sparkContext._jsc is None:
+        if urlparse(path).scheme in ("", "file"):
+            shutil.rmtree(unquote(urlparse(path).path), ignore_errors=True)
         return
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker holds at once: documents can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound what a Python worker holds at once: documents can be very long.
+
+    Plans are lazy, so the session's limits stay; they are only ever lowered.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        found = str(spark.conf.get(key, None))
+        if not found.isdigit() or not 0 < int(found) <= most:
+            spark.conf.set(key, str(most))
 
 
 def power_of_two(n: float) -> int:
