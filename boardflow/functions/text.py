@@ -1,4 +1,10 @@
-"""Column functions on names and numbers. One UDF, for compatibility decomposition; the rest stays in the JVM."""
+"""Column functions on names and numbers, all in the JVM.
+
+Folding goes code point by code point, so what compatibility decomposition and
+the look-alikes make of each is worked out once on the driver, by rule, and
+becomes the argument of a ``translate``; only code points that stand for several
+letters need a look-up, in the few texts that have them.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +12,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Look-alikes of ASCII letters that decomposition leaves as they are.
 LOOKALIKES = {
@@ -19,6 +23,12 @@ LOOKALIKES = {
     "Ŋ": "N", "ŋ": "n", "Ų": "U", "ų": "u", "Ɓ": "B", "ɓ": "b", "Į": "I", "į": "i", "Ə": "E", "Ɔ": "O",
     "Ʌ": "A", "Ƨ": "S", "Ƽ": "S", "Ʈ": "T", "Ɗ": "D", "Ɖ": "D", "Ƙ": "K", "Ɲ": "N", "Ɍ": "R", "Ɏ": "Y",
 }
+# Letters that the rule below doesn't reach, and those that it reaches but that stand for nothing.
+MORE_LETTERS = {
+    "Ʉ": "U", "ʉ": "U", "ᵻ": "I", "ᵾ": "U", "ᶧ": "I", "ᶶ": "U", "\u1abf": "W", "Ꝛ": "R", "ꝛ": "R", "ꬱ": "A", "ꭇ": "R", "ꭏ": "U", "\U0001f1a5": "D",
+    "\u1dca": "R", "\u1dd7": "C", "\u1de3": "R", "\u1dec": "L", "\u1ded": "O", "\u1df0": "U", "\u1df2": "A", "\u1df3": "O", "\u1df4": "U",
+}
+NO_LETTERS = "ʛᴌꭆ\U00010794\U0001079c\U0001df04"
 EXOTIC = 0.5  # from this share of non-ASCII code points on, a name counts as stylised
 DIGITS = {w: str(i) for i, w in enumerate("ZERO ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE".split())}
 INVISIBLE = r"[\x{200D}\x{FE0E}\x{FE0F}\x{1F3FB}-\x{1F3FF}\x{0}-\x{20}]"
@@ -38,7 +48,8 @@ def latin_variants() -> dict[int, str]:
             out[ord(c)] = m[1]
         elif (m := digit.fullmatch(name)) and m[1] in DIGITS:
             out[ord(c)] = DIGITS[m[1]]
-    return out | {ord(k): v for k, v in LOOKALIKES.items()}
+    out = {c: v for c, v in out.items() if chr(c) not in NO_LETTERS}
+    return out | {ord(k): v for k, v in (MORE_LETTERS | LOOKALIKES).items()}
 
 
 def fold_text(text: str) -> str:
@@ -47,15 +58,23 @@ def fold_text(text: str) -> str:
     return re.sub("[^a-z0-9]", "", plain)
 
 
-@F.pandas_udf(StringType())
-def _fold_udf(s: pd.Series) -> pd.Series:
-    return s.map(fold_text, na_action="ignore")
+@lru_cache(maxsize=1)
+def folded_points() -> tuple[dict[str, str], dict[str, str]]:
+    """By rule: the code points beyond ASCII that fold to one letter or digit, and those that fold to several."""
+    folds = {c: f for c in map(chr, range(0x80, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and (f := fold_text(c))}
+    return {c: f for c, f in folds.items() if len(f) == 1}, {c: f for c, f in folds.items() if len(f) > 1}
 
 
 def fold(c: Column) -> Column:
-    """Letters a-z and digits of a name, whatever its style. Null gives ''. ASCII names never reach Python as more than a null."""
-    ascii_only = ~c.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(F.when(ascii_only, F.regexp_replace(F.lower(c), "[^a-z0-9]", "")).otherwise(_fold_udf(F.when(~ascii_only, c))), F.lit(""))
+    """Letters a-z and digits of a name, whatever its style. Null gives ''."""
+    one, several = folded_points()
+    points = F.split(c, "")
+    spelt = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    spelt = F.array_join(F.transform(points, lambda x: F.coalesce(spelt[x], x)), "")
+    whole = F.when(c.rlike("[" + "".join(several) + "]"), spelt).otherwise(c)
+    plain = F.translate(whole, "".join(one), "".join(one.values()))
+    plain = F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
+    return F.coalesce(F.regexp_replace(F.lower(plain), "[^a-z0-9]", ""), F.lit(""))
 
 
 def usable(folded: Column, raw: Column) -> Column:

@@ -47,11 +47,12 @@ def bars(df: DataFrame, label: Column, value: Column, limit: int = CHART_ROWS) -
 
 
 def lines(df: DataFrame, series: Column, x: Column, y: Column, limit: int = SERIES, points: int = POINTS) -> DataFrame:
-    """series, x, y: an aggregate over time, for the series with most points of two or more."""
-    rows = df.groupBy(series.cast("string").alias("series"), x.cast("string").alias("x")).agg(y.cast("double").alias("y")).where("series is not null and x is not null and y is not null")
+    """series, x, y: an aggregate over time, for the series with most points of two or more; the first points in the order of x's own type."""
+    rows = df.groupBy(series.cast("string").alias("series"), x.alias("x")).agg(y.cast("double").alias("y")).where("series is not null and x is not null and y is not null")
     wide = rows.groupBy("series").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "series").limit(limit)
     nth = F.row_number().over(Window.partitionBy("series").orderBy("x"))
-    return rows.join(F.broadcast(wide.select("series")), "series").withColumn("nth", nth).where(F.col("nth") <= points).drop("nth")  # at most ``limit`` rows
+    out = rows.join(F.broadcast(wide.select("series")), "series").withColumn("nth", nth).where(F.col("nth") <= points)  # at most ``limit`` rows
+    return out.select("series", F.col("x").cast("string").alias("x"), "y")
 
 
 def comparison(df: DataFrame, label: str, period: str, before: object, after: object, value: Column) -> DataFrame:

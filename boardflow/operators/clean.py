@@ -8,26 +8,21 @@ from pyspark.sql import functions as F
 # Fixed values.
 LEAST_SCORES = 8
 TIMES_MEDIAN = 8
-BUCKETS = 4096
+BRACKET = (0.49, 0.51)  # shares between which an approximate percentile surely holds the middle
 
 
 def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
     """``by``, n, median: element ``n div 2`` (from 0) of the sorted positive values of each group.
 
-    Exact, without bringing a group together: counts in equal ranges of values
-    show which range holds the element, and only that range's distinct values
-    are counted one by one.
+    Exact, without bringing a group together: approximate percentiles give two
+    values that bracket the element, whatever the outliers; then the values below
+    are counted as one, and those in between one by one.
     """
     rows = df.select(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).where("v > 0")
-    span = rows.groupBy("by").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    share = F.when(F.col("high") > F.col("low"), (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
-    placed = rows.join(span, "by").withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS)))
-    upto = Window.partitionBy("by").orderBy("bucket")
-    buckets = placed.groupBy("by", "bucket").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    buckets = buckets.withColumn("end", F.sum("k").over(upto)).where("end > n div 2 and end - k <= n div 2")
-    inside = placed.join(buckets.select("by", "bucket", (F.col("end") - F.col("k")).alias("before")), ["by", "bucket"])
-    values = inside.groupBy("by", "v").agg(F.count("*").alias("k"), F.first("before").alias("before"), F.first("n").alias("n"))
-    values = values.withColumn("end", F.col("before") + F.sum("k").over(Window.partitionBy("by").orderBy("v")))
+    span = rows.groupBy("by").agg(F.percentile_approx("v", list(BRACKET), 10_000).alias("p"), F.count("*").alias("n"))
+    placed = rows.join(span.select("by", "n", F.col("p")[0].alias("low"), F.col("p")[1].alias("high")), "by").where("v <= high")
+    values = placed.groupBy("by", "n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("k"))
+    values = values.withColumn("end", F.sum("k").over(Window.partitionBy("by").orderBy(F.col("v").asc_nulls_first())))
     return values.where("end > n div 2").groupBy("by").agg(F.first("n").alias("n"), F.min("v").alias("median")).withColumnRenamed("by", by)
 
 

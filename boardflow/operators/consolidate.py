@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boardflow.functions.similarity import ORPHAN, similarity
 from boardflow.functions.text import fold, symbols
+from boardflow.operators.hold import hold
 
 LATER = 1 << 60  # attached sightings count after a group's own
 BLANK_RANK = 9999
@@ -60,12 +61,12 @@ def _summary(members: DataFrame) -> DataFrame:
 
 
 def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy in order of arrival, for one board and score: each joins the first leader it resembles, or leads."""
+    """Greedy in order of arrival, for the distinct names of one board and score: each joins the first leader it resembles, or leads."""
     from boardflow.operators.greedy import first_leaders
 
     pdf = pdf.sort_values("seq")
     pdf["gid"] = first_leaders(pdf["key"].tolist(), pdf["shown"].tolist(), pdf["seq"].tolist(), ORPHAN)
-    return pdf[["board_id", "seq", "gid"]]
+    return pdf[["board_id", "points", "key", "shown", "gid"]]
 
 
 def consolidate(sightings: DataFrame) -> DataFrame:
@@ -74,9 +75,11 @@ def consolidate(sightings: DataFrame) -> DataFrame:
     Sightings with a rank are grouped by it. One without joins the first group
     of its very score whose first sighting has a similar name, or else earlier
     ones like itself. Names without letters are alike only if their symbols are.
+    Sightings that show the same name for the same score go the same way, so
+    only distinct names are compared.
     """
     label = F.when(F.col("plain") != "", F.col("plain")).otherwise(F.col("name"))
-    rows = sightings.select("board_id", "seq", F.when(F.col("rank") > 0, F.col("rank")).alias("rank"), "points", "name", "plain", "roster_name")
+    rows = hold(sightings.select("board_id", "seq", F.when(F.col("rank") > 0, F.col("rank")).alias("rank"), "points", "name", "plain", "roster_name"))
     ranked = rows.where("rank is not null").withColumn("gid", F.concat(F.lit("r"), F.col("rank"))).withColumn("pos", F.col("seq"))
     keyed = lambda df: df.withColumn("label", label).withColumn("key", fold(F.col("label"))).withColumn("shown", symbols(F.col("label"))).drop("label")
     orphans = keyed(rows.where("rank is null"))
@@ -86,13 +89,15 @@ def consolidate(sightings: DataFrame) -> DataFrame:
     firsts = keyed(firsts).select("board_id", "gid", "g_pos", F.col("key").alias("g_key"), F.col("shown").alias("g_shown"))
     groups = modes.join(firsts, ["board_id", "gid"])
     alike = F.when((F.col("key") == "") & (F.col("g_key") == ""), F.col("shown") == F.col("g_shown")).otherwise(similarity(F.col("key"), F.col("g_key")) >= ORPHAN)
-    near = orphans.join(groups.withColumnRenamed("g_points", "points"), ["board_id", "points"]).where(alike)
-    attached = near.groupBy("board_id", "seq").agg(F.min_by("gid", "g_pos").alias("gid"))
-    rest = orphans.join(attached.select("board_id", "seq"), ["board_id", "seq"], "left_anti")
+    same = ["board_id", "points", "key", "shown"]
+    distinct = hold(orphans.groupBy(*same).agg(F.min("seq").alias("seq")))
+    near = distinct.join(groups.withColumnRenamed("g_points", "points"), ["board_id", "points"]).where(alike)
+    attached = near.groupBy(*same).agg(F.min_by("gid", "g_pos").alias("gid"))
+    rest = distinct.join(attached, same, "left_anti")
     board = sightings.schema["board_id"].dataType.simpleString()
-    led = rest.select("board_id", "points", "seq", "key", "shown").groupBy("board_id", "points").applyInPandas(_leaders, f"board_id {board}, seq long, gid string")
-    placed = orphans.join(attached.unionByName(led), ["board_id", "seq"]).withColumn("pos", F.col("seq") + LATER)
-    members = ranked.unionByName(placed.select(ranked.columns))
+    led = rest.select(*same, "seq").groupBy("board_id", "points").applyInPandas(_leaders, f"board_id {board}, points double, key string, shown string, gid string")
+    placed = orphans.join(attached.unionByName(led), same).withColumn("pos", F.col("seq") + LATER)
+    members = hold(ranked.unionByName(placed.select(ranked.columns)))
     out = _summary(members)
     return out.withColumn("group_pos", F.col("group_pos") % LATER + F.when(F.col("rank").isNull(), LATER).otherwise(0))
 

@@ -17,7 +17,12 @@ def first_leaders(keys: list[str], shown: list[str], ids: list[int], least: floa
     out = []
     for key, signs, i in zip(keys, shown, ids, strict=True):
         for lead, lead_signs, name in leaders:
-            if signs == lead_signs if not key and not lead else 1 - _edits(key, lead) / max(len(key), len(lead), 1) >= least:
+            longer = max(len(key), len(lead), 1)
+            if not key and not lead:
+                alike = signs == lead_signs
+            else:  # names of very different lengths are told apart at once
+                alike = 1 - abs(len(key) - len(lead)) / longer >= least and 1 - _edits(key, lead) / longer >= least
+            if alike:
                 out.append(name)
                 break
         else:

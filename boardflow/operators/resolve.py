@@ -2,9 +2,10 @@
 
 A row has several readings of one name and, at times, a claim of who it is.
 All candidates of all tiers are found by joins on keys, and one aggregate picks
-the first (tier, reading, place in the roster). No tier compares every row with
-every roster entry: near names meet on deletion keys, near symbols and
-suggestions on a shared character.
+the first one by tier and reading. No tier compares every row with every roster
+entry: near names meet on deletion keys, near symbols on a shared character, and
+suggestions on pairs of letters; only names for which those give nothing half
+alike are compared by single characters.
 """
 
 from __future__ import annotations
@@ -12,27 +13,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardflow.functions.similarity import NEAR_LETTERS, characters, claim_plausible, deletion_keys, similarity, symbols_near, within_one_edit
+from boardflow.functions.similarity import NEAR_LETTERS, characters, claim_plausible, deletion_keys, letter_pairs, similarity, symbols_near, within_one_edit
 from boardflow.functions.text import EXOTIC, alias_key, exoticness, fold, symbols, usable
 
-ALIAS, FOLD, CLAIM, SYMBOL, NEAR, NEAR_SYMBOL = range(1, 7)
-VIA = {ALIAS: "alias", FOLD: "name", CLAIM: "claim", SYMBOL: "symbol", NEAR: "near", NEAR_SYMBOL: "near symbol"}
+# Tiers; within the ladder of one reading, rungs.
+ALIAS, FOLD, CLAIM, LADDER = range(1, 5)
+FREE, FIRST, SYMBOL, NEAR, NEAR_SYMBOL = range(5)
+VIA = {ALIAS: "alias", FOLD: "name", CLAIM: "claim"}
+RUNG_VIA = {FREE: "alias", FIRST: "first name", SYMBOL: "symbol", NEAR: "near", NEAR_SYMBOL: "near symbol"}
 
 
 def name_keys(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with what matching needs of a name: key (usable fold), shown (symbols), exotic, any (fold or symbols)."""
-    out = df.withColumn("_fold", fold(F.col(name)))
+    """``df`` with what matching needs of a name: fold, key (usable fold), shown (symbols), exotic, any (fold or symbols)."""
+    out = df.withColumn("fold", fold(F.col(name))).withColumn("shown", symbols(F.col(name)))
     return (
-        out.withColumn("key", usable(F.col("_fold"), F.col(name)))
-        .withColumn("shown", symbols(F.col(name)))
+        out.withColumn("key", usable(F.col("fold"), F.col(name)))
         .withColumn("exotic", exoticness(F.coalesce(F.col(name), F.lit(""))))
-        .withColumn("any", alias_key(F.col(name)))
-        .drop("_fold")
+        .withColumn("any", F.when(F.col("fold") != "", F.col("fold")).when(F.col("shown") != "", F.concat(F.lit("\u0002"), "shown")).otherwise(""))
     )
 
 
 def roster_forms(roster: DataFrame) -> DataFrame:
-    """One row for each name of an entry: roster_id, ix_pos (order of search), form, key, shown, exotic, any."""
+    """One row for each name of an entry: roster_id, ix_pos (order of search), form, and its keys."""
     forms = roster.select("roster_id", F.posexplode(F.array("search", "ingame")).alias("i", "form")).where("form != ''")
     forms = forms.select("roster_id", (F.col("roster_id") * 2 + F.col("i")).alias("ix_pos"), "form")
     return name_keys(forms, "form")
@@ -74,63 +76,88 @@ def near_symbols(readings: DataFrame, forms: DataFrame, keys: list[str]) -> Data
 def most_similar(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
     """The entry with the most similar key to any reading of a row, over 0: ``keys``, roster_id, near_score.
 
-    Of equals the first reading, then the first roster form. Only texts that
-    share a character are similar at all; a pair is taken at the least one.
+    Of equals the first reading, then the first roster form. Names without a
+    pair of neighbouring letters in common are under half alike, as an edit
+    changes two pairs at most: so only names that find nothing half alike by
+    their pairs are compared by single characters too.
     """
-    left = readings.where("key != ''").select(*keys, "pos", "key", F.explode(characters(F.col("key"))).alias("ch"))
+    left = readings.where("key != ''").select(*keys, "pos", "key")
+    names = left.select("key").distinct()
     right = forms.where("key != ''").groupBy(F.col("key").alias("form_key")).agg(F.min_by("roster_id", "ix_pos").alias("roster_id"), F.min("ix_pos").alias("ix_pos"))
-    right = right.withColumn("ch", F.explode(characters(F.col("form_key"))))
-    least = F.array_min(F.array_intersect(characters(F.col("key")), characters(F.col("form_key"))))
-    pairs = left.join(right, "ch").where(F.col("ch") == least).withColumn("s", similarity(F.col("key"), F.col("form_key")))
-    best = F.max_by(F.struct("roster_id", "s"), F.struct("s", -F.col("pos"), -F.col("ix_pos")))
-    return pairs.where("s > 0").groupBy(*keys).agg(best.alias("b")).select(*keys, "b.roster_id", F.col("b.s").alias("near_score"))
+
+    def best(names: DataFrame, parts) -> DataFrame:
+        of, its = parts(F.col("key")), parts(F.col("form_key"))
+        pairs = names.withColumn("part", F.explode(of)).join(right.withColumn("part", F.explode(its)), "part")
+        pairs = pairs.where(F.col("part") == F.array_min(F.array_intersect(of, its))).withColumn("s", similarity(F.col("key"), F.col("form_key")))
+        return pairs.where("s > 0").groupBy("key").agg(F.max(F.struct("s", (-F.col("ix_pos")).alias("back"), "roster_id")).alias("b")).select("key", "b.*")
+
+    close = best(names, letter_pairs)
+    far = best(names.join(close.where("s >= 0.5").select("key"), "key", "left_anti"), characters)
+    found = close.where("s >= 0.5").unionByName(far)
+    top = F.max_by(F.struct("roster_id", "s"), F.struct("s", -F.col("pos"), "back"))
+    return left.join(found, "key").groupBy(*keys).agg(top.alias("b")).select(*keys, "b.roster_id", F.col("b.s").alias("near_score"))
 
 
 def resolve(rows: DataFrame, roster: DataFrame, aliases: DataFrame | None = None, keys: tuple[str, ...] = ("board_id", "gid")) -> DataFrame:
     """Consolidated rows (``keys``, name, plain, obs, claims) with roster_id, search, ingame, alliance, via, score, near_id and near_score.
 
-    Tiers: a correction in ``aliases`` (alias_key, name, alliance); a reading
-    that is one entry's name alone; a claim that a reading makes plausible; a
-    reading in an entry's symbols; near names; near symbols. A row that no
-    tier matches stays, with nulls, ``via`` '' and the most similar entry as a
-    suggestion. Null readings and claims are left out.
+    Tiers: a correction in ``aliases`` (alias_key, name, alliance) of the row's
+    name that is on the roster; a reading that is one entry's name alone; a claim
+    that a reading makes plausible (of twins the first); then the first reading
+    that a ladder matches, by a correction (also to a name that isn't on the
+    roster: no roster_id then), the first entry of that name, of those symbols, a
+    near name, near symbols. A row that nothing matches stays, with nulls, ``via``
+    '' and the most similar entry as a suggestion. Readings are ``obs``, or the
+    name without any; null readings and claims are left out.
     """
     ids = list(keys)
     forms = roster_forms(roster)
-    readings = rows.select(*ids, F.posexplode(F.array_distinct(F.concat(F.array("name", "plain"), F.coalesce("obs", F.array().cast("array<string>"))))).alias("pos", "reading"))
+    said = F.when(F.size("obs") > 0, F.col("obs")).otherwise(F.array("name"))
+    readings = rows.select(*ids, F.posexplode(said).alias("pos", "reading"))
     readings = name_keys(readings.where("reading is not null and reading != ''"), "reading")
+    none = F.lit(None).cast("string")
 
-    def hit(df: DataFrame, tier: int, pos: Column) -> DataFrame:
-        return df.select(*ids, F.struct(F.lit(tier).alias("tier"), pos.cast("long").alias("pos"), "roster_id").alias("hit"))
+    def hit(df: DataFrame, tier: int, pos: Column, rung: int = 0, name: Column = none, alliance: Column = none) -> DataFrame:
+        found = F.struct(F.lit(tier).alias("tier"), pos.cast("long").alias("pos"), F.lit(rung).alias("rung"), F.col("roster_id").cast("long").alias("roster_id"), name.alias("free"), alliance.alias("free_alliance"))
+        return df.select(*ids, found.alias("hit"))
 
-    zero = F.lit(0)
-    by_name = hit(readings.join(sole_owner(forms, "key"), "key"), FOLD, F.col("pos"))
-    by_symbol = hit(readings.where("key = ''").join(sole_owner(forms.where("key = ''"), "shown"), "shown"), SYMBOL, F.col("pos"))
-    near = hit(near_names(readings, forms, [*ids, "pos"]), NEAR, F.col("pos"))
-    near_signs = hit(near_symbols(readings, forms, [*ids, "pos"]), NEAR_SYMBOL, F.col("pos"))
+    first = forms.where("key != ''").groupBy("key").agg(F.min_by("roster_id", "ix_pos").alias("first_id"), F.min("roster_id").alias("low"), F.max("roster_id").alias("high"))
+    first = first.select(F.col("key").alias("fold"), "first_id", F.expr("if(low = high, low, null)").alias("sole_id"))
+    signs = first_hit(readings.where("shown != ''"), forms.where("key = ''"), "shown")
+    near, near_signs = near_names(readings, forms, [*ids, "pos"]), near_symbols(readings, forms, [*ids, "pos"])
     claims = rows.select(*ids, F.posexplode("claims").alias("claim_pos", "claim")).where("claim != ''")
-    claimed = claims.withColumn("any", alias_key(F.col("claim"))).join(sole_owner(forms, "any"), "any").select(*ids, "claim_pos", "roster_id")
+    claimed = claims.withColumn("fold", fold(F.col("claim"))).join(first, "fold").select(*ids, "claim_pos", F.coalesce("sole_id", "first_id").alias("roster_id"))
     shapes = forms.select("roster_id", F.col("key").alias("f_key"), F.col("shown").alias("f_shown"), F.col("exotic").alias("f_exotic"))
     plausible = claim_plausible(*[F.col(c) for c in ("key", "shown", "exotic", "f_key", "f_shown", "f_exotic")])
-    by_claim = hit(claimed.join(shapes, "roster_id").join(readings, ids).where(plausible), CLAIM, F.col("claim_pos"))
-    hits = by_name.unionByName(by_claim).unionByName(by_symbol).unionByName(near).unionByName(near_signs)
-    found = hits.groupBy(*ids).agg(F.min("hit").alias("hit")).select(*ids, "hit.tier", "hit.roster_id")
+    pos = F.col("pos")
+    hits = (
+        hit(readings.join(first.where("sole_id is not null"), "fold").withColumnRenamed("sole_id", "roster_id"), FOLD, pos)
+        .unionByName(hit(claimed.join(shapes, "roster_id").join(readings, ids).where(plausible), CLAIM, F.col("claim_pos")))
+        .unionByName(hit(readings.where("key != ''").drop("fold").withColumnRenamed("key", "fold").join(first, "fold").withColumnRenamed("first_id", "roster_id"), LADDER, pos, FIRST))
+        .unionByName(hit(signs, LADDER, pos, SYMBOL))
+        .unionByName(hit(near, LADDER, pos, NEAR))
+        .unionByName(hit(near_signs, LADDER, pos, NEAR_SYMBOL))
+    )
+    if aliases is not None:
+        given = aliases.groupBy("alias_key").agg(F.max(F.struct("name", "alliance")).alias("alias")).select(F.col("alias_key").alias("any"), "alias.*")
+        given = given.withColumn("fold", fold(F.col("name"))).join(first, "fold", "left").select("any", "name", "alliance", F.coalesce("sole_id", "first_id").alias("roster_id"))
+        own = rows.select(*ids, F.posexplode(F.array(F.when(F.coalesce("plain", F.lit("")) != "", F.col("plain")).otherwise(F.col("name")), F.col("name"))).alias("pos", "reading"))
+        own = own.withColumn("any", alias_key(F.col("reading"))).where("any != ''").join(given, "any")
+        # Of the row's two names the first that has a correction counts, on the roster or not.
+        own = own.groupBy(*ids).agg(F.min_by("roster_id", "pos").alias("roster_id")).where("roster_id is not null")
+        free = lambda c: F.when(F.col("roster_id").isNull(), F.coalesce(c, F.lit("")))
+        of_readings = readings.where("any != ''").join(given, "any")
+        hits = hits.unionByName(hit(own, ALIAS, F.lit(0))).unionByName(hit(of_readings, LADDER, pos, FREE, free(F.col("name")), free(F.col("alliance"))))
+    found = hits.groupBy(*ids).agg(F.min("hit").alias("hit")).select(*ids, "hit.tier", "hit.rung", "hit.roster_id", "hit.free", "hit.free_alliance")
 
     suggested = most_similar(readings.join(found, ids, "left_anti"), forms, ids).withColumnRenamed("roster_id", "near_id")
     names = roster.select("roster_id", "search", "ingame", "alliance")
     out = rows.join(found, ids, "left").join(names, "roster_id", "left").join(suggested, ids, "left")
-    via = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in VIA.items() for x in kv]), F.col("tier")), F.lit(""))
-    if aliases is not None:
-        given = aliases.groupBy("alias_key").agg(F.max(F.struct("name", "alliance")).alias("alias"))
-        mine = readings.where("pos < 2").withColumnRenamed("any", "alias_key").join(given, "alias_key")
-        mine = mine.groupBy(*ids).agg(F.min_by("alias", "pos").alias("alias"))
-        has = F.col("alias").isNotNull()
-        out = out.join(mine, ids, "left").withColumn("tier", F.when(has, ALIAS).otherwise(F.col("tier")))
-        out = out.withColumn("search", F.when(has, F.col("alias.name")).otherwise(F.col("search")))
-        out = out.withColumn("alliance", F.when(has, F.coalesce("alias.alliance", F.when(F.col("search") == F.col("alias.name"), F.col("alliance")))).otherwise(F.col("alliance")))
-        out = out.drop("alias")
-    out = out.withColumn("via", via)
-    return out.withColumn("score", F.when(F.col("tier").isNotNull(), 1.0).otherwise(F.coalesce("near_score", zero.cast("double")))).drop("tier")
+    word = lambda words, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.col(c))
+    out = out.withColumn("via", F.coalesce(F.when(F.col("tier") == LADDER, word(RUNG_VIA, "rung")).otherwise(word(VIA, "tier")), F.lit("")))
+    out = out.withColumns({"search": F.coalesce("search", "free"), "ingame": F.coalesce("ingame", "free"), "alliance": F.coalesce("alliance", "free_alliance")})
+    score = F.when(F.col("tier").isNotNull(), 1.0).otherwise(F.coalesce("near_score", F.lit(0.0)))
+    return out.withColumn("score", score).drop("tier", "rung", "free", "free_alliance")
 
 
 def drop_conflicts(df: DataFrame, by: str = "board_id", key: str = "roster_id", clear: tuple[str, ...] = ("roster_id", "search", "ingame", "alliance")) -> DataFrame:

@@ -15,6 +15,7 @@ END_GUARD = 0.05
 CELL_SHARE, LEAST_CELLS, LEAST_SIDE, REGION_PAD = 0.18, 0.02, 0.25, 0.006
 BAND_PAD = 0.25
 BATCHES, LEAST_BATCH, MOST_BATCH = 6, 8, 40
+CHARACTERS_PER_TOKEN, IMAGE_TOKENS, TOKENS_PER_MINUTE, REQUESTS, STRIPS, LEAST_FRAMES = 2.3, 1100, 225_000, 6, 3, 24
 
 
 def mean_difference(a: Column, b: Column) -> Column:
@@ -131,6 +132,14 @@ def batched(df: DataFrame, by: str, order: list[Column | str], out: str = "batch
     return df.withColumn("_nth", nth).join(size, by).withColumn(out, F.expr("(_nth - 1) div _size")).drop("_nth", "_size")
 
 
+def frame_budget(prompt_characters: Column, frames: Column) -> Column:
+    """What a run can afford, as struct (moments, images): moments wanted, and their images, after each request's prompt is paid for."""
+    prompt = F.ceil(prompt_characters / CHARACTERS_PER_TOKEN)
+    images = F.floor((TOKENS_PER_MINUTE - REQUESTS * (prompt + IMAGE_TOKENS)) / IMAGE_TOKENS)
+    moments = F.greatest(F.lit(LEAST_FRAMES).cast("long"), F.least(frames.cast("long"), F.floor(images / STRIPS)))
+    return F.struct(moments.alias("moments"), (moments * STRIPS).alias("images"))
+
+
 def rolling_sum(df: DataFrame, by: str, t: str, value: str, seconds: int = 60, out: str = "used") -> DataFrame:
     """Sum of a value over the last seconds, this row included."""
     window = Window.partitionBy(by).orderBy("_t").rangeBetween(-seconds * 1_000_000, Window.currentRow)

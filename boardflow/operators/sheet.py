@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardflow.functions.text import shown_key
+from boardflow.functions.text import EXOTIC, exoticness, shown_key, usable_fold
+from boardflow.operators.hold import hold
 
 # The fields and the heading patterns of each, in the order in which they claim headings.
 FIELDS = {
@@ -61,6 +62,13 @@ def to_sheet(rows: DataFrame, mapping: list[tuple[str, str | None]], extra: dict
     return rows.select(*sheet_columns(mapping, extra)).toDF(*[h for h, _ in mapping])
 
 
+def keyed_row(mapping: list[tuple[str, str | None]], extra: dict[str, str] | None = None) -> Column:
+    """A map from each mapped heading, trimmed and in lower case, to the cell: what a check for repeats compares."""
+    cells = dict(zip([h for h, _ in mapping], sheet_columns(mapping, extra), strict=True))
+    named = {h.strip().lower(): cells[h] for h, field in mapping if field and h}
+    return F.create_map(*[x for h, c in named.items() for x in (F.lit(h), c)])
+
+
 def key_headings(mapping: list[tuple[str, str | None]], extra: dict[str, str] | None = None) -> list[str]:
     """Headings that tell rows apart: the roster name, or else the game name; and the date, if one is set."""
     at = {field: heading for heading, field in mapping if field}
@@ -133,7 +141,33 @@ def output_rows(resolved: DataFrame, by: str = "board_id") -> DataFrame:
     return placed.select(by, index.alias("index"), "place", F.coalesce("search", F.lit("")).alias("search"), game.alias("ingame"), F.coalesce("alliance", F.lit("")).alias("alliance"), "points")
 
 
-def layout(df: DataFrame, order: list[Column | str], across: int = 4) -> DataFrame:
-    """Rows in order laid out ``across`` in a line: line and place from 0. One window over a roster's stylised names."""
-    at = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("_at", at).withColumn("line", F.expr(f"_at div {across}")).withColumn("place", F.col("_at") % across).drop("_at")
+def layout(df: DataFrame, name: str, order: list[Column | str], across: int = 4) -> DataFrame:
+    """The stylised names of a roster in order, ``across`` in a line: line and place from 0.
+
+    Numbers come from counts of blocks of the order, so no task holds all names.
+    """
+    rows = df.where((F.trim(F.coalesce(name, F.lit(""))) != "") & (exoticness(F.coalesce(name, F.lit(""))) >= EXOTIC))
+    return numbered(rows, order, "_at").withColumn("line", F.expr(f"_at div {across}")).withColumn("place", F.col("_at") % across).drop("_at")
+
+
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """Rows numbered from 0 in an order: sorted by ranges, with one row for each range in the one window over all."""
+    sorted_ = hold(df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_in": F.monotonically_increasing_id()}))
+    sizes = sorted_.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).select("_range", "_before", "_first")
+    return sorted_.join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_in") - F.col("_first")).drop("_range", "_in", "_before", "_first")  # a row for each range
+
+
+def prompt_names(roster: DataFrame) -> DataFrame:
+    """roster_id, entry, and symbols: how a prompt names each entry, and an entry without letters by its code points.
+
+    ``entry`` is ``search = ingame`` where both are there and differ, null without
+    a ``search``. ``symbols`` is null for names with letters; joiners and selectors have no code point there.
+    """
+    search, ingame = F.trim("search"), F.trim("ingame")
+    entry = F.when((ingame != "") & (search != ingame), F.concat(search, F.lit(" = "), ingame)).otherwise(search)
+    points = F.filter(F.split(ingame, ""), lambda c: (c != "") & (c > "\u2000") & ~c.isin("\u200d", "\ufe0f", "\ufe0e"))
+    # The four bytes of a code point in UTF-32 are its number.
+    codes = F.array_join(F.transform(points, lambda c: F.concat(F.lit("U+"), F.regexp_replace(F.hex(F.encode(c, "UTF-32")), "^0+", ""))), " ")
+    sign = F.concat(search, F.lit(" = "), ingame, F.when(codes != "", F.concat(F.lit(" ["), codes, F.lit("]"))).otherwise(""))
+    return roster.select("roster_id", F.when(search != "", entry).alias("entry"), F.when((ingame != "") & (usable_fold(ingame) == ""), sign).alias("symbols"))

@@ -15,27 +15,11 @@ from boardflow.operators import analysis, sampling, sheet
 from boardflow.operators.clean import drop_foreign_rows, upper_median
 from boardflow.operators.consolidate import consolidate, ordered_distinct, peak_mode
 from boardflow.operators.ranks import fill_ranks, missing_ranks, review_counts, row_state, tally
-from boardflow.operators.resolve import drop_conflicts, first_hit, most_similar, resolve, sole_owner
+from boardflow.operators.resolve import drop_conflicts, first_hit, most_similar, near_names, resolve, sole_owner
+from boardflow.plans.registry import ORACLE_SQL, query
+from boardflow.plans.registry import table as _table
 from boardflow.sources.replies import parse_replies, reply_status, roster_of, sheet_lines
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("long")
 
@@ -101,13 +85,13 @@ def exotic_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-SELECT page_id, TRY_CAST(nullif(regexp_extract(regexp_replace(url, '[,\s]', '', 'g'), '-?\d+', 0), '') AS BIGINT) AS first_number,
-       CAST(NULL AS DOUBLE) AS whole_number, trim(regexp_replace(lower(url), '\s+', ' ', 'g')) AS heading FROM pages
+SELECT p_partkey, CAST(regexp_extract(p_brand, '\d+', 0) AS BIGINT) AS first_number, round(p_retailprice, 2) AS whole_number, trim(regexp_replace(lower(p_name), '\s+', ' ', 'g')) AS heading FROM part
 """
 )
 def number_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.col("url")
-    return _table(spark, sf_dir, "pages").select("page_id", first_integer(url).alias("first_number"), decimal_number(url).alias("whole_number"), squeezed(url).alias("heading"))
+    """The first integer of a brand; prices written with commas and blanks read again; names as headings."""
+    price = F.concat(F.lit(" "), F.format_number("p_retailprice", 2), F.lit(" "))
+    return _table(spark, sf_dir, "part").select("p_partkey", first_integer(F.col("p_brand")).alias("first_number"), decimal_number(price).alias("whole_number"), squeezed(F.col("p_name")).alias("heading"))
 
 
 # Grouping and ranks
@@ -263,19 +247,16 @@ def first_hit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH k AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, min(p_partkey) AS roster_id FROM part GROUP BY 1)
-SELECT a.key, min(b.roster_id) AS roster_id FROM k a JOIN k b ON a.key <> b.key AND levenshtein(a.key, b.key) <= 1 GROUP BY a.key HAVING count(*) = 1
+SELECT a.roster_id AS p_partkey, min(b.roster_id) AS roster_id FROM k a JOIN k b ON length(a.key) > 4 AND length(b.key) >= 4 AND levenshtein(a.key[2:], b.key) <= 1
+GROUP BY a.roster_id HAVING count(DISTINCT b.roster_id) = 1
 """
 )
 def near_match_sole_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names one edit from exactly one other name; all count as stylised."""
-    keyed = _table(spark, sf_dir, "part").groupBy(fold(F.col("p_name")).alias("key")).agg(F.min("p_partkey").alias("roster_id"))
-    from boardflow.functions.similarity import deletion_keys, within_one_edit
-
-    left = keyed.select("key", F.explode(deletion_keys(F.col("key"))).alias("cut"))
-    right = keyed.select("roster_id", F.col("key").alias("form_key"), F.explode(deletion_keys(F.col("key"))).alias("cut"))
-    pairs = left.join(right, "cut").where((F.col("key") != F.col("form_key")) & within_one_edit(F.col("key"), F.col("form_key")))
-    found = pairs.groupBy("key").agg(F.min("roster_id").alias("roster_id"), F.max("roster_id").alias("other"))
-    return found.where("roster_id = other").drop("other")
+    """Stylised names with their first letter left out, against the names: within one edit of exactly one."""
+    name = F.col("p_name")
+    keyed = _table(spark, sf_dir, "part").groupBy(fold(name).alias("key")).agg(F.min("p_partkey").alias("roster_id"))
+    readings = keyed.select(F.col("roster_id").alias("p_partkey"), F.expr("substring(key, 2)").alias("key"), F.lit(1.0).alias("exotic"))
+    return near_names(readings, keyed, ["p_partkey"])
 
 
 @query(
@@ -460,14 +441,35 @@ def running_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.motion_total(_table(spark, sf_dir, "events"), "user_id", "ts", change).select("event_id", F.round("motion", 4).alias("motion"))
 
 
-@query()
-def equal_motion_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recurrence over each user's events; held against a plain loop in the tests."""
+def _cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events with a running motion in whole cents, so that sums and eighths are exact."""
     from pyspark.sql import Window
 
-    change = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts")))
-    rows = sampling.motion_total(_table(spark, sf_dir, "events"), "user_id", "ts", change)
-    return sampling.equal_motion_picks(rows, "user_id", "ts", "motion", 8)
+    cents = F.round(F.col("value") * 100).cast("long")
+    change = F.abs(cents - F.lag(cents).over(Window.partitionBy("user_id").orderBy("ts"))).cast("double")
+    return sampling.motion_total(_table(spark, sf_dir, "events"), "user_id", "ts", change)
+
+
+def equal_motion_sql(picks: int) -> str:
+    return f"""
+RECURSIVE d AS (
+  SELECT user_id, ts, coalesce(abs(CAST(round(value * 100) AS BIGINT) - lag(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts)), 0) AS d FROM events
+), m AS (
+  SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, CAST(sum(d) OVER (PARTITION BY user_id ORDER BY ts) AS DOUBLE) AS motion,
+         CAST(sum(d) OVER (PARTITION BY user_id) AS DOUBLE) / {picks} AS gap FROM d
+), p AS (
+  SELECT user_id, ts, i, true AS picked, 1 AS n, motion + gap AS want FROM m WHERE i = 1
+  UNION ALL
+  SELECT m.user_id, m.ts, m.i, m.motion >= p.want AND p.n < {picks}, p.n + CASE WHEN m.motion >= p.want AND p.n < {picks} THEN 1 ELSE 0 END,
+         CASE WHEN m.motion >= p.want AND p.n < {picks} THEN m.motion + m.gap ELSE p.want END
+  FROM p JOIN m ON m.user_id = p.user_id AND m.i = p.i + 1
+)"""
+
+
+@query(f"WITH {equal_motion_sql(8)} SELECT user_id, ts FROM p WHERE picked")
+def equal_motion_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recurrence over each user's events."""
+    return sampling.equal_motion_picks(_cents(spark, sf_dir), "user_id", "ts", "motion", 8)
 
 
 @query(

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,41 @@ def reply_status(replies: DataFrame) -> DataFrame:
     return replies.withColumn("status", F.when(has, "rows").when(empty, "empty").otherwise("garbage"))
 
 
+def read_batches(batches: DataFrame, reader: Callable[[bytes, str], str], fallback: Callable[[bytes, str], str] | None = None, attempts: int = 3, pause: float = 20.0) -> DataFrame:
+    """Batches (board_id, batch, content, prompt) to replies (board_id, batch, text, error), by a callable in the tasks.
+
+    ``reader`` is tried ``attempts`` times, with the wait that a refusal names (90
+    seconds at most) or ``pause``; a refusal for the day goes to ``fallback`` at
+    once, and so does the last failure. Where all fail, text is null and ``error``
+    says why, so one batch never fails the others. The reader has to give the same
+    text for the same batch, as lost tasks run again.
+    """
+    board = batches.schema["board_id"].dataType.simpleString()
+
+    def read(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for page in pages:
+            told = [_tried([r for r in (reader, fallback) if r], bytes(c), p, attempts, pause) for c, p in zip(page["content"], page["prompt"], strict=True)]
+            yield page[["board_id", "batch"]].assign(text=[t for t, _ in told], error=[e for _, e in told])
+
+    return batches.select("board_id", "batch", "content", "prompt").mapInPandas(read, f"board_id {board}, batch int, text string, error string")
+
+
+def _tried(readers: list[Callable[[bytes, str], str]], content: bytes, prompt: str, attempts: int, pause: float) -> tuple[str | None, str | None]:
+    said = None
+    for reader in readers:
+        for left in reversed(range(attempts)):
+            try:
+                return reader(content, prompt), None
+            except Exception as e:
+                said = str(e) or type(e).__name__
+                if re.search(r"(?i)per ?day|daily", said):
+                    break
+                if left:
+                    hint = re.search(r"(?i)(?:retry|try again)\s+in\s+(\d+(?:\.\d+)?)\s*(ms|s)", said)
+                    time.sleep(min(90.0, float(hint[1]) / (1000 if hint[2].lower() == "ms" else 1)) if hint else pause)
+    return None, said
+
+
 def parse_replies(replies: DataFrame) -> DataFrame:
     """Replies (board_id, batch, text) to sightings: board_id, seq, batch, rank, roster_name, seen, name, plain, points.
 

@@ -8,15 +8,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardflow.functions.similarity import similarity, symbols_near, within_one_edit
-from boardflow.functions.text import exoticness, fold, symbols, usable_fold
+from boardflow.functions.text import MORE_LETTERS, NO_LETTERS, exoticness, fold, fold_text, symbols, usable_fold
 from boardflow.operators import analysis, sampling, sheet
-from boardflow.operators.clean import drop_foreign_rows
+from boardflow.operators.clean import drop_foreign_rows, upper_median
 from boardflow.operators.consolidate import consolidate, peak_mode
 from boardflow.operators.greedy import equal_steps
-from boardflow.operators.ranks import fill_ranks
-from boardflow.operators.resolve import drop_conflicts, resolve
-from boardflow.sources.replies import parse_replies, reply_status
-from boardflow.streaming.boards import keep_boards
+from boardflow.operators.ranks import fill_ranks, missing_ranks
+from boardflow.operators.resolve import drop_conflicts, most_similar, resolve
+from boardflow.plans.names import resolution_ladder
+from boardflow.sources.replies import parse_replies, read_batches, reply_status, sheet_head
+from boardflow.streaming.boards import keep_boards, rolling_totals
 
 NAMES = [
     ("ŊŲƁĮ", "nubi", "nubi", 1.0, 4),
@@ -107,10 +108,10 @@ def test_resolve(spark):
     )
     rows = [
         ("exact", "ŊŲƁĮ", [], None), ("near", "ḐUBĮ", [], None), ("plain", "DUBI", [], None), ("claim", "Weezy", ["Peezy"], None),
-        ("bad claim", "Xxxxxx", ["Peezy"], None), ("sign", "🐻‍❄️", [], None), ("near sign", "🐼❄️", [], None), ("twins", "twin", [], None), ("alias", "Foo", [], None), ("empty", "", [], None),
+        ("bad claim", "Xxxxxx", ["Peezy"], None), ("sign", "🐻‍❄️", [], None), ("near sign", "🐼❄️", [], None), ("twins", "twin", [], None), ("alias", "Foo", [], None), ("guest", "Bar", [], None), ("empty", "", [], None),
     ]
     df = spark.createDataFrame([("b", g, n, n, [n], c) for g, n, c, _ in rows], "board_id string, gid string, name string, plain string, obs array<string>, claims array<string>")
-    aliases = spark.createDataFrame([("foo", "Longname", "S")], "alias_key string, name string, alliance string")
+    aliases = spark.createDataFrame([("foo", "Longname", "S"), ("bar", "Somebody", None)], "alias_key string, name string, alliance string")
     got = {r.gid: r for r in resolve(df, roster, aliases).collect()}
     assert {g: (r.search, r.via) for g, r in got.items()} == {
         "exact": ("Nubi", "name"),
@@ -120,11 +121,18 @@ def test_resolve(spark):
         "bad claim": (None, ""),
         "sign": ("🐻❄️", "symbol"),
         "near sign": ("🐻❄️", "near symbol"),
-        "twins": (None, ""),
+        "twins": ("Twin", "first name"),
         "alias": ("Longname", "alias"),
+        "guest": ("Somebody", "alias"),
         "empty": (None, ""),
     }
     assert got["plain"].near_id == 1 and got["plain"].near_score == 0.75
+    assert (got["alias"].roster_id, got["alias"].ingame, got["alias"].alliance) == (4, "Ŀøngname", "S")
+    assert (got["guest"].roster_id, got["guest"].ingame, got["guest"].alliance) == (None, "Somebody", "")
+    both = rows[:1] + [("other", "Longname", [], None), ("alias", "Foo", [], None)]
+    both = spark.createDataFrame([("b", g, n, n, [n], c) for g, n, c, _ in both], df.schema)
+    kept = {r.gid: (r.roster_id, r.search, r.score, r.via) for r in drop_conflicts(resolve(both, roster, aliases)).collect()}
+    assert kept == {"exact": (1, "Nubi", 1.0, "name"), "other": (None, None, 0.0, "name"), "alias": (None, None, 0.0, "alias")}
     kept = {r.gid: r.roster_id for r in drop_conflicts(resolve(df, roster)).collect()}
     assert kept["exact"] is None and kept["near"] is None and kept["claim"] == 2
 
@@ -191,6 +199,8 @@ def test_sampling(spark):
     df = spark.createDataFrame([(1, t / 4, m) for t, m in enumerate([0.0, 1.0, 1.0, 4.0, 8.0])], "g int, t double, m double")
     assert sorted(r.t for r in sampling.equal_motion_picks(df, "g", "t", "m", 2).collect()) == [0.0, 0.75]
     assert [r.t for r in sampling.even_time_picks(df, "g", "t", 2).orderBy("k").collect()] == [0.25, 0.75]
+    budget = spark.range(1).select(sampling.frame_budget(F.lit(13_320), F.lit(64)).alias("b")).first().b
+    assert tuple(budget) == (55, 165) and sampling.batch_size(165) == 28
     assert sorted(r.t for r in sampling.picks_of(df, "g", "t", "m", 3).collect()) == [0.0, 0.5, 0.75, 1.0]
     assert sampling.batch_size(10) == 8 and sampling.batch_size(100) == 17 and sampling.batch_size(1000) == 40
     waits = spark.createDataFrame([("please retry in 12.5s",), ("try again in 300 ms",), ("retry in 900s",), ("no",)], "m string")
@@ -206,3 +216,90 @@ def test_bars_keep_labels_with_a_common_head_apart(spark):
     for intent, want in (("average", [(head, 10.0), (head, 2.0)]), ("total", [(head, 10.0), (head, 4.0)])):
         _, bars = analysis.ask(df, intent, group="url", value="points")["components"][0]
         assert [tuple(r) for r in bars.collect()] == want
+
+
+def test_fold_is_the_same_in_the_jvm_and_in_python(spark):
+    points = [chr(c) for c in range(1, 0x1FFFF) if not 0xD800 <= c < 0xE000]
+    texts = points[::7] + ["".join(points[i : i + 40]) for i in range(0, len(points), 40)] + list(MORE_LETTERS) + list(NO_LETTERS) + ["½™ﬁ ㎏ x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fold(F.col("t")).alias("f")).collect()
+    assert [(r.t, r.f) for r in got if r.f != fold_text(r.t)] == []
+    assert all(fold_text(k) == v.lower() for k, v in MORE_LETTERS.items()) and not any(fold_text(c) for c in NO_LETTERS)
+
+
+def test_every_rung_of_the_ladder_occurs(spark):
+    found = {r.via for r in resolution_ladder(spark, "/root/testdata/sf0.01").select("via").distinct().collect()}
+    assert found == {"", "alias", "name", "claim", "first name", "symbol", "near", "near symbol"}
+
+
+def test_most_similar_by_pairs_and_by_characters(spark):
+    df = spark.createDataFrame([(1, 0, "abcdef"), (2, 0, "xbydz"), (3, 0, "qqq"), (4, 0, "fedcba"), (4, 1, "abcdeg")], "k int, pos int, key string")
+    forms = spark.createDataFrame([(7, 7, "abcdeg"), (8, 8, "dabc"), (9, 9, "tbudv")], "roster_id long, ix_pos long, key string")
+    got = {r.k: (r.roster_id, round(r.near_score, 3)) for r in most_similar(df, forms, ["k"]).collect()}
+    assert got == {1: (7, 0.833), 2: (9, 0.4), 4: (7, 1.0)}
+
+
+def test_gaps_of_far_ranks_are_spelt_out_in_parts(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 2), ("a", 5), ("a", 0), ("a", None), ("b", 1)], "g string, r long")
+    assert sorted((r.g, r.top, r.hole) for r in missing_ranks(df, "g", "r", at_once=1).collect()) == [("a", 5, 1), ("a", 5, 3), ("a", 5, 4)]
+    far = spark.createDataFrame([("a", 1), ("a", 300_000)], "g string, r long")
+    assert missing_ranks(far, "g", "r").count() == 299_998
+
+
+def test_median_with_an_outlier(spark):
+    values = [float(i) for i in range(1, 1002)] + [1e15, -5.0]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 3.0), ("c", 1.0), ("c", 2.0), ("d", -1.0)], "g string, v double")
+    assert {(r.g, r.n, r.median) for r in upper_median(df, "g", "v").collect()} == {("a", 1002, 502.0), ("b", 1, 3.0), ("c", 2, 2.0)}
+
+
+def test_orphans_lead_once_for_a_name(spark):
+    rows = [("b", i, None, 5.0, n, n, "") for i, n in enumerate(["Anna", "Zzzzz", "Anna", "Anne", "Zzzzz"])]
+    df = spark.createDataFrame(rows, "board_id string, seq long, rank long, points double, name string, plain string, roster_name string")
+    assert {(r.gid, r.name, r.seen) for r in consolidate(df).collect()} == {("o0", "Anna", 3), ("o1", "Zzzzz", 2)}
+
+
+def test_lines_are_in_the_order_of_their_own_type(spark):
+    df = spark.createDataFrame([("a", x, 1.0) for x in range(1, 13)], "s string, x int, y double")
+    assert [r.x for r in analysis.lines(df, F.col("s"), F.col("x"), F.sum("y"), points=3).collect()] == ["1", "2", "3"]
+
+
+def test_missing_and_tables_of_answers(spark):
+    have, want = spark.createDataFrame([("Änna",), ("Bo",)], "n string"), spark.createDataFrame([("ANNA",), ("Cy",), (" bo ",)], "n string")
+    kind, rows = analysis.ask(have, "missing", expected=want, on="n")["components"][0]
+    assert kind == "list" and [tuple(r) for r in rows.collect()] == [("Cy", "")]
+    head, rows, total = sheet_head(spark.range(5).withColumnRenamed("id", "n"), "n", 2)
+    assert (head, [r.n for r in rows.collect()], total) == (["n"], [0, 1], 5)
+
+
+def test_layout_and_output(spark):
+    roster = spark.createDataFrame([(i, n) for i, n in enumerate(["★☆", "Plain", "ŊŲ", "  ", "♣♥", None, "ɳɳ", "♦"])], "roster_id long, ingame string")
+    assert [(r.roster_id, r.line, r.place) for r in sheet.layout(roster, "ingame", ["roster_id"]).orderBy("roster_id").collect()] == [(0, 0, 0), (2, 0, 1), (4, 0, 2), (6, 0, 3), (7, 1, 0)]
+    board = spark.createDataFrame([("b", 5.0, None, 7, "X", None, None, None), ("b", 9.0, 1, 3, "Y", "Yy", "", "A"), ("b", 5.0, 4, 9, "Z", "Zz", "zZ", "B")], "board_id string, points double, seenRank long, group_pos long, name string, search string, ingame string, alliance string")
+    got = sorted(tuple(r) for r in sheet.output_rows(board).collect())
+    assert got == [("b", 1, 1, "Yy", "Y", "A", 9.0), ("b", 2, 4, "Zz", "zZ", "B", 5.0), ("b", 3, 5, "", "X", "", 5.0)]
+
+
+def test_audit_and_rolling_totals(spark, tmp_path):
+    for line in ("wrote 2", "took back 2"):
+        sheet.append_audit(line, spark, str(tmp_path / "audit"))
+    assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "audit")).collect()) == ["took back 2", "wrote 2"]
+    events = spark.createDataFrame([("2024-01-01 00:00:05", "a", 2.0), ("2024-01-01 00:00:50", "a", 3.0), ("2024-01-01 00:01:10", "a", 4.0)], "t string, k string, v double").withColumn("t", F.to_timestamp("t"))
+    got = {str(r.start)[11:]: (r.used, r.rows) for r in rolling_totals(events, "t", "k", "v").collect()}
+    assert got["00:00:00"] == (5.0, 2) and got["00:00:20"] == (7.0, 2) and got["00:01:10"] == (4.0, 1)
+
+
+def test_readers_are_tried_again_and_replaced(spark):
+    def reader(content, prompt):
+        if content == b"day":
+            raise RuntimeError("quota per day used up")
+        if content == b"bad":
+            raise RuntimeError("try again in 1 ms")
+        return prompt + content.decode()
+
+    def other(content, prompt):
+        if content == b"bad":
+            raise RuntimeError("no")
+        return "other " + content.decode()
+
+    df = spark.createDataFrame([("b", 0, b"x", "p:"), ("b", 1, b"day", "p:"), ("b", 2, b"bad", "p:")], "board_id string, batch int, content binary, prompt string")
+    got = [(r.batch, r.text, r.error) for r in read_batches(df, reader, other, attempts=2, pause=0.0).orderBy("batch").collect()]
+    assert got == [(0, "p:x", None), (1, "other day", None), (2, None, "no")]

@@ -8,7 +8,9 @@ from datetime import datetime
 import duckdb
 import pytest
 
-from boardflow.plans.queries import ORACLE_SQL, QUERIES, flagship
+from boardflow.plans import names  # noqa: F401
+from boardflow.plans.queries import flagship
+from boardflow.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
