@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -65,16 +66,30 @@ def folded_points() -> tuple[dict[str, str], dict[str, str]]:
     return {c: f for c, f in folds.items() if len(f) == 1}, {c: f for c, f in folds.items() if len(f) > 1}
 
 
+@lru_cache(maxsize=1)
+def spelt_range() -> str:
+    """A character class of few ranges that holds all code points that fold to several letters, and some others."""
+    found = sorted(map(ord, folded_points()[1]))
+    cuts = [0, *(i for i in range(1, len(found)) if found[i] - found[i - 1] > 64), len(found)]
+    return "[" + "".join(f"\\x{{{found[lo]:X}}}-\\x{{{found[hi - 1]:X}}}" for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)) + "]"
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def fold(c: Column) -> Column:
     """Letters a-z and digits of a name, whatever its style. Null gives ''."""
     one, several = folded_points()
-    points = F.split(c, "")
     spelt = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
-    spelt = F.array_join(F.transform(points, lambda x: F.coalesce(spelt[x], x)), "")
-    whole = F.when(c.rlike("[" + "".join(several) + "]"), spelt).otherwise(c)
-    plain = F.translate(whole, "".join(one), "".join(one.values()))
-    plain = F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
-    return F.coalesce(F.regexp_replace(F.lower(plain), "[^a-z0-9]", ""), F.lit(""))
+
+    def plain(c: Column) -> Column:
+        whole = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(spelt[x], x)), "")
+        styled = F.translate(F.when(c.rlike(spelt_range()), whole).otherwise(c), "".join(one), "".join(one.values()))
+        return F.when(c.rlike(r"[^\x00-\x7F]"), styled).otherwise(c)
+
+    return F.coalesce(F.regexp_replace(F.lower(plain(c)), "[^a-z0-9]+", ""), F.lit(""))
 
 
 def usable(folded: Column, raw: Column) -> Column:
@@ -93,8 +108,8 @@ def symbols(c: Column) -> Column:
 
 
 def alias_key(c: Column) -> Column:
-    shown = F.when(symbols(c) != "", F.concat(F.lit("\u0002"), symbols(c)))
-    return F.coalesce(F.nullif(fold(c), F.lit("")), shown, F.lit(""))
+    shown = once(symbols(c), lambda s: F.when(s != "", F.concat(F.lit("\u0002"), s)).otherwise(""))
+    return once(fold(c), lambda f: F.when(f != "", f).otherwise(shown))
 
 
 def exoticness(c: Column) -> Column:
@@ -121,4 +136,4 @@ def squeezed(c: Column) -> Column:
 
 def shown_key(c: Column) -> Column:
     """What a cell shows, ignoring case, spacing and style."""
-    return F.coalesce(F.nullif(fold(c), F.lit("")), squeezed(c), F.lit(""))
+    return once(fold(c), lambda f: F.when(f != "", f).otherwise(F.coalesce(squeezed(c), F.lit(""))))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from boardflow.functions.similarity import NEAR_LETTERS, characters, claim_plausible, deletion_keys, letter_pairs, similarity, symbols_near, within_one_edit
 from boardflow.functions.text import EXOTIC, alias_key, exoticness, fold, symbols, usable
+from boardflow.operators.hold import hold
 
 # Tiers; within the ladder of one reading, rungs.
 ALIAS, FOLD, CLAIM, LADDER = range(1, 5)
@@ -111,10 +112,10 @@ def resolve(rows: DataFrame, roster: DataFrame, aliases: DataFrame | None = None
     name without any; null readings and claims are left out.
     """
     ids = list(keys)
-    forms = roster_forms(roster)
+    forms = hold(roster_forms(roster))  # every tier reads forms and readings
     said = F.when(F.size("obs") > 0, F.col("obs")).otherwise(F.array("name"))
     readings = rows.select(*ids, F.posexplode(said).alias("pos", "reading"))
-    readings = name_keys(readings.where("reading is not null and reading != ''"), "reading")
+    readings = hold(name_keys(readings.where("reading is not null and reading != ''"), "reading"))
     none = F.lit(None).cast("string")
 
     def hit(df: DataFrame, tier: int, pos: Column, rung: int = 0, name: Column = none, alliance: Column = none) -> DataFrame:
@@ -148,7 +149,7 @@ def resolve(rows: DataFrame, roster: DataFrame, aliases: DataFrame | None = None
         free = lambda c: F.when(F.col("roster_id").isNull(), F.coalesce(c, F.lit("")))
         of_readings = readings.where("any != ''").join(given, "any")
         hits = hits.unionByName(hit(own, ALIAS, F.lit(0))).unionByName(hit(of_readings, LADDER, pos, FREE, free(F.col("name")), free(F.col("alliance"))))
-    found = hits.groupBy(*ids).agg(F.min("hit").alias("hit")).select(*ids, "hit.tier", "hit.rung", "hit.roster_id", "hit.free", "hit.free_alliance")
+    found = hold(hits.groupBy(*ids).agg(F.min("hit").alias("hit"))).select(*ids, "hit.tier", "hit.rung", "hit.roster_id", "hit.free", "hit.free_alliance")
 
     suggested = most_similar(readings.join(found, ids, "left_anti"), forms, ids).withColumnRenamed("roster_id", "near_id")
     names = roster.select("roster_id", "search", "ingame", "alliance")

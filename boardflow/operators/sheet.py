@@ -82,11 +82,11 @@ def find_duplicates(rows: DataFrame, existing: DataFrame, keys: list[str], index
     Case, spacing and style are ignored. A row whose keys are all empty is no
     repeat. The sheet is one row per distinct key before it is joined.
     """
-    shown = lambda df: df.select(*[shown_key(F.col(f"`{k}`").cast("string")).alias(f"k{i}") for i, k in enumerate(keys)], *[c for c in (index, row) if c in df.columns])
-    names = [f"k{i}" for i in range(len(keys))]
-    first = shown(existing).groupBy(*names).agg(F.min(row).alias(row))
-    some = F.concat(*names) != "" if keys else F.lit(False)
-    return shown(rows).where(some).join(first, names).select(index, row)
+    shown = lambda df, own: df.select(F.array(*[shown_key(F.col(f"`{k}`").cast("string")) for k in keys]).cast("array<string>").alias("k"), own)
+    # Keys are as long as cells are, so rows meet by a hash of them.
+    keyed = lambda df, own: shown(df, own).select(F.sha2(F.to_json("k"), 256).alias("k"), (F.array_max("k") != "").alias("some"), own)
+    first = keyed(existing, row).groupBy("k").agg(F.min(row).alias(row))
+    return keyed(rows, index).join(first, "k").where("some").select(index, row)
 
 
 def keep_rows(rows: DataFrame, dropped: DataFrame, index: str = "index") -> DataFrame:
