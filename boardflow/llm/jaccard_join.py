@@ -40,6 +40,7 @@ from boardflow.llm.filters import build_filter
 
 TABLE_BITS = 21
 CHUNK = 1 << 21  # shingles counted at once
+PART = 1 << 20  # bytes of short texts that are hashed at once
 SHORT = 24  # bits of a shingle's hash that are left out where it is only counted
 OFTEN = 4
 WORTHWHILE = 4  # a round that draws pairs is followed by another if one in so many links
@@ -79,6 +80,12 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     A-Z are lower-cased; words end at blanks and the control characters 9 to 13.
     """
     raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+    ends = np.cumsum([len(r) for r in raw]) // PART  # texts that end in one range of bytes are done at once
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(raw)] if raw else []
+    return [s for lo, hi in zip(edges[:-1], edges[1:], strict=True) for s in _sets(raw[lo:hi], words)]
+
+
+def _sets(raw: list[bytes], words: int) -> list[np.ndarray]:
     starts, w = _word_hashes(np.frombuffer(b"\n".join(raw), dtype=np.uint8))
     begins = np.cumsum([0] + [len(r) + 1 for r in raw])
     upto = np.searchsorted(starts, begins)
