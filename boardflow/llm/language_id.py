@@ -9,9 +9,10 @@ its n-grams with that bit, corrected for false positives: of ``n`` n-grams,
 of the number of hashes.
 
 The filters are fitted on about ``docs_per_lang`` labelled documents of each
-language (a bound on the training sample, drawn by a hash of the id); every
-whole text is then scored. N-grams are four bytes of the lower-cased UTF-8
-text, with everything but letters a blank.
+language (a bound on the training sample, drawn by a hash of the id): every
+n-gram of the sample is in the filter of every language that has it. Every whole
+text is then scored. N-grams are four bytes of the lower-cased UTF-8 text, with
+everything but letters a blank; one of four blanks is none.
 """
 
 from __future__ import annotations
@@ -21,18 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardflow.llm.common import Scratch, pick, small_batches, table
+from boardflow.llm.common import Scratch, pick, power_of_two, small_batches, table
 
 HASHES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 BLANK = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 UNKNOWN = "und"
-#: A bound on what is fitted: documents and n-grams of each language.
-DOCS_PER_LANG, GRAMS_PER_LANG = 2_000, 10_000
+NONE = np.uint32(0x20202020)  # four blanks
+DOCS_PER_LANG = 2_000  # a bound on the sample that is fitted
 WORD = 64  # languages in a word of a slot
-LANGS_AT_ONCE = 4 * WORD  # languages whose n-grams come to the driver together
+SLOTS_PER_GRAM = 8
 
 
 @dataclass
@@ -48,7 +49,7 @@ class Filters:
         out = slots[(grams * HASHES[0]) >> shift]
         for h in HASHES[1:]:
             out = out & slots[((grams ^ (grams >> np.uint32(15))) * h) >> shift]
-        return out
+        return np.where(grams == NONE, np.uint64(0), out)
 
 
 def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,23 +60,25 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = int(lengths.sum())
     grams = b[:n] | b[1 : n + 1] << np.uint32(8) | b[2 : n + 2] << np.uint32(16) | b[3 : n + 3] << np.uint32(24)
     ends = np.cumsum(lengths)
-    grams[(ends[:, None] - np.arange(1, 4)).ravel()] = 0x20202020  # else the next text would begin in them
+    grams[(ends[:, None] - np.arange(1, 4)).ravel()] = NONE  # else the next text would begin in them
     return grams, np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
 
 def make_filters(langs: list[str], lang: np.ndarray, grams: np.ndarray, bits: int = 18) -> Filters:
-    return filled(langs, [(lang, grams)], bits)
+    """Filters of n-grams and the number of a language of each."""
+    masks = np.zeros((-(-len(langs) // WORD), len(grams)), dtype=np.uint64)
+    masks[lang // WORD, np.arange(len(grams))] = np.uint64(1) << (lang % WORD).astype(np.uint64)
+    return filled(langs, ((word, grams, m) for word, m in enumerate(masks)), bits)
 
 
-def filled(langs: list[str], parts: Iterable[tuple[np.ndarray, np.ndarray]], bits: int = 18) -> Filters:
-    """Filters of n-grams that come in parts: numbers of languages, and an n-gram of each."""
+def filled(langs: list[str], parts: Iterable[tuple[int, np.ndarray, np.ndarray]], bits: int) -> Filters:
+    """Filters of n-grams that come in parts: the number of a word, n-grams, and the bits of each one's languages in that word."""
     slots = np.zeros((-(-len(langs) // WORD), 1 << bits), dtype=np.uint64)
     shift = np.uint32(32 - bits)
-    for lang, grams in parts:
-        word, own = lang // WORD, np.uint64(1) << (lang % WORD).astype(np.uint64)
-        np.bitwise_or.at(slots, (word, (grams * HASHES[0]) >> shift), own)
+    for word, grams, masks in parts:
+        np.bitwise_or.at(slots[word], (grams * HASHES[0]) >> shift, masks)
         for h in HASHES[1:]:
-            np.bitwise_or.at(slots, (word, ((grams ^ (grams >> np.uint32(15))) * h) >> shift), own)
+            np.bitwise_or.at(slots[word], ((grams ^ (grams >> np.uint32(15))) * h) >> shift, masks)
     fill = np.array([float(((slots[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean()) for i in range(len(langs))])
     return Filters(langs, slots, fill ** len(HASHES))
 
@@ -83,55 +86,50 @@ def filled(langs: list[str], parts: Iterable[tuple[np.ndarray, np.ndarray]], bit
 def score_texts(filters: Filters, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Corrected hits (texts x languages) and the number of n-grams with a letter of each text."""
     grams, starts = grams_of(texts)
-    letters = np.add.reduceat((grams != 0x20202020).astype(np.int64), starts)
+    letters = np.add.reduceat((grams != NONE).astype(np.int64), starts)
     kinds = np.zeros((len(texts), len(filters.langs)))
     for i in range(len(filters.langs)):
         if i % WORD == 0:
             masks = filters.masks(grams, i // WORD)
         kinds[:, i] = np.add.reduceat(((masks >> np.uint64(i % WORD)) & np.uint64(1)).astype(np.int64), starts)
     rates = filters.rates
-    return np.maximum(0, (kinds - letters[:, None] * rates) / (1 - np.minimum(rates, 0.999))), letters
+    return np.maximum(0, (kinds - letters[:, None] * rates) / (1 - np.minimum(rates, 0.999))).round(6), letters
 
 
-def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG) -> Filters:
-    """Fit on rows of text and lang (not null), every language; what comes to the driver at once is bounded by ``LANGS_AT_ONCE * grams_per_lang``.
+def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Filters:
+    """Fit on rows of text, lang (not null) and key, every language.
 
-    A language gets an n-gram that is at least half as frequent in it as in any
-    other.
+    Languages are in the order of their numbers of rows, then by name.
+    To the driver come the distinct n-grams of the sample with the bits of their
+    languages, 64 languages at a time, and as many slots as suit them.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(counts)
+    langs = sorted(counts, key=lambda k: (-counts[k], k))  # where languages tie, the one with most rows is predicted
     if not langs:
         return Filters([], np.zeros((0, 1 << 10), dtype=np.uint64), np.zeros(0))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 20))
-    shares = spark.createDataFrame([(k, i, int(min(1, docs_per_lang / counts[k]) * (1 << 20))) for i, k in enumerate(langs)], "lang string, at int, share int")
+    shares = spark.createDataFrame([(k, i // WORD, i % WORD, int(min(1, docs_per_lang / counts[k]) * (1 << 20))) for i, k in enumerate(langs)], "lang string, word int, bit int, share int")
     sample = docs.join(F.broadcast(shares), "lang").where(draw < F.col("share"))  # a row for each language, which the filters have too
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at, part in pdf.groupby("at"):
-                grams, n = np.unique(grams_of(list(part["text"]))[0], return_counts=True)
-                yield pd.DataFrame({"at": at, "gram": grams.astype(np.int64), "n": n})
+            for (word, bit), part in pdf.groupby(["word", "bit"]):
+                grams = np.unique(grams_of(list(part["text"]))[0])
+                yield pd.DataFrame({"word": word, "bit": bit, "gram": grams[grams != NONE].astype(np.int64)})
 
-    found = sample.select("at", "text").mapInPandas(count, "at int, gram long, n long")
-    found = found.groupBy("at", "gram").agg(F.sum("n").alias("n")).where(f"n >= 3 and gram != {0x20202020}")
-    total = found.groupBy("at").agg(F.sum("n").alias("total"))
-    found = found.join(F.broadcast(total), "at").withColumn("share", F.col("n") / F.col("total"))  # a row for each language
-    found = found.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where("share >= 0.5 * most")
-    ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), "gram")))
-    top = ranked.where(F.col("nth") <= grams_per_lang).select("at", "gram")
-    if len(langs) > LANGS_AT_ONCE:
-        top = Scratch(spark, "langs").keep(top, "grams")
+    found = sample.select("word", "bit", "text").mapInPandas(distinct, "word int, bit int, gram long")
+    found = found.groupBy("word", "gram").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    found = Scratch(spark, "langs").keep(found, "grams")
+    most = max((r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()), default=0)
 
-    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for first in range(0, len(langs), LANGS_AT_ONCE):
-            some = top.where(F.col("at").between(first, first + LANGS_AT_ONCE - 1)).toPandas()
-            yield some["at"].to_numpy(dtype=np.int64), some["gram"].to_numpy(dtype=np.int64).astype(np.uint32)
+    def parts() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for word in range(-(-len(langs) // WORD)):
+            some = found.where(F.col("word") == word).toPandas()
+            yield word, some["gram"].to_numpy(dtype=np.int64).astype(np.uint32), some["mask"].to_numpy(dtype=np.int64).view(np.uint64)
 
-    return filled(langs, parts())
+    return filled(langs, parts(), min(24, max(10, power_of_two(most * SLOTS_PER_GRAM))))
 
 
 def predict(docs: DataFrame, filters: Filters, keep: list[Column | str]) -> DataFrame:
@@ -140,9 +138,10 @@ def predict(docs: DataFrame, filters: Filters, keep: list[Column | str]) -> Data
     ``score`` is the best language's part of the two best ones' corrected hits;
     ``coverage`` the best one's part of the text's n-grams. A null text or one
     without a letter is ``und`` with 0 for both. A text with letters of which no
-    n-gram is known gets the first learned language with a score of 0; so does
-    every text where several languages tie, with their score. Without any
-    learned language all is ``und``.
+    n-gram is known gets the learned language with most rows and a score of 0; so
+    does every text where several languages tie, with their score (of languages
+    with equally many rows the first by name). Without any learned language all is
+    ``und``.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text"))
