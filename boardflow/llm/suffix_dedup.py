@@ -12,7 +12,7 @@ at equal places, so it is enough to compare starts with the same anchor hash:
 3. Contents of one anchor hash go to one shard. A shard builds a suffix array of
    its contents (Larsson-Sadakane refinement in numpy), takes the common
    prefixes by Kasai's rule, and every class of suffixes with ``window`` bytes
-   in common and two starts is repeated.
+   in common and two occurrences, of one content or of several, is repeated.
 4. A hash with very many different contents is split over several shards. Each
    publishes a digest for every class of its starts; shards are merged by binary
    search in one another's sorted digests, in ranges of digests.
@@ -38,8 +38,9 @@ from boardflow.llm.filters import build_filter
 WINDOW = 200
 GRAM = 64
 SEGMENT = 1 << 22  # starts of a very long text that are handled at once
-SHARD_BYTES = 2 << 20
-SPLIT = 4096  # contents of one hash in a shard
+SHARD_BYTES = 1 << 20
+SPLIT = 2048  # contents of one hash in a shard
+MOST_TASKS = 20_000  # tasks that shards are dealt over; beyond that many a task has several, one after the other
 MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 * i & (2**64 - 1) | 1) for i in range(2)]
 
 
@@ -143,8 +144,11 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return plcp[sa]
 
 
-def repeated_starts(contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over the contents joined: which places are starts, the class of each start (-1 elsewhere), and whether its class has two starts."""
+def repeated_starts(contents: list[bytes], window: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over the contents joined: which places are starts, the class of each start (-1 elsewhere), and whether its class occurs twice.
+
+    ``times``: how often each content occurs, once if not given.
+    """
     text = np.frombuffer(b"".join(contents), dtype=np.uint8)
     sizes = np.fromiter(map(len, contents), dtype=np.int64, count=len(contents))
     ends = np.repeat(np.cumsum(sizes), sizes)
@@ -154,7 +158,8 @@ def repeated_starts(contents: list[bytes], window: int) -> tuple[np.ndarray, np.
     of = np.full(len(text), -1, dtype=np.int64)
     of[sa] = group
     of[~is_start] = -1
-    many = np.bincount(of[is_start], minlength=int(group[-1]) + 1 if len(group) else 0) >= 2
+    weight = None if times is None else np.repeat(np.minimum(times, 2), sizes)[is_start]
+    many = np.bincount(of[is_start], weight, minlength=int(group[-1]) + 1 if len(group) else 0) >= 2
     return is_start, of, np.where(of >= 0, many[of], False)
 
 
@@ -185,7 +190,7 @@ def _shard(window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         contents = [bytes(x) for x in pdf["data"]]
         d1, d2, split = pdf["d1"].to_numpy(), pdf["d2"].to_numpy(), bool(pdf["split"].iloc[0])
-        is_start, of, hit = repeated_starts(contents, window)
+        is_start, of, hit = repeated_starts(contents, window, pdf["n"].to_numpy())
         begin = np.cumsum([0, *map(len, contents)])
         lo, hi = _runs(hit)
         which = np.searchsorted(begin, lo, side="right") - 1
@@ -263,10 +268,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
 
     kind = rows.schema["id0"].dataType.simpleString()
     found = scratch.keep(rows.select("id0", "mark", "text").mapInArrow(regions, f"id0 {kind}, mark long, h long, q long, k long, d1 long, d2 long, data binary"), "regions")
-    times = found.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.first("k").alias("k"))
-    variants = times.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1")
+    times = found.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"))
+    variants = times.groupBy("h").agg(F.count("*").alias("contents"), F.sum("n").alias("all")).where("all > 1")
     contents = found.where("data is not null").select("h", "d1", "d2", "data").dropDuplicates(["h", "d1", "d2"])
-    contents = contents.join(variants, "h")
+    contents = contents.join(times.join(variants, "h").drop("all"), ["h", "d1", "d2"])
     contents = scratch.keep(contents, "contents")
     total = contents.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
@@ -274,14 +279,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     part = F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("contents") / SPLIT))
     name = F.when(split, F.concat_ws("/", F.lit("h"), F.col("h"), part)).otherwise(F.concat_ws("/", F.lit("n"), F.pmod(F.xxhash64("h"), F.lit(shards))))
     run, schema = _shard(window)
-    arrays = contents.select("d1", "d2", "data", split.alias("split"), name.alias("shard")).groupBy("shard").applyInPandas(run, schema)
-    arrays = scratch.keep(arrays, "arrays")
+    dealt = contents.select("d1", "d2", "data", "n", split.alias("split"), name.alias("shard")).repartition(min(shards, MOST_TASKS), "shard")
+    arrays = scratch.keep(dealt.groupBy("shard").applyInPandas(run, schema), "arrays")
+    scratch.drop(contents)
     open_ = arrays.where("open")
     ranges = max(1, open_.count() // 100_000)
     merged = open_.withColumn("range", F.pmod(F.xxhash64("g1", "g2"), F.lit(ranges))).groupBy("range").applyInPandas(_merge, "d1 long, d2 long, lo long, hi long")
     hits = arrays.where("not open").select("d1", "d2", "lo", "hi").unionByName(merged)
-    whole = times.where("n > 1").select("d1", "d2", F.lit(0).cast("long").alias("lo"), F.col("k").alias("hi"))
-    hits = hits.unionByName(whole).groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
+    hits = hits.groupBy("d1", "d2").agg(F.collect_list(F.struct("lo", "hi")).alias("hits"))
+    hits = scratch.keep(hits, "hits")  # so that the join can be split where very many places have one content
+    scratch.drop(arrays)
     placed = found.select("id0", "mark", "q", "d1", "d2").join(hits, ["d1", "d2"])
     placed = placed.select("id0", "mark", F.explode(F.transform("hits", lambda x: F.struct((F.col("q") + x["lo"]).alias("s"), (F.col("q") + x["hi"] - 1 + window).alias("e")))).alias("r"))
     return placed.groupBy("id0", "mark").agg(F.collect_set("r").alias("ranges"))
