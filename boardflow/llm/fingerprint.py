@@ -1,23 +1,21 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame operations.
 
-A text is cut into paragraphs: its lines, and lines of over ``PIECE_WORDS``
-words into runs of that many. The 64-bit digests of the distinct paragraphs
-fill a table of cells. Each digest falls into one cell of each of three
-subtables; a cell holds a count, the xor of its digests and the xor of their
-check hashes. Two tables subtract cell by cell, what both texts share cancels
-out, and peeling cells of one digest recovers the digests that differ. Where
-peeling gets stuck, both tables are made anew, larger: digests are dealt into blocks, each
-with a table sized for all its digests, and a block that gets stuck is tried
-once more at three times the size before its digests themselves are compared.
+A text is cut into paragraphs: its lines, and longer lines into runs of
+``UNITS`` units, words or pieces of words. A short text is cut finer too, into
+runs of a few code points and, if it is very short, into single ones. Such a cut
+is a function of the text alone; two texts are compared by the finest one that
+both have. The 64-bit digests of the distinct paragraphs of a cut fill a table of
+cells. Each digest falls into one cell of each of three subtables; a cell holds a
+count, the xor of its digests and the xor of their check hashes. A fingerprint is
+the tables of all cuts. Two tables subtract cell by cell, what both texts share
+cancels out, and peeling cells of one digest recovers the digests that differ.
+Where peeling gets stuck, both tables are made anew, larger, and larger again:
+digests are dealt into blocks, each with a table sized for all its digests, and a
+block that gets stuck is tried at four times the size, and so on.
 
 Likeness is the Jaccard similarity of the two paragraph sets, from their sizes
 and the number of recovered digests; two texts without words are alike (1).
 
-Such paragraphs are too coarse for a text of few words or of very long ones: it
-is a single digest. So two texts are also likened by finer pieces, runs of code
-points of their words, where both have long words or one is short; elsewhere
-paragraphs do. The length of a run comes from the longer text and holds for both.
-
 The next document is found from ids alone, in ranges of ids; a text is shuffled
 once by its own key (both branches read the same columns, so that Spark reuses
 the exchange), and its head once to the document that it edits.
@@ -30,14 +28,13 @@ from pyspark.sql import functions as F
 
 from boardflow.llm.common import pick, table
 
-PIECE_WORDS = 16
-SUBTABLE = 8  # cells of each of the three subtables of a fingerprint
-BLOCK = 16  # digests, of both texts, in a block of a larger sketch
-ROUNDS = 60
-SHORT = 1024  # code points of a text that is likened by finer pieces to texts of up to ``TIMES`` times its length
-TIMES = 16
-SPARSE = 256  # code points for each distinct paragraph, beyond which a text has very long words or repeats itself
-RUNS = 16  # runs of code points, at least, in a text of 32 code points or more in one word
+UNITS = 16  # units in a paragraph
+UNIT = 12  # code points in a unit, at most
+FINER = ((512, 6), (32, 1))  # texts under so many code points are also cut into runs of so many
+SUBTABLE = 8  # cells of each of the three subtables of a fingerprint's table
+BLOCK = 8  # digests, of both texts, in a block of a larger sketch
+LARGER = (1, 4, 16, 64)  # sizes that a block is tried with, one after the other
+ROUNDS = 14  # of peeling; each takes all cells of one digest at once, so few are needed
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -45,29 +42,23 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def digests_sql(text: str) -> str:
-    """SQL: distinct 64-bit digests of the paragraphs of a text."""
-    pieces = rf"regexp_extract_all({text}, r'(?:\S+[^\S\n]*){{1,{PIECE_WORDS}}}', 0)"
-    return f"array_distinct(transform({pieces}, p -> xxhash64(rtrim(p))))"
-
-
-def runs_sql(text: str, n: str, m: str) -> str:
-    """SQL: distinct digests of the runs of code points of a text's words, for a comparison of texts of ``n`` and ``m`` code points."""
-    size = f"greatest(2, greatest({n}, {m}) div {RUNS})"
-    return rf"array_distinct(transform(regexp_extract_all({text}, concat(r'\S{{1,', {size}, '}}+'), 0), p -> xxhash64(p)))"
-
-
-def sparse_sql(keys: str, n: str) -> str:
-    return f"({n} > {SPARSE} * size({keys}))"
+def digests_sql(text: str, run: int = 0) -> str:
+    """SQL: distinct 64-bit digests of the paragraphs of a text, or of its runs of ``run`` code points."""
+    pattern = rf"\S{{1,{run}}}" if run else rf"(?:\S{{1,{UNIT}}}[^\S\n]*){{1,{UNITS}}}"
+    return f"array_distinct(transform(regexp_extract_all({text}, r'{pattern}', 0), p -> xxhash64(rtrim(p))))"
 
 
-def short_sql(n: str, m: str) -> str:
-    """SQL: whether one of two texts is short and the other not much longer."""
-    return f"(least({n}, {m}) <= {SHORT} and greatest({n}, {m}) <= {TIMES} * least({n}, {m}))"
+def common_cut_sql(cuts: dict[int, str], n: str, m: str) -> str:
+    """SQL: of the cuts of a text (0: paragraphs; else by the length of runs) the finest that texts of ``n`` and ``m`` code points both have."""
+    out = cuts[0]  # FINER goes from coarse to fine
+    for most, run in FINER:
+        out = f"if({n} < {most} and {m} < {most}, {cuts[run]}, {out})"
+    return out
 
 
 def _places(key: str, sub: str) -> str:
-    return ", ".join(f"cast({j} * {sub} + pmod(xxhash64({key}, {j}), {sub}) as int) as p{j}" for j in range(3))
+    """SQL: a digest's cell in each subtable; other sizes have other hashes, so that digests that share all cells part."""
+    return ", ".join(f"cast({j} * {sub} + pmod(xxhash64({key}, {j}, {sub}), {sub}) as int) as p{j}" for j in range(3))
 
 
 def cells_sql(keys: str, sub: str) -> str:
@@ -91,29 +82,25 @@ def peel_sql(left: str, right: str, sub: str) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), struct({minus} as cells, 0 as got, false as over), (st, r) -> if(st.over, st, {step}), st -> {end})"
 
 
-def likeness_sql(a: str, b: str, cells_a: str | None = None, cells_b: str | None = None) -> str:
-    """SQL: likeness of two paragraph sets by their sketches; larger sketches are made where the given ones can't be peeled.
-
-    ``a`` and ``b`` are arrays of distinct digests; ``cells_a`` and ``cells_b``
-    their fingerprints' cells.
-    """
-
+def likeness_sql(a: str, b: str, cells_a: str, cells_b: str) -> str:
+    """SQL: likeness of two paragraph sets (arrays of distinct digests) by their fingerprints' cells, and by larger sketches where those can't be peeled."""
     blocks = f"1 + (size({a}) + size({b})) div {BLOCK}"
-    split = lambda keys: f"transform({keys}, k -> struct(k as k, pmod(xxhash64(k, 'block'), nb) as b))"
-    part = lambda keys: f"transform(filter({keys}, e -> e.b = i), e -> e.k)"
+    split = lambda keys: f"transform({keys}, k -> struct(k as k, pmod(xxhash64(k, 'outer'), no) as o, pmod(xxhash64(k, 'inner'), ni) as i))"
+    outer = lambda keys: f"filter({keys}, e -> e.o = u)"
+    inner = lambda keys: f"transform(filter({keys}, e -> e.i = v), e -> e.k)"
 
     def larger(times: int) -> str:
         return _let(f"{times} * (4 + (size(pa) + size(pb)) div 2)", "sub", peel_sql(cells_sql("pa", "sub"), cells_sql("pb", "sub"), "sub"))
 
-    block = f"coalesce({larger(1)}, {larger(3)}, size(array_except(pa, pb)) + size(array_except(pb, pa)))"
-    block = _let(part("ea"), "pa", _let(part("eb"), "pb", block))
-    block = f"aggregate(transform(sequence(0, nb - 1), i -> {block}), 0, (t, d) -> t + d)"
-    tries = [_let(blocks, "nb", _let(split(a), "ea", _let(split(b), "eb", block)))]
-    if cells_a:
-        tries.insert(0, f"if(abs(size({a}) - size({b})) > {2 * SUBTABLE}, null, {peel_sql(cells_a, cells_b, str(SUBTABLE))})")
-    apart = f"coalesce({', '.join(tries)})"
+    total = lambda each: f"aggregate({each}, 0, (t, d) -> t + d)"
+    block = _let(inner("oa"), "pa", _let(inner("ob"), "pb", f"coalesce({', '.join(map(larger, LARGER))})"))
+    some = _let(outer("ea"), "oa", _let(outer("eb"), "ob", total(f"transform(sequence(0, ni - 1), v -> {block})")))
+    every = _let(split(a), "ea", _let(split(b), "eb", total(f"transform(sequence(0, no - 1), u -> {some})")))
+    # Blocks in two steps, so that no digest is looked at once for each block.
+    every = _let(f"cast(ceil(sqrt({blocks})) as int)", "no", _let(f"cast(ceil(({blocks}) / no) as int)", "ni", every))
+    first = peel_sql(cells_a, cells_b, str(SUBTABLE))
     both = f"(size({a}) + size({b}))"
-    return f"if({both} = 0, 1D, {_let(apart, 'd', f'cast({both} - d as double) / ({both} + d)')})"
+    return f"if({both} = 0, 1D, {_let(f'coalesce({first}, {every})', 'd', f'cast({both} - d as double) / ({both} + d)')})"
 
 
 def fingerprint_sql(keys: str, cells: str) -> str:
@@ -162,44 +149,50 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the order of their texts' hashes; a null doc_id comes last. A lone document
     is its own next one. An empty table gives none.
 
-    near_edited and near_next are by paragraphs; fine_edited and fine_next by
-    runs of code points where texts are short or have very long words, by
-    paragraphs elsewhere.
+    near_edited and near_next are by the finest cut that both texts have.
     """
     rows = fingerprints(docs, id_col, text_col)
     chain = successors(rows.select("doc_id", "id0", "mark", "n_chars").distinct())
-    chain = chain.select(F.col("next_id0").alias("id0"), F.col("next_mark").alias("mark"), F.col("id0").alias("to_id0"), F.col("mark").alias("to_mark"), F.floor(F.col("n_chars") / 3).alias("take"), F.col("n_chars").alias("to_n_chars"))
-    heads = rows.join(chain, ["id0", "mark"]).select("to_id0", "to_mark", F.expr("left(text, cast(take as int))").alias("head"), F.expr(digests_sql("text")).alias("next_keys"), F.col("doc_id").alias("next_doc_id"), F.col("n_chars").alias("next_n_chars"), "to_n_chars", "text")
-    heads = heads.withColumn("next_text", F.expr(f"if({sparse_sql('next_keys', 'next_n_chars')} or {short_sql('next_n_chars', 'to_n_chars')}, text, null)")).drop("text", "to_n_chars")
+    chain = chain.select(F.col("next_id0").alias("id0"), F.col("next_mark").alias("mark"), F.col("id0").alias("to_id0"), F.col("mark").alias("to_mark"), F.floor(F.col("n_chars") / 3).alias("take"))
+    least = FINER[0][0]
+    heads = rows.join(chain, ["id0", "mark"]).select(
+        "to_id0",
+        "to_mark",
+        F.expr("left(text, cast(take as int))").alias("head"),
+        F.expr(digests_sql("text")).alias("next_keys"),
+        F.expr(f"if(n_chars < {least}, text, null)").alias("next_text"),
+        F.col("doc_id").alias("next_doc_id"),
+        F.col("n_chars").alias("next_n_chars"),
+    )
     once = Window.partitionBy("to_id0", "to_mark").orderBy("to_mark")
-    heads = heads.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(F.col("to_id0").alias("id0"), F.col("to_mark").alias("mark"), "head", "next_keys", "next_doc_id", "next_n_chars", "next_text")
-    both = rows.join(heads, ["id0", "mark"])
-    edited = "concat(left(text, cast(n_chars - n_chars div 3 as int)), head)"
-    nexts = ["next_doc_id", "next_n_chars"]
-    both = both.select("doc_id", "n_chars", *nexts, F.expr(edited).alias("edited"), F.expr(digests_sql("text")).alias("keys"), "next_keys", "text", "next_text")
-    both = both.select("doc_id", "n_chars", *nexts, F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", F.expr(digests_sql("edited")).alias("edited_keys"), "text", "next_text", "edited", F.expr("char_length(edited)").alias("edited_n_chars"))
-    for other in ("edited", "next"):
-        fine = f"({sparse_sql('keys', 'n_chars')} and {sparse_sql(f'{other}_keys', f'{other}_n_chars')} or {short_sql('n_chars', f'{other}_n_chars')})"
-        its = "edited" if other == "edited" else "next_text"
-        both = both.withColumn(f"runs_{other}", F.expr(f"if({fine}, {runs_sql('text', 'n_chars', f'{other}_n_chars')}, null)"))
-        both = both.withColumn(f"{other}_runs", F.expr(f"if({fine}, {runs_sql(its, 'n_chars', f'{other}_n_chars')}, null)"))
-    both = both.drop("text", "next_text", "edited", "edited_n_chars")
-    size = str(SUBTABLE)
-    both = both.withColumn("cells", F.expr(cells_sql("keys", size))).withColumn("edited_cells", F.expr(cells_sql("edited_keys", size)))
-    runs = [f"{a}_{b}" for o in ("edited", "next") for a, b in (("runs", o), (o, "runs"))]
-    both = both.select(
+    heads = heads.withColumn("nth", F.row_number().over(once)).where("nth = 1").withColumnsRenamed({"to_id0": "id0", "to_mark": "mark"}).drop("nth")
+    both = rows.join(heads, ["id0", "mark"]).withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 3 as int)), head)"))
+    both = both.withColumn("edited_n_chars", F.expr("cast(char_length(edited) as long)")).withColumn("edited_sha256", F.sha2("edited", 256))
+    cuts: dict[str, dict[int, str]] = {"own": {0: "own_0"}, "edited": {0: "edited_0"}, "next": {0: "next_keys"}}
+    both = both.withColumns({"own_0": F.expr(digests_sql("text")), "edited_0": F.expr(digests_sql("edited"))})
+    for most, run in FINER:
+        for side, text, n in (("own", "text", "n_chars"), ("edited", "edited", "edited_n_chars"), ("next", "next_text", "next_n_chars")):
+            cuts[side][run] = f"{side}_{run}"
+            both = both.withColumn(f"{side}_{run}", F.expr(f"if({n} < {most}, {digests_sql(text, run)}, null)"))
+    both = both.drop("text", "edited", "head", "next_text")
+    cells = {side: {run: f"{c}_cells" for run, c in of.items()} for side, of in cuts.items()}
+    both = both.withColumns({cells[side][run]: F.expr(f"if({c} is null, null, {cells_sql(c, str(SUBTABLE))})") for side, of in cuts.items() for run, c in of.items()})
+    pairs = {}
+    for side in ("edited", "next"):
+        for what, columns in (("", cuts), ("_cells", cells)):
+            pairs |= {f"{x}_{side}{what}": F.expr(common_cut_sql(columns[own], "n_chars", f"{side}_n_chars")) for x, own in (("a", "own"), ("b", side))}
+    both = both.withColumns(pairs)
+    of = lambda side: F.concat_ws("/", *[F.expr(f"if({c} is null, null, {fingerprint_sql(c, cells[side][run])})") for run, c in cuts[side].items()])
+    return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.expr(fingerprint_sql("keys", "cells")).alias("fingerprint"),
-        F.expr(fingerprint_sql("edited_keys", "edited_cells")).alias("edited_fingerprint"),
-        F.expr(likeness_sql("keys", "edited_keys", "cells", "edited_cells")).alias("near_edited"),
-        F.expr(likeness_sql("keys", "next_keys")).alias("near_next"),
-        *nexts,
-        *runs,
+        of("own").alias("fingerprint"),
+        of("edited").alias("edited_fingerprint"),
+        *[F.expr(likeness_sql(f"a_{side}", f"b_{side}", f"a_{side}_cells", f"b_{side}_cells")).alias(f"near_{side}") for side in ("edited", "next")],
+        "next_doc_id",
+        "next_n_chars",
     )
-    fine = {f"fine_{o}": F.expr(f"if(runs_{o} is null, near_{o}, {likeness_sql(f'runs_{o}', f'{o}_runs')})") for o in ("edited", "next")}
-    return both.withColumns(fine).drop(*runs)
 
 
 def op6_lookup_sketches(spark, sf_dir: str) -> DataFrame:
