@@ -19,7 +19,7 @@ from boardflow.llm.suffix_dedup import cut_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text of whose n-grams fewer are known in its best language is in none of the learned languages.
-LEAST_COVERAGE = 0.3
+LEAST_COVERAGE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
