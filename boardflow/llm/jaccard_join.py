@@ -16,7 +16,8 @@ and a >= t b. The order here is: rare first.
    with one of another, as long as many of those link. The last one takes every
    pair of groups that shares a prefix shingle, passes the size and position
    filters and holds members of different components, and only then expands it to
-   its members. So a large group of copies costs one check a member, and no link
+   its members. Groups of one record carry 512 parity bits in this join, so it makes
+   no row for most of the pairs that aren't similar. So a large group of copies costs one check a member, and no link
    between different components is lost.
 4. Of two sets the bitmaps differ in at most as many bits as the sets in
    shingles: pairs that this bound rules out go before any text is fetched. The
@@ -45,6 +46,7 @@ SHORT = 24  # bits of a shingle's hash that are left out where it is only counte
 OFTEN = 4
 WORTHWHILE = 4  # a round that draws pairs is followed by another if one in so many links
 ENOUGH = 8  # pairs left for each row left, before any filter, with which the last round begins
+FOLD = 512  # parity bits that the last round's join itself looks at
 RANGE = 6  # size classes in a range within which groups meet
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -119,6 +121,12 @@ def parity_bits(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
 
 
+def parity_fold(s: np.ndarray) -> list[int]:
+    """``FOLD`` such bits, for sets of any size, as longs."""
+    bits = np.bincount((s & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def may_link(n_a: int, n_b: int, a: bytes, b: bytes, percent: int) -> bool:
     """Whether sets of these sizes and parity bits can be similar enough: each differing bit is a shingle that only one has."""
     x, y = (np.frombuffer(bits, dtype=np.uint8) for bits in ((a, b) if len(a) <= len(b) else (b, a)))
@@ -156,7 +164,7 @@ def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> DataFrame:
-    """All columns but the text, n (size of the set), h1, h2 (hash of the set), p1 (hash of prefix and size), prefix, bits (parity)."""
+    """All columns but the text, n (size of the set), h1, h2 (hash of the set), p1 (hash of prefix and size), prefix, bits and fold (parity)."""
     carried = [f for f in rows.schema.fields if f.name != "text"]
     table = rows.sparkSession.sparkContext.broadcast(often)  # 1 << TABLE_BITS bytes
 
@@ -164,7 +172,7 @@ def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> D
         import pyarrow as pa
 
         for batch in batches:
-            n, h1, h2, p1, ends, parts, bits = [], [], [], [], [0], [], []
+            n, h1, h2, p1, ends, parts, bits, fold = [], [], [], [], [0], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 rank = table.value[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                 size = int(prefix_length(len(s), percent)) if len(s) else 0
@@ -176,13 +184,14 @@ def _sketches(rows: DataFrame, words: int, percent: int, often: np.ndarray) -> D
                 p1.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=len(s)))
                 parts.append(first)
                 bits.append(parity_bits(s) if len(s) else None)
+                fold.append(parity_fold(s) if len(s) else None)
                 ends.append(ends[-1] + size)
             long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), long(np.concatenate(parts) if parts else []))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), pa.array(n, pa.int64()), long(h1), long(h2), long(p1), prefix, pa.array(bits, pa.binary())], names=[*(f.name for f in carried), "n", "h1", "h2", "p1", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), pa.array(n, pa.int64()), long(h1), long(h2), long(p1), prefix, pa.array(bits, pa.binary()), pa.array(fold, pa.list_(pa.int64()))], names=[*(f.name for f in carried), "n", "h1", "h2", "p1", "prefix", "bits", "fold"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried)
-    return rows.mapInArrow(sketch, f"{kinds}, n long, h1 long, h2 long, p1 long, prefix array<long>, bits binary")
+    return rows.mapInArrow(sketch, f"{kinds}, n long, h1 long, h2 long, p1 long, prefix array<long>, bits binary, fold array<long>")
 
 
 def _whole_texts(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -346,8 +355,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     postings = scratch.keep(_postings(sketched, groups, percent, scratch).withColumn("class", size_class), "postings")
 
     heads = postings.select("gid").unionByName(groups.where("members > 1").select(F.col("rec").alias("gid"))).distinct()
-    members = records.join(groups.select("n", "p1", F.col("rec").alias("gid")), ["n", "p1"]).select("rec", "gid", "n", "h1", "h2", "least")
-    members = members.join(heads, "gid").join(sketched.select(F.col("row").alias("rec"), "bits"), "rec")
+    members = records.join(groups.select("n", "p1", F.col("rec").alias("gid"), "members"), ["n", "p1"]).select("rec", "gid", "n", "h1", "h2", "least", "members")
+    members = members.join(heads, "gid").join(sketched.select(F.col("row").alias("rec"), "bits", "fold"), "rec")
+    members = members.withColumn("fold", F.when(F.col("members") == 1, F.col("fold"))).drop("members")  # it speaks for one set, not for a group
     members = scratch.keep(members, "members")
     texts = None
 
@@ -368,6 +378,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     needed = F.ceil(F.lit(percent) * (F.col("a.n") + F.col("b.n")) / F.lit(100 + percent))
     reach = 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1) >= needed
     near = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & reach
+    odd = sum(F.bit_count(F.col("a.fold")[i].bitwiseXOR(F.col("b.fold")[i])) for i in range(FOLD // 64))  # at most the shingles that one set has alone
+    alike = F.coalesce((100 + percent) * (F.col("a.n") + F.col("b.n") - odd) >= 2 * percent * (F.col("a.n") + F.col("b.n")), F.lit(True))
     pair = [F.least("a.gid", "b.gid").alias("a"), F.greatest("a.gid", "b.gid").alias("b")]
 
     # First round: one leader for a shingle and a size class, and a group's own members.
@@ -394,7 +406,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         last = not merging or (apart or 0) <= ENOUGH * (rows_open or 0)
         if last:
             differ = (F.col("a.gid") < F.col("b.gid")) & (F.least("a.low", "b.low") != F.greatest("a.high", "b.high"))
-            found = open_.alias("a").join(open_.alias("b"), ["token", "range"]).where(differ & near).select(*pair)
+            folded = open_.join(members.where("fold is not null").select("gid", "fold"), "gid", "left")
+            found = folded.alias("a").join(folded.alias("b"), ["token", "range"]).where(differ & near & alike).select(*pair)
             found = found.unionByName(spread.where("low != high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
             one, two = (known.select(F.col("gid").alias(side), F.col("rec").alias(f"rec_{side}"), F.col("comp").alias(f"comp_{side}")) for side in ("a", "b"))
             found = found.join(one, "a").join(two, "b").where("comp_a < comp_b or (comp_a > comp_b and a != b)")
