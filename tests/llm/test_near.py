@@ -8,7 +8,7 @@ import pytest
 from boardflow.llm.common import Scratch
 from boardflow.llm.components import connected_components
 from boardflow.llm.embedding_dedup import near_duplicates
-from boardflow.llm.jaccard_join import link, op1_grouped_prefixes
+from boardflow.llm.jaccard_join import link, op1_grouped_prefixes, parity_fold
 from tests.llm import data
 
 
@@ -34,6 +34,18 @@ def test_join_with_a_hot_group_and_a_chain(spark):
     data.same(link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect(), data.jaccard_classes(rows, 4, 85))
 
 
+@pytest.mark.parametrize("size", [1, 40, 600, 5000])
+def test_join_bits_differ_at_most_as_sets_do(size):
+    rng = np.random.default_rng(size)
+    a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+    for kept in (0, size // 2, size - 1, size):
+        b = np.unique(np.concatenate([a[:kept], rng.integers(0, 2**64, size // 3 + 1, dtype=np.uint64)]))
+        odd = sum((x ^ y).bit_count() for x, y in zip((v & (2**64 - 1) for v in parity_fold(a)), (v & (2**64 - 1) for v in parity_fold(b)), strict=True))
+        apart = len(np.setxor1d(a, b))
+        assert odd <= apart and (odd - apart) % 2 == 0
+    assert parity_fold(a) == parity_fold(a[::-1])
+
+
 def test_join_of_nothing(spark):
     assert link(data.no_docs(spark)).collect() == []
 
