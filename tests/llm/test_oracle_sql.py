@@ -19,7 +19,7 @@ def by_name(columns, rows):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data.SF}/{t}.parquet'")
     got = QUERIES[name](spark, data.SF)
     want = con.execute(ORACLE_SQL[name])
