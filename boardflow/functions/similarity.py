@@ -40,16 +40,6 @@ def deletion_keys(c: Column) -> Column:
     return F.array_distinct(F.when(F.char_length(c) > 0, F.concat(F.array(c), cut)).otherwise(F.array(c)))
 
 
-def characters(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-
-
-def letter_pairs(c: Column) -> Column:
-    """Distinct pairs of neighbouring letters, with marks before the first and after the last one."""
-    marked = F.concat(F.lit("\u0001"), c, F.lit("\u0001"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) + 1), lambda i: F.substring(marked, i, F.lit(2))))
-
-
 def claim_plausible(key: Column, shown: Column, exotic: Column, form_key: Column, form_shown: Column, form_exotic: Column) -> Column:
     """Whether a reading may be what a claimed roster form shows.
 

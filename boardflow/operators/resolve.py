@@ -3,9 +3,8 @@
 A row has several readings of one name and, at times, a claim of who it is.
 All candidates of all tiers are found by joins on keys, and one aggregate picks
 the first one by tier and reading. No tier compares every row with every roster
-entry: near names meet on deletion keys, near symbols on a shared character, and
-suggestions on pairs of letters; only names for which those give nothing half
-alike are compared by single characters.
+entry: near names meet on deletion keys, near symbols on segments, suggestions
+on rare pairs of letters and, below half alike, on letters in order.
 """
 
 from __future__ import annotations
@@ -13,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardflow.functions.similarity import NEAR_LETTERS, characters, claim_plausible, deletion_keys, letter_pairs, similarity, symbols_near, within_one_edit
+from boardflow.functions.similarity import NEAR_LETTERS, claim_plausible, deletion_keys, symbols_near, within_one_edit
 from boardflow.functions.text import EXOTIC, alias_key, exoticness, fold, symbols, usable
+from boardflow.operators.alike import alike_pairs, loose_pairs, one_letter_best, probe_keys, segment_keys
 from boardflow.operators.hold import hold
 
 # Tiers; within the ladder of one reading, rungs.
@@ -67,34 +67,46 @@ def near_names(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFr
 
 
 def near_symbols(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
-    """Readings in symbols near those of exactly one entry in symbols: ``keys``, roster_id."""
-    left = readings.where((F.col("key") == "") & (F.char_length("shown") >= 2)).select(*keys, "shown", F.explode(characters(F.col("shown"))).alias("ch"))
+    """Readings in symbols near those of exactly one entry in symbols: ``keys``, roster_id.
+
+    They meet on segments: of one more than edits are allowed, one is whole in the reading.
+    """
+    left = readings.where((F.col("key") == "") & (F.char_length("shown") >= 2)).select(*keys, "shown")
     right = forms.where((F.col("key") == "") & (F.char_length("shown") >= 2)).select("roster_id", F.col("shown").alias("form_shown")).distinct()
-    right = right.withColumn("ch", F.explode(characters(F.col("form_shown"))))
-    return _sole(left.join(right, "ch").where(symbols_near(F.col("shown"), F.col("form_shown"))), keys)
+    met = left.select("shown").distinct().withColumn("part", F.explode(F.expr(probe_keys("shown"))))
+    met = met.join(right.withColumn("part", F.explode(F.expr(segment_keys("form_shown")))), "part").drop("part").distinct()
+    near = _sole(met.where(symbols_near(F.col("shown"), F.col("form_shown"))), ["shown"])
+    return _sole(left.join(near, "shown"), keys)
+
+
+#: Names leave as soon as the best of what is this much alike is known; so few are left for the weaker filters.
+ROUNDS, LOOSE_ROUNDS = (0.8, 0.65, 0.5), (0.35, 0.0)
 
 
 def most_similar(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
     """The entry with the most similar key to any reading of a row, over 0: ``keys``, roster_id, near_score.
 
-    Of equals the first reading, then the first roster form. Names without a
-    pair of neighbouring letters in common are under half alike, as an edit
-    changes two pairs at most: so only names that find nothing half alike by
-    their pairs are compared by single characters too.
+    Of equals the first reading, then the first roster form. Names are looked up
+    in rounds, each with a lower bar: one whose best form is above the bar is
+    done. Forms of less than half a name are found by letters in order, and the
+    last ones by a single letter and its place.
     """
     left = readings.where("key != ''").select(*keys, "pos", "key")
-    names = left.select("key").distinct()
     right = forms.where("key != ''").groupBy(F.col("key").alias("form_key")).agg(F.min_by("roster_id", "ix_pos").alias("roster_id"), F.min("ix_pos").alias("ix_pos"))
-
-    def best(names: DataFrame, parts) -> DataFrame:
-        of, its = parts(F.col("key")), parts(F.col("form_key"))
-        pairs = names.withColumn("part", F.explode(of)).join(right.withColumn("part", F.explode(its)), "part")
-        pairs = pairs.where(F.col("part") == F.array_min(F.array_intersect(of, its))).withColumn("s", similarity(F.col("key"), F.col("form_key")))
-        return pairs.where("s > 0").groupBy("key").agg(F.max(F.struct("s", (-F.col("ix_pos")).alias("back"), "roster_id")).alias("b")).select("key", "b.*")
-
-    close = best(names, letter_pairs)
-    far = best(names.join(close.where("s >= 0.5").select("key"), "key", "left_anti"), characters)
-    found = close.where("s >= 0.5").unionByName(far)
+    right, todo, done = hold(right), hold(left.select("key").distinct()), []
+    for least in ROUNDS + LOOSE_ROUNDS:
+        if todo.isEmpty():
+            break
+        pairs = alike_pairs(todo, right, least) if least in ROUNDS else loose_pairs(todo, right, least)
+        best = pairs.select("key", F.struct("s", (-F.col("ix_pos")).alias("back"), "roster_id").alias("b"))
+        if least == LOOSE_ROUNDS[-1]:
+            best = best.unionByName(one_letter_best(todo, right).select("key", F.struct("s", "back", "roster_id").alias("b")))
+        done.append(hold(best.groupBy("key").agg(F.max("b").alias("b")).select("key", "b.*")))
+        if least != LOOSE_ROUNDS[-1]:
+            todo = hold(todo.join(done[-1], "key", "left_anti"))
+    found = right.select(F.col("form_key").alias("key"), F.lit(1.0).alias("s"), (-F.col("ix_pos")).alias("back"), "roster_id").limit(0)
+    for part in done:
+        found = found.unionByName(part)
     top = F.max_by(F.struct("roster_id", "s"), F.struct("s", -F.col("pos"), "back"))
     return left.join(found, "key").groupBy(*keys).agg(top.alias("b")).select(*keys, "b.roster_id", F.col("b.s").alias("near_score"))
 
