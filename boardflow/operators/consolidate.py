@@ -7,18 +7,23 @@ largest (count, -last sighting), which an aggregate finds without a sort.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardflow.functions.similarity import ORPHAN, similarity
 from boardflow.functions.text import fold, symbols
 from boardflow.operators.hold import hold
+from boardflow.operators.leaders import first_leaders
 
 LATER = 1 << 60  # attached sightings count after a group's own
 BLANK_RANK = 9999
 
 
+def label_of() -> Column:
+    """The plain name, or else the name."""
+    return F.coalesce(F.nullif(F.col("plain"), F.lit("")), F.col("name"))
+
+
 def peak_mode(df: DataFrame, keys: list[str], value: str, seq: str, out: str = "mode") -> DataFrame:
     """Of each group the first-to-peak mode of a column; ``seq`` orders the rows and is unique in a group."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.max(seq).alias("last"))
@@ -37,15 +42,16 @@ def ordered_distinct(df: DataFrame, keys: list[str], value: str, seq: str, out:
 
 def _summary(members: DataFrame) -> DataFrame:
     """members: board_id, gid, pos, points, name, plain, roster_name, seq, rank."""
+    alike = members.withColumn("plain", label_of()).groupBy("board_id", "gid", "points", "name", "plain", "roster_name").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.min("pos").alias("first"))
     fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in ("points", "name", "plain", "roster_name")])
-    values = members.select("board_id", "gid", "pos", F.inline(fields)).where("field != 'roster_name' or value != ''")
-    counts = values.groupBy("board_id", "gid", "field", "value").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.min("pos").alias("first"))
+    values = alike.select("board_id", "gid", "n", "last", "first", F.inline(fields)).where("field != 'roster_name' or value != ''")
+    counts = values.groupBy("board_id", "gid", "field", "value").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.min("first").alias("first"))
 
     def mode(field: str) -> Column:
         return F.max_by("value", F.when(F.col("field") == field, F.struct("n", -F.col("last"))))
 
     def distinct(field: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("first", "value")))), lambda x: x["value"])
+        return F.transform(F.array_sort(F.collect_list(F.when((F.col("field") == field) & (F.col("value") != ""), F.struct("first", "value")))), lambda x: x["value"])
 
     modes = counts.groupBy("board_id", "gid").agg(
         mode("points").cast("double").alias("points"),
@@ -60,15 +66,6 @@ def _summary(members: DataFrame) -> DataFrame:
     return modes.join(heads, ["board_id", "gid"]).withColumn("seenRank", F.col("rank"))
 
 
-def _leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy in order of arrival, for the distinct names of one board and score: each joins the first leader it resembles, or leads."""
-    from boardflow.operators.greedy import first_leaders
-
-    pdf = pdf.sort_values("seq")
-    pdf["gid"] = first_leaders(pdf["key"].tolist(), pdf["shown"].tolist(), pdf["seq"].tolist(), ORPHAN)
-    return pdf[["board_id", "points", "key", "shown", "gid"]]
-
-
 def consolidate(sightings: DataFrame) -> DataFrame:
     """One row for each place of a board: points, name, plain, obs, claims, pick_, rank, seenRank, seen, group_pos.
 
@@ -78,10 +75,9 @@ def consolidate(sightings: DataFrame) -> DataFrame:
     Sightings that show the same name for the same score go the same way, so
     only distinct names are compared.
     """
-    label = F.when(F.col("plain") != "", F.col("plain")).otherwise(F.col("name"))
     rows = hold(sightings.select("board_id", "seq", F.when(F.col("rank") > 0, F.col("rank")).alias("rank"), "points", "name", "plain", "roster_name"))
     ranked = rows.where("rank is not null").withColumn("gid", F.concat(F.lit("r"), F.col("rank"))).withColumn("pos", F.col("seq"))
-    keyed = lambda df: df.withColumn("label", label).withColumn("key", fold(F.col("label"))).withColumn("shown", symbols(F.col("label"))).drop("label")
+    keyed = lambda df: df.withColumn("label", label_of()).withColumn("key", fold(F.col("label"))).withColumn("shown", symbols(F.col("label"))).drop("label")
     orphans = keyed(rows.where("rank is null"))
 
     modes = peak_mode(ranked, ["board_id", "gid"], "points", "seq", "g_points")
@@ -94,8 +90,9 @@ def consolidate(sightings: DataFrame) -> DataFrame:
     near = distinct.join(groups.withColumnRenamed("g_points", "points"), ["board_id", "points"]).where(alike)
     attached = near.groupBy(*same).agg(F.min_by("gid", "g_pos").alias("gid"))
     rest = distinct.join(attached, same, "left_anti")
-    board = sightings.schema["board_id"].dataType.simpleString()
-    led = rest.select(*same, "seq").groupBy("board_id", "points").applyInPandas(_leaders, f"board_id {board}, points double, key string, shown string, gid string")
+    rest = hold(rest.select(*same, "seq"))
+    led = first_leaders(rest, ["board_id", "points"], "key", "seq", ORPHAN)
+    led = rest.join(led, ["board_id", "points", "seq"]).select(*same, F.concat(F.lit("o"), "leader").alias("gid"))
     placed = orphans.join(attached.unionByName(led), same).withColumn("pos", F.col("seq") + LATER)
     members = hold(ranked.unionByName(placed.select(ranked.columns)))
     out = _summary(members)

@@ -5,26 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def running_rank(rank: Column, window: Window) -> Column:
-    """A printed rank (over 0) stays; another row gets one more than the running maximum so far.
-
-    Closed form: with U the number of rows without a rank so far, such a row has
-    U + max(0, largest rank - U of the rows with one so far).
-    """
-    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    has = F.coalesce(rank > 0, F.lit(False))
-    blank = F.sum(F.when(has, 0).otherwise(1)).over(upto)
-    return F.struct(has.alias("has"), rank.alias("rank"), blank.alias("blank"))
+from boardflow.operators.scans import filled_ranks
 
 
 def fill_ranks(df: DataFrame, by: list[str], order: list[Column | str], rank: str, out: str = "place") -> DataFrame:
-    window = Window.partitionBy(*by).orderBy(*order)
-    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("_r", running_rank(F.col(rank), window))
-    lead = F.max(F.when(F.col("_r.has"), F.col("_r.rank") - F.col("_r.blank"))).over(upto)
-    filled = F.when(F.col("_r.has"), F.col("_r.rank")).otherwise(F.col("_r.blank") + F.greatest(F.lit(0), F.coalesce(lead, F.lit(0))))
-    return rows.withColumn(out, filled.cast("long")).drop("_r")
+    """A printed rank (over 0) stays; another row gets one more than the running maximum so far. Long lists are scanned in blocks."""
+    return filled_ranks(df, by, order, rank, out)
 
 
 def missing_ranks(df: DataFrame, by: str, rank: str, at_once: int = 100_000) -> DataFrame:

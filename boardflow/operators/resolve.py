@@ -173,13 +173,19 @@ def resolve(rows: DataFrame, roster: DataFrame, aliases: DataFrame | None = None
     return out.withColumn("score", score).drop("tier", "rung", "free", "free_alliance")
 
 
-def drop_conflicts(df: DataFrame, by: str = "board_id", key: str = "roster_id", clear: tuple[str, ...] = ("roster_id", "search", "ingame", "alliance")) -> DataFrame:
+def drop_conflicts(df: DataFrame, by: str = "board_id", key: str = "roster_id", guest: str = "search", clear: tuple[str, ...] = ("roster_id", "search", "ingame", "alliance")) -> DataFrame:
     """Entries that two rows of a board claim are trusted in neither: their match is cleared and their score 0.
 
-    Counts are aggregated before they are joined back; ``via`` stays.
+    A row corrected to a name off the roster claims that name (``guest``), by its
+    letters or else its symbols. Counts are aggregated before they are joined
+    back; ``via`` stays.
     """
-    twice = df.where(F.col(key).isNotNull()).groupBy(by, key).agg(F.count("*").alias("_n")).where("_n > 1")
-    out = df.join(twice, [by, key], "left")
+    claim = F.concat(F.lit("#"), F.col(key).cast("string"))
+    if guest in df.columns:
+        claim = F.coalesce(claim, F.nullif(F.concat(F.lit("="), alias_key(F.coalesce(guest, F.lit("")))), F.lit("=")))
+    rows = df.withColumn("_claim", claim)
+    twice = rows.where("_claim is not null").groupBy(by, "_claim").agg(F.count("*").alias("_n")).where("_n > 1")
+    out = rows.join(twice, [by, "_claim"], "left")
     bad = F.col("_n").isNotNull()
     kinds = {f.name: f.dataType for f in df.schema.fields}
     cleared = {c: F.when(bad, F.lit(None).cast(kinds[c])).otherwise(F.col(c)) for c in clear if c in kinds}

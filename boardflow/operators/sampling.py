@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardflow.operators.greedy import equal_steps
+from boardflow.operators.hold import hold
+from boardflow.operators.scans import place_in, previous, running_sum
 
 # Fixed values.
 MOTION_SHARE = 0.75
+STILL = 1e-6
 REACH, REACH_SHARE = 0.2, 0.25
 END_GUARD = 0.05
 CELL_SHARE, LEAST_CELLS, LEAST_SIDE, REGION_PAD = 0.18, 0.02, 0.25, 0.006
 BAND_PAD = 0.25
 BATCHES, LEAST_BATCH, MOST_BATCH = 6, 8, 40
+MOST_WAIT = 90.0
+#: Where a refusal names a wait, in the order of trial, and what part of a second its number counts.
+WAITS = [(r"retry-after ([\d.]+)", 1.0), (r"(?i)retry in ([\d.]+)\s*s", 1.0), (r"(?i)try again in ([\d.]+)s", 1.0), (r"(?i)try again in ([\d.]+)ms", 0.001)]
 CHARACTERS_PER_TOKEN, IMAGE_TOKENS, TOKENS_PER_MINUTE, REQUESTS, STRIPS, LEAST_FRAMES = 2.3, 1100, 225_000, 6, 3, 24
 
 
@@ -24,11 +30,14 @@ def mean_difference(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > 0, total / F.size(a))
 
 
-def motion_total(df: DataFrame, by: str, t: str, delta: Column, out: str = "motion") -> DataFrame:
-    """The running sum of a change from sample to sample, 0 at the first."""
-    window = Window.partitionBy(by).orderBy(t)
-    change = F.when(F.row_number().over(window) == 1, 0.0).otherwise(F.coalesce(delta, F.lit(0.0)))
-    return df.withColumn("_d", change).withColumn(out, F.sum("_d").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
+def motion_total(df: DataFrame, by: str, t: str, value: str, change: Callable[[Column, Column], Column] = lambda now, last: F.abs(now - last), out: str = "motion") -> DataFrame:
+    """The running sum of a change from sample to sample, 0 at the first; a change that is null counts as none.
+
+    Long recordings are scanned in blocks.
+    """
+    rows = previous(df, [by], [t], value, "_past")
+    rows = running_sum(rows, [by], [t], F.coalesce(change(F.col(value), F.col("_past")).cast("double"), F.lit(0.0)), out)
+    return rows.drop("_past")
 
 
 def cell_changes(frames: DataFrame, by: str, t: str, grid: str) -> DataFrame:
@@ -51,14 +60,40 @@ def moving_region(changes: DataFrame, by: str, width: int, height: int) -> DataF
 
 
 def equal_motion_picks(df: DataFrame, by: str, t: str, motion: str, picks: int) -> DataFrame:
-    """``by``, t: moments at which the motion has grown by one more share. The rule is a recurrence, so a task gets one recording."""
+    """``by``, t: the first moment, and after each pick the first one at which the motion has grown by one more share; ``picks`` at most.
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        return pdf.iloc[equal_steps(pdf[motion].tolist(), picks)][[by, t]]
-
-    rows = df.select(by, t, F.col(motion).cast("double").alias(motion))
-    return rows.groupBy(by).applyInPandas(choose, rows.select(by, t).schema)
+    ``motion`` is a running total. Of equal totals only the earliest moment can
+    be picked, so totals stand for moments. Each total's next pick is found in
+    its share of the recording, or is the first total of a later share. Picks
+    are then followed by doubling: after round k the next 2^k of them are known.
+    A recording that hardly moves gives its first moment.
+    """
+    if picks < 1:
+        return df.select(by, t).limit(0)
+    rows = df.select(F.col(by).alias("by"), F.col(t).alias("t"), F.col(motion).cast("double").alias("m"))
+    ends = rows.groupBy("by").agg(F.min("m").alias("begin"), F.max("m").alias("end"))
+    ends = ends.select("by", "begin", F.when(F.col("end") > STILL, F.col("end") / picks).alias("gap"))
+    values = hold(rows.groupBy("by", "m").agg(F.min("t").alias("t")))
+    moving = values.join(ends.where("gap is not null"), "by")
+    wants = moving.select("by", F.col("m").alias("source"), (F.col("m") + F.col("gap")).alias("v"), F.floor((F.col("m") + F.col("gap")) / F.col("gap")).alias("share"))
+    both = moving.select("by", F.lit(None).cast("double").alias("source"), F.col("m").alias("v"), F.floor(F.col("m") / F.col("gap")).alias("share")).unionByName(wants)
+    total = F.when(F.col("source").isNull(), F.col("v"))
+    falling = Window.partitionBy("by", "share").orderBy(F.desc("v"), F.col("source").asc_nulls_first())
+    met = both.withColumn("there", F.last(total, True).over(falling.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("source is not null")
+    # One row for each of about ``picks`` shares of a recording.
+    later = Window.partitionBy("by").orderBy("share").rowsBetween(1, Window.unboundedFollowing)
+    firsts = both.groupBy("by", "share").agg(F.min(total).alias("low")).select("by", "share", F.first("low", True).over(later).alias("then"))
+    jump = met.join(firsts, ["by", "share"]).select("by", F.col("source").alias("m"), F.coalesce("there", "then").alias("next")).where("next is not null")
+    jump = hold(jump)
+    reached = hold(ends.select("by", F.col("begin").alias("m"), F.lit(0).alias("step")))
+    size = 1
+    while size < picks:
+        ahead = reached.join(jump, ["by", "m"]).select("by", F.col("next").alias("m"), (F.col("step") + size).alias("step"))
+        reached = hold(reached.unionByName(ahead.where(F.col("step") < picks)))
+        size *= 2
+        if size < picks:
+            jump = hold(jump.join(jump.select("by", F.col("m").alias("next"), F.col("next").alias("far")), ["by", "next"]).select("by", "m", F.col("far").alias("next")))
+    return reached.join(values, ["by", "m"]).select(F.col("by").alias(by), F.col("t").alias(t))
 
 
 def even_time_picks(df: DataFrame, by: str, t: str, picks: int) -> DataFrame:
@@ -126,10 +161,10 @@ def batch_size(n: int) -> int:
 
 
 def batched(df: DataFrame, by: str, order: list[Column | str], out: str = "batch") -> DataFrame:
-    """Each list's rows in order, in runs of a size that its length decides."""
-    size = df.groupBy(by).agg(F.count("*").alias("_n")).select(by, F.least(F.lit(MOST_BATCH), F.greatest(F.lit(LEAST_BATCH), F.ceil(F.col("_n") / BATCHES))).alias("_size"))
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return df.withColumn("_nth", nth).join(size, by).withColumn(out, F.expr("(_nth - 1) div _size")).drop("_nth", "_size")
+    """Each list's rows in order, in runs of a size that its length decides. Long lists are numbered in blocks."""
+    size = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")).select("_by", F.least(F.lit(MOST_BATCH), F.greatest(F.lit(LEAST_BATCH), F.ceil(F.col("_n") / BATCHES))).alias("_size"))
+    rows = place_in(df, [by], order, "_nth")
+    return rows.join(size, F.col(by).eqNullSafe(F.col("_by"))).withColumn(out, F.expr("(_nth - 1) div _size")).drop("_nth", "_size", "_by")
 
 
 def frame_budget(prompt_characters: Column, frames: Column) -> Column:
@@ -141,15 +176,22 @@ def frame_budget(prompt_characters: Column, frames: Column) -> Column:
 
 
 def rolling_sum(df: DataFrame, by: str, t: str, value: str, seconds: int = 60, out: str = "used") -> DataFrame:
-    """Sum of a value over the last seconds, this row included."""
-    window = Window.partitionBy(by).orderBy("_t").rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    rows = df.withColumn("_t", F.unix_micros(F.col(t).cast("timestamp")))
-    return rows.withColumn(out, F.sum(value).over(window)).drop("_t")
-
-
-def wait_seconds(message: Column, most: float = 90.0) -> Column:
-    """Seconds that a refusal asks to wait; null if it names none."""
-    seconds = F.nullif(F.regexp_extract(message, r"(?i)(?:retry|try again)\s+in\s+(\d+(?:\.\d+)?)\s*s", 1), F.lit("")).try_cast("double")
-    millis = F.nullif(F.regexp_extract(message, r"(?i)(?:retry|try again)\s+in\s+(\d+(?:\.\d+)?)\s*ms", 1), F.lit("")).try_cast("double") / 1000
-    asked = F.coalesce(millis, seconds)
-    return F.when(asked.isNotNull(), F.least(F.lit(most), asked))
+    """Sum of a value over the last seconds, this row included.
+
+    A list is cut in spans of as many seconds; a row is seen in its own span and,
+    as what came before, in the next one. So no task gets a whole list.
+    """
+    span = seconds * 1_000_000
+    rows = df.withColumn("_t", F.unix_micros(F.col(t).cast("timestamp"))).withColumn("_span", F.floor(F.col("_t") / span))
+    seen = rows.withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_span", F.col("_span") + F.col("_ahead"))
+    window = Window.partitionBy(by, "_span").orderBy("_t").rangeBetween(-span, Window.currentRow)
+    return seen.withColumn(out, F.sum(value).over(window)).where("_ahead = 0").drop("_t", "_span", "_ahead")
+
+
+def wait_seconds(message: Column) -> Column:
+    """Whole seconds that a refusal asks to wait, rounded up, 90 at most; null if it names none."""
+    asked = F.lit(None).cast("double")
+    for pattern, share in reversed(WAITS):
+        found = F.regexp_extract(message, pattern, 1)
+        asked = F.when(found != "", F.ceil(found.try_cast("double") * share).cast("double")).otherwise(asked)
+    return F.when(asked.isNotNull(), F.least(F.lit(MOST_WAIT), asked))

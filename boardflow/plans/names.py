@@ -10,10 +10,10 @@ from boardflow.functions.text import alias_key, symbols
 from boardflow.operators import analysis, sampling, sheet
 from boardflow.operators.consolidate import consolidate
 from boardflow.operators.ranks import run_summary, tally
-from boardflow.operators.resolve import name_keys, near_symbols, resolve
+from boardflow.operators.resolve import drop_conflicts, name_keys, near_symbols, resolve
 from boardflow.plans.queries import K_SQL, ORACLE_SQL, SECONDS_SQL, _cents, _seconds, _sightings, equal_motion_sql
 from boardflow.plans.registry import query, table
-from boardflow.sources.replies import reply_status, sheet_head
+from boardflow.sources.replies import parse_replies, reply_status, sheet_head
 
 HEX, SIGNS = "0123456789abcdef", "★☆☀☁☂☃☄☎☏♠♣♥♦♪♫♬"
 WIDE = "０１２３４５６７８９ａｂｃｄｅｆ"
@@ -181,6 +181,93 @@ def orphans_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.select("board_id", "gid", "rank", "points", "name", "seen", F.size("obs").cast("long").alias("names"))
 
 
+LIKENESS = "(CASE WHEN {a} = {b} THEN 1 ELSE 1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END)"
+
+
+def _lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of which half have no rank, few scores, and names of six signs of which one is misread each time."""
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    base = F.substring(F.md5(user), 1, 6)
+    name = F.concat(F.substring(base, F.lit(1), (k % 6).cast("int")), F.substring(F.md5(k.cast("string")), 1, 1), F.substring(base, (k % 6 + 2).cast("int"), F.lit(6)))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("board_id"),
+        k.alias("seq"),
+        F.when(k % 2 == 0, F.col("user_id") % 150 + 1).alias("rank"),
+        F.floor(F.col("value") / 2).cast("double").alias("points"),
+        name.alias("name"),
+        F.when(k % 3 == 0, "").otherwise(name).alias("plain"),
+        F.lit("").alias("roster_name"),
+    )
+
+
+@query(
+    f"""
+WITH RECURSIVE s AS (
+  SELECT event_type AS board_id, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN user_id % 150 + 1 END AS rank, floor(value / 2) AS points,
+         md5('' || user_id)[1:event_id % 6] || md5('' || event_id)[1:1] || md5('' || user_id)[event_id % 6 + 2:6] AS name FROM events
+), g AS (
+  SELECT board_id, rank, min(seq) AS first, min_by(name, seq) AS name FROM s WHERE rank IS NOT NULL GROUP BY ALL
+), v AS (
+  SELECT board_id, rank, points, row_number() OVER (PARTITION BY board_id, rank ORDER BY count(*) DESC, max(seq)) AS nth FROM s WHERE rank IS NOT NULL GROUP BY board_id, rank, points
+), h AS (SELECT g.*, points FROM g JOIN v USING (board_id, rank) WHERE nth = 1),
+a AS (
+  SELECT s.board_id, s.seq, s.points, s.name, (SELECT arg_min(h.rank, h.first) FROM h WHERE h.board_id = s.board_id AND h.points = s.points AND {LIKENESS.format(a="h.name", b="s.name")} >= 0.6) AS rank
+  FROM s WHERE s.rank IS NULL
+), o AS (SELECT *, row_number() OVER (PARTITION BY board_id, points ORDER BY seq) AS i FROM a WHERE rank IS NULL),
+w AS (
+  SELECT board_id, points, i, seq, seq AS lead, [{{'seq': seq, 'name': name}}] AS leads FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.board_id, o.points, o.i, o.seq, coalesce(list_filter(w.leads, lambda x: {LIKENESS.format(a="x.name", b="o.name")} >= 0.6)[1].seq, o.seq),
+         CASE WHEN len(list_filter(w.leads, lambda x: {LIKENESS.format(a="x.name", b="o.name")} >= 0.6)) > 0 THEN w.leads ELSE list_append(w.leads, {{'seq': o.seq, 'name': o.name}}) END
+  FROM w JOIN o ON o.board_id = w.board_id AND o.points = w.points AND o.i = w.i + 1
+), m AS (
+  SELECT board_id, 'r' || rank AS gid, points, name FROM s WHERE rank IS NOT NULL
+  UNION ALL SELECT board_id, 'r' || rank, points, name FROM a WHERE rank IS NOT NULL
+  UNION ALL SELECT board_id, 'o' || lead, points, name FROM w JOIN o USING (board_id, points, seq)
+)
+SELECT board_id, gid, count(*) AS seen, count(DISTINCT name) AS names FROM m GROUP BY ALL
+"""
+)
+def orphans_by_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings without a rank join a place only if its name resembles theirs, or one of several leaders of their score."""
+    board = consolidate(_lookalikes(spark, sf_dir))
+    return board.select("board_id", "gid", "seen", F.size("obs").cast("long").alias("names"))
+
+
+@query(
+    """
+SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY o_orderpriority, claim) = 1 THEN name END AS search, CASE WHEN count(*) OVER (PARTITION BY o_orderpriority, claim) = 1 THEN 1.0 ELSE 0.0 END AS score
+FROM (SELECT *, CASE WHEN o_custkey % 2 = 0 THEN '#' || o_custkey ELSE '=guest' || o_custkey END AS claim, 'Guest ' || o_custkey AS name FROM orders)
+"""
+)
+def guest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every two customers one isn't on the roster; two orders of a priority that are corrected to one name keep it neither."""
+    key, orders = F.col("o_custkey"), table(spark, sf_dir, "orders")
+    written = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Guest ").otherwise("GUEST  "), key.cast("string"))
+    rows = orders.select("o_orderkey", "o_orderpriority", F.when(key % 2 == 0, key).alias("roster_id"), written.alias("search"), F.lit(1.0).alias("score"))
+    kept = drop_conflicts(rows, "o_orderpriority")
+    name = F.when(F.col("search").isNotNull(), F.initcap(F.regexp_replace("search", " +", " ")))
+    return kept.select("o_orderkey", name.alias("search"), "score")
+
+
+@query(
+    """
+SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN 'Ann' || user_id WHEN event_id % 4 = 2 THEN 'Seen' || user_id ELSE '' END AS name,
+       CASE WHEN event_id % 4 = 0 THEN 'ann' || user_id WHEN event_id % 4 = 1 THEN '' WHEN event_id % 4 = 2 THEN 'Seen' || user_id ELSE 'plain' END AS plain
+FROM events WHERE event_id % 5 <> 4
+"""
+)
+def own_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that name a reading by ``name`` and ``plain``; what was seen counts before those, even if it is empty."""
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    fields = F.when(k % 4 == 0, F.concat(F.lit('"name": "Ann'), user, F.lit('", "plain": "ann'), user, F.lit('"'))).when(k % 4 == 1, F.concat(F.lit('"name": "Ann'), user, F.lit('"')))
+    fields = fields.when(k % 4 == 2, F.concat(F.lit('"name": "x", "plain": "y", "seen": "Seen'), user, F.lit('"'))).otherwise('"plain": "plain"')
+    fields = F.when(k % 5 == 4, '"name": "x", "seen": "", "roster_name": null').otherwise(fields)
+    text = F.concat(F.lit('[{"rank": 1, "points": "5", '), fields, F.lit("}]"))
+    rows = parse_replies(table(spark, sf_dir, "events").select(k.alias("board_id"), F.lit(0).alias("batch"), text.alias("text")))
+    return rows.select(F.col("board_id").alias("event_id"), "name", "plain")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS readings, count(DISTINCT c_nationkey) AS frames, count(DISTINCT c_custkey) AS rows FROM orders JOIN customer ON o_custkey = c_custkey")
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("readings"))
@@ -341,13 +428,16 @@ def sharpest_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN least(90, CAST(event_id % 200 AS DOUBLE)) WHEN 1 THEN (event_id % 5000) / 1000.0 WHEN 2 THEN 1.5 END AS wait FROM events
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN least(90, CAST(event_id % 200 AS DOUBLE)) WHEN 1 THEN ceil((event_id % 5000) / 1000.0)::DOUBLE WHEN 2 THEN 2.0
+  WHEN 3 THEN least(90, ceil((event_id % 2000) / 10.0))::DOUBLE WHEN 4 THEN 8.0 END AS wait FROM events
 """
 )
 def asked_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refusals that name seconds, milliseconds or a header, whole or not; a header counts before a sentence."""
     k = F.col("event_id")
     say = lambda a, c, b: F.concat(F.lit(a), c.cast("string"), F.lit(b))
-    text = F.when(k % 4 == 0, say("Quota used up, retry in ", k % 200, "s.")).when(k % 4 == 1, say("please try again in ", k % 5000, " ms")).when(k % 4 == 2, "Retry in 1.5 s").otherwise("come back later")
+    text = F.when(k % 6 == 0, say("Quota used up, retry in ", k % 200, "s.")).when(k % 6 == 1, say("please try again in ", k % 5000, "ms")).when(k % 6 == 2, "Retry in 1.5 s")
+    text = text.when(k % 6 == 3, say("429 retry-after ", (k % 2000) / 10, "")).when(k % 6 == 4, "503, please retry in 3s, retry-after 8").otherwise("come back later")
     return table(spark, sf_dir, "events").select("event_id", sampling.wait_seconds(text).alias("wait"))
 
 

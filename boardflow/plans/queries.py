@@ -314,9 +314,10 @@ SELECT doc_id AS index, min(doc_id) OVER (PARTITION BY k) AS row FROM k WHERE k
 """
 )
 def duplicate_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the first one that shows the same."""
+    """Every document, in capitals and with wider spaces, with the first one that shows the same."""
     docs = _table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("index"), "text")
+    loud = F.replace(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" "), F.lit("  "))
+    rows = docs.select(F.col("doc_id").alias("index"), loud.alias("text"))
     return sheet.find_duplicates(rows, docs.select(F.col("doc_id").alias("row"), "text"), ["text"])
 
 
@@ -435,19 +436,13 @@ SELECT event_id, round(sum(d) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUN
 """
 )
 def running_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    change = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts")))
-    return sampling.motion_total(_table(spark, sf_dir, "events"), "user_id", "ts", change).select("event_id", F.round("motion", 4).alias("motion"))
+    return sampling.motion_total(_table(spark, sf_dir, "events"), "user_id", "ts", "value").select("event_id", F.round("motion", 4).alias("motion"))
 
 
 def _cents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events with a running motion in whole cents, so that sums and eighths are exact."""
-    from pyspark.sql import Window
-
-    cents = F.round(F.col("value") * 100).cast("long")
-    change = F.abs(cents - F.lag(cents).over(Window.partitionBy("user_id").orderBy("ts"))).cast("double")
-    return sampling.motion_total(_table(spark, sf_dir, "events"), "user_id", "ts", change)
+    rows = _table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return sampling.motion_total(rows, "user_id", "ts", "cents")
 
 
 def equal_motion_sql(picks: int) -> str:
@@ -456,19 +451,19 @@ RECURSIVE d AS (
   SELECT user_id, ts, coalesce(abs(CAST(round(value * 100) AS BIGINT) - lag(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts)), 0) AS d FROM events
 ), m AS (
   SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, CAST(sum(d) OVER (PARTITION BY user_id ORDER BY ts) AS DOUBLE) AS motion,
-         CAST(sum(d) OVER (PARTITION BY user_id) AS DOUBLE) / {picks} AS gap FROM d
+         CASE WHEN sum(d) OVER (PARTITION BY user_id) > 1e-6 THEN CAST(sum(d) OVER (PARTITION BY user_id) AS DOUBLE) / {picks} END AS gap FROM d
 ), p AS (
   SELECT user_id, ts, i, true AS picked, 1 AS n, motion + gap AS want FROM m WHERE i = 1
   UNION ALL
-  SELECT m.user_id, m.ts, m.i, m.motion >= p.want AND p.n < {picks}, p.n + CASE WHEN m.motion >= p.want AND p.n < {picks} THEN 1 ELSE 0 END,
-         CASE WHEN m.motion >= p.want AND p.n < {picks} THEN m.motion + m.gap ELSE p.want END
+  SELECT m.user_id, m.ts, m.i, coalesce(m.motion >= p.want, false) AND p.n < {picks}, p.n + CASE WHEN coalesce(m.motion >= p.want, false) AND p.n < {picks} THEN 1 ELSE 0 END,
+         CASE WHEN coalesce(m.motion >= p.want, false) AND p.n < {picks} THEN m.motion + m.gap ELSE p.want END
   FROM p JOIN m ON m.user_id = p.user_id AND m.i = p.i + 1
 )"""
 
 
 @query(f"WITH {equal_motion_sql(8)} SELECT user_id, ts FROM p WHERE picked")
 def equal_motion_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recurrence over each user's events."""
+    """The first event of each user, and those at which another eighth of the motion has passed."""
     return sampling.equal_motion_picks(_cents(spark, sf_dir), "user_id", "ts", "motion", 8)
 
 

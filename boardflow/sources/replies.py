@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardflow.functions.text import first_integer
+from boardflow.operators.sampling import MOST_WAIT, WAITS
 
 FLAT_OBJECT = r"\{[^{}]*\}"
-READING = "rank string, roster_name string, seen string, points string"
+READING = "rank string, roster_name string, seen string, name string, plain string, points string"
 
 
 def _number(field: str):
@@ -34,7 +36,7 @@ def read_batches(batches: DataFrame, reader: Callable[[bytes, str], str], fallba
     """Batches (board_id, batch, content, prompt) to replies (board_id, batch, text, error), by a callable in the tasks.
 
     ``reader`` is tried ``attempts`` times, with the wait that a refusal names (90
-    seconds at most) or ``pause``; a refusal for the day goes to ``fallback`` at
+    seconds at most) or ``pause``; a refusal (429) for the day or a quota goes to ``fallback`` at
     once, and so does the last failure. Where all fail, text is null and ``error``
     says why, so one batch never fails the others. The reader has to give the same
     text for the same batch, as lost tasks run again.
@@ -57,23 +59,38 @@ def _tried(readers: list[Callable[[bytes, str], str]], content: bytes, prompt: s
                 return reader(content, prompt), None
             except Exception as e:
                 said = str(e) or type(e).__name__
-                if re.search(r"(?i)per ?day|daily", said):
+                if re.search(r"\b429\b", said) and re.search(r"(?i)per ?day|quota", said):
                     break
                 if left:
-                    hint = re.search(r"(?i)(?:retry|try again)\s+in\s+(\d+(?:\.\d+)?)\s*(ms|s)", said)
-                    time.sleep(min(90.0, float(hint[1]) / (1000 if hint[2].lower() == "ms" else 1)) if hint else pause)
+                    asked = _asked(said)
+                    time.sleep(pause if asked is None else asked)
     return None, said
 
 
+def _asked(said: str) -> float | None:
+    """The whole seconds that a refusal names, as ``wait_seconds`` reads them."""
+    for pattern, share in WAITS:
+        if found := re.search(pattern, said):
+            try:
+                return min(MOST_WAIT, float(math.ceil(float(found[1]) * share)))
+            except ValueError:
+                return None
+    return None
+
+
 def parse_replies(replies: DataFrame) -> DataFrame:
     """Replies (board_id, batch, text) to sightings: board_id, seq, batch, rank, roster_name, seen, name, plain, points.
 
     Every flat object of a text counts, bad ones are left out; a reading without
-    a score or without a name is left out. ``seq`` is the order of arrival.
+    a score or without a name is left out. ``seq`` is the order of arrival. Where
+    an object says what was seen or picked, that is its name, and its plain one;
+    else its own fields ``name`` and ``plain`` are.
     """
     found = replies.select("board_id", "batch", F.posexplode(F.regexp_extract_all("text", F.lit(FLAT_OBJECT), F.lit(0))).alias("pos", "object"))
     found = found.withColumn("r", F.from_json("object", READING, {"mode": "PERMISSIVE"})).where("r is not null")
-    name = F.coalesce(F.nullif(F.col("r.seen"), F.lit("")), F.nullif(F.col("r.roster_name"), F.lit("")), F.lit(""))
+    raw = F.coalesce(F.nullif(F.col("r.seen"), F.lit("")), F.nullif(F.col("r.roster_name"), F.lit("")), F.lit(""))
+    read = F.col("object").rlike(r'"(seen|roster_name)"\s*:')
+    found = found.withColumns({f"_{c}": F.when(read, raw).otherwise(F.coalesce(F.col(f"r.{c}"), F.lit(""))) for c in ("name", "plain")})
     rows = found.select(
         "board_id",
         (F.shiftleft(F.col("batch").cast("long"), 32) + F.col("pos")).alias("seq"),
@@ -81,11 +98,11 @@ def parse_replies(replies: DataFrame) -> DataFrame:
         _number("rank").cast("long").alias("rank"),
         F.coalesce("r.roster_name", F.lit("")).alias("roster_name"),
         F.coalesce("r.seen", F.lit("")).alias("seen"),
-        name.alias("name"),
-        name.alias("plain"),
+        F.col("_name").alias("name"),
+        F.col("_plain").alias("plain"),
         _number("points").alias("points"),
     )
-    return rows.where("points is not null and name != ''")
+    return rows.where("points is not null and (name != '' or plain != '')")
 
 
 def roster_of(rows: DataFrame, search: str, ingame: str, alliance: str, position: str) -> DataFrame:

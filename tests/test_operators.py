@@ -12,7 +12,6 @@ from boardflow.functions.text import MORE_LETTERS, NO_LETTERS, exoticness, fold,
 from boardflow.operators import analysis, sampling, sheet
 from boardflow.operators.clean import drop_foreign_rows, upper_median
 from boardflow.operators.consolidate import consolidate, peak_mode
-from boardflow.operators.greedy import equal_steps
 from boardflow.operators.ranks import fill_ranks, missing_ranks
 from boardflow.operators.resolve import drop_conflicts, most_similar, resolve
 from boardflow.plans.names import resolution_ladder
@@ -195,7 +194,6 @@ def test_ask(spark):
 
 
 def test_sampling(spark):
-    assert equal_steps([0, 1, 2, 3, 4, 5, 6, 7], 4) == [0, 2, 4, 6] and equal_steps([], 3) == []
     df = spark.createDataFrame([(1, t / 4, m) for t, m in enumerate([0.0, 1.0, 1.0, 4.0, 8.0])], "g int, t double, m double")
     assert sorted(r.t for r in sampling.equal_motion_picks(df, "g", "t", "m", 2).collect()) == [0.0, 0.75]
     assert [r.t for r in sampling.even_time_picks(df, "g", "t", 2).orderBy("k").collect()] == [0.25, 0.75]
@@ -203,8 +201,8 @@ def test_sampling(spark):
     assert tuple(budget) == (55, 165) and sampling.batch_size(165) == 28
     assert sorted(r.t for r in sampling.picks_of(df, "g", "t", "m", 3).collect()) == [0.0, 0.5, 0.75, 1.0]
     assert sampling.batch_size(10) == 8 and sampling.batch_size(100) == 17 and sampling.batch_size(1000) == 40
-    waits = spark.createDataFrame([("please retry in 12.5s",), ("try again in 300 ms",), ("retry in 900s",), ("no",)], "m string")
-    assert [r.w for r in waits.select(sampling.wait_seconds(F.col("m")).alias("w")).collect()] == [12.5, 0.3, 90.0, None]
+    waits = spark.createDataFrame([("please retry in 12.5s",), ("try again in 300ms",), ("retry in 900s",), ("no",), ("HTTP 429 retry-after 3.2, retry in 8s",), (None,)], "m string")
+    assert [r.w for r in waits.select(sampling.wait_seconds(F.col("m")).alias("w")).collect()] == [13.0, 1.0, 90.0, None, 4.0, None]
     cells = spark.createDataFrame([(1, c, 10.0 if c % 8 in (2, 3, 4) and c // 8 < 4 else 0.0) for c in range(64)], "g int, cell int, change double")
     box = sampling.moving_region(cells, "g", 8, 8).first()
     assert (round(box.x0, 3), box.y0, round(box.x1, 3), round(box.y1, 3)) == (0.244, 0.0, 0.631, 0.506)
@@ -290,9 +288,9 @@ def test_audit_and_rolling_totals(spark, tmp_path):
 def test_readers_are_tried_again_and_replaced(spark):
     def reader(content, prompt):
         if content == b"day":
-            raise RuntimeError("quota per day used up")
+            raise RuntimeError("429: quota per day used up")
         if content == b"bad":
-            raise RuntimeError("try again in 1 ms")
+            raise RuntimeError("try again in 0ms")
         return prompt + content.decode()
 
     def other(content, prompt):
