@@ -105,16 +105,17 @@ def near_duplicates(
 
     Only vectors of equal, not null labels and equal length link. A null or
     zero vector, one with a null or non-finite component, and one with a null
-    label or vec_id link with nothing: 0 links, and their own component. Rows
-    with the same vec_id are separate vectors. Equal vectors always link; an
-    empty table gives no rows.
+    label link with nothing: 0 links, and their own component. Rows with the
+    same vec_id are separate vectors, and so are rows without one, which link
+    like others; a component of such rows alone has a null id, and all of it is
+    kept. Equal vectors always link; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2_000)
     scratch = Scratch(spark, "embed")
     rows = pick(vectors, vec_id=id_col, v=vector_col, label=label_col)
     odd = "exists(v, x -> x is null or isnan(x) or abs(x) = double('inf'))"
-    good = F.expr(f"vec_id is not null and label is not null and v is not null and size(v) > 0 and not {odd} and exists(v, x -> x != 0)")
+    good = F.expr(f"label is not null and v is not null and size(v) > 0 and not {odd} and exists(v, x -> x != 0)")
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("v", F.expr("transform(v, x -> cast(x as double))"))
     usable = rows.where("good").withColumn("v", F.expr("transform(v, x -> x + 0D)"))  # -0 is 0
     same = ["label", "h1", "h2"]

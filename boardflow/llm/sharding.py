@@ -21,9 +21,9 @@ from boardflow.llm.common import Scratch, pick, power_of_two, table
 KEY_BITS = 60
 
 
-def shuffle_key(ident: Column, seed: int) -> Column:
-    """60 random-looking bits of an id and a seed."""
-    text = F.concat(F.coalesce(ident.cast("string"), F.lit("null")), F.lit(f":{seed}"))
+def shuffle_key(ident: Column, seed: int, *more: Column) -> Column:
+    """60 random-looking bits of an id, a seed and what else tells rows apart, so that rows of one id don't meet in one cell."""
+    text = F.concat_ws(":", F.coalesce(ident.cast("string"), F.lit("null")), F.lit(f"{seed}"), *[c.cast("string") for c in more])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -56,7 +56,7 @@ def assign_shards(
         F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source"))).alias("stratum"),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        shuffle_key(F.col("doc_id"), seed).alias("key"),
+        shuffle_key(F.col("doc_id"), seed, F.crc32(body.cast("binary")), F.octet_length(body)).alias("key"),
     )
     rows = rows.withColumn("cell", F.shiftright("key", KEY_BITS - bits))
     in_source = Window.partitionBy("stratum").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -74,12 +74,19 @@ def chunked(pages: DataFrame, chunk_bytes: int, min_bytes: int, id_col: str, url
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col)
     rows = rows.withColumn("payload", F.coalesce("html", F.lit("")).cast("binary")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("page_id", "url", "row", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload", F.coalesce("page_id", F.lit(0)).alias("id0"), F.col("page_id").isNull().alias("no_id"))
-    heads = rows.select("page_id", "id0", "no_id", "sha1", "payload_bytes")
+    heads = rows.select("page_id", "id0", "no_id", "sha1", "row")
     least = heads.groupBy("sha1").agg(F.min("page_id").alias("response_id"))
-    role = heads.join(least, "sha1").groupBy("id0", "no_id", "sha1").agg(F.first("response_id").alias("response_id"), (F.first("page_id").eqNullSafe(F.first("response_id")) | (F.first("payload_bytes") < min_bytes)).alias("is_response"))
-    pieces = f"transform(sequence(0, greatest(0, (payload_bytes - 1) div {chunk_bytes})), i -> substring(payload, cast(i * {chunk_bytes} + 1 as int), {chunk_bytes}))"
-    chunks = rows.select("page_id", "id0", "no_id", "sha1", "url", "row", "payload_bytes", F.posexplode(F.expr(pieces)).alias("chunk_no", "data"))
-    return chunks.join(role, ["id0", "no_id", "sha1"]).sortWithinPartitions("id0", "no_id", "sha1", "row", "chunk_no")
+    role = heads.join(least, "sha1").groupBy("id0", "no_id", "sha1").agg(
+        F.first("response_id").alias("response_id"),
+        F.first("page_id").eqNullSafe(F.first("response_id")).alias("is_response"),
+        F.min("row").alias("first_row"),
+    )
+    # Chunks are cut one by one: a task never has an array of all chunks of a payload.
+    chunks = rows.withColumn("chunk_no", F.explode(F.expr(f"sequence(0, cast(greatest(0, (payload_bytes - 1) div {chunk_bytes}) as int))")))
+    data = F.expr(f"substring(payload, cast(chunk_no * {chunk_bytes}L + 1 as int), {chunk_bytes})")
+    chunks = chunks.select("page_id", "id0", "no_id", "sha1", "url", "row", "payload_bytes", "chunk_no", data.alias("data"))
+    # A row's chunks come from one task and have one key, so however the join is done they stay together; rows may go anywhere.
+    return chunks.join(role, ["id0", "no_id", "sha1"]).sortWithinPartitions("row", "chunk_no")
 
 
 def write_archives(
@@ -111,7 +118,7 @@ def write_archives(
         files, out, packer = None, None, None
         at, start, records, done = 0, 0, 0, []
         path = f"{base}/part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
-        key, row_id, nth, kind = None, None, 0, ""
+        kind = ""
 
         def put(data: bytes) -> None:
             nonlocal at
@@ -135,9 +142,9 @@ def write_archives(
                 if row.chunk_no == 0:
                     if packer is not None:
                         close_record()
-                    same = key == (row.id0, row.no_id, row.sha1)
-                    key, nth = (row.id0, row.no_id, row.sha1), nth + 1 if same else 0
-                    kind = "response" if row.is_response and (nth == 0 or row.payload_bytes < min_bytes) else "revisit"
+                    first = row.row == row.first_row
+                    kind = "response" if row.is_response and first or row.payload_bytes < min_bytes else "revisit"
+                    nth = 0 if first else row.row + 1
                     packer = zlib.compressobj(4, wbits=31)
                     put(packer.compress(record_head(row, kind, nth, date)))
                 if kind == "response":

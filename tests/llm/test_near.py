@@ -59,7 +59,7 @@ def test_components(spark):
 def brute_vectors(rows, threshold):
     good = []
     for i, (vec_id, v, label) in enumerate(rows):
-        if vec_id is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+        if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
             good.append(i)
     pairs = []
     for k, a in enumerate(good):
@@ -75,7 +75,8 @@ def brute_vectors(rows, threshold):
     root = data.components(len(rows), pairs)
     least: dict = {}
     for i in good:
-        least[root[i]] = min(least.get(root[i], rows[i][0]), rows[i][0])
+        known = [x for x in (least.get(root[i]), rows[i][0]) if x is not None]  # a null id is never the smallest
+        least[root[i]] = min(known, default=None)
     out = []
     for i, (vec_id, _, _) in enumerate(rows):
         comp = least[root[i]] if i in set(good) else vec_id
@@ -95,7 +96,7 @@ def test_vectors_edge_cases(spark):
     rows = [
         (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.01], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None),
         (6, None, 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [None, 1.0], 1), (11, [], 1), (None, [1.0, 0.0], 1), (12, [1.0, 0.0, 0.0], 1),
-        (13, [-1.0, 0.0], 1), (14, [1e-30, 0.0], 1), (15, [0.0, 1e20], 1), (16, [-0.0, 1.0], 1),
+        (13, [-1.0, 0.0], 1), (None, [0.0, 3.0], 7), (None, [0.0, 4.0], 7), (None, None, 7), (14, [1e-30, 0.0], 1), (15, [0.0, 1e20], 1), (16, [-0.0, 1.0], 1),
     ]
     table = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<float>, label int, VEC_ID string, v int")
     data.same(near_duplicates(table).collect(), brute_vectors([(a, None if b is None else [None if x is None else float(np.float32(x)) for x in b], c) for a, b, c in rows], 0.98))

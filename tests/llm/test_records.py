@@ -60,6 +60,27 @@ def test_archive_edge_cases(spark, min_bytes):
     assert b"".join(payload[6]) == big.encode()
 
 
+def test_a_payload_has_one_response_however_rows_are_spread(spark, tmp_path):
+    """Repeated responses in six files, payloads beyond the broadcast limit, and a join that Spark turns into a local one."""
+    big = ["".join(chr(97 + (i * k) % 26) for i in range(300_000)) for k in (1, 3, 5)]
+    rows = [(p, big[p % 3]) for p in (1, 1, 2, 3, 4, 5, 6, 7)] + [(1, big[1]), (None, big[0]), (None, "alone"), (None, "alone"), (8, None), (8, None)]
+    for part in range(6):
+        df = spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    wanted = warc_rows(rows * 6)
+    for at_most in ("1m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at_most)
+        try:
+            manifest = write_archives(spark.read.parquet(str(tmp_path / "pages")), Scratch(spark, "warc"), chunk_bytes=100_000)
+            last = read_chunks(manifest, data=False).where("last").collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        data.same([(r.page_id, r.declared_bytes, r.declared_digest, r.record_type, r.refers_to) for r in last], wanted)
+        responses = [(r.page_id, r.declared_digest) for r in last if r.record_type == "response"]
+        assert len({d for _, d in responses if _ is not None}) == len([d for _, d in responses if _ is not None])
+
+
 def test_archives_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert read_chunks(write_archives(none, Scratch(spark, "warc"))).collect() == []

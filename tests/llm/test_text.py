@@ -14,11 +14,13 @@ import pytest
 import tiktoken
 import tokenizers
 
+from pyspark.sql import functions as F
+
 from boardflow.llm import byte_bpe, packing, suffix_dedup
 from boardflow.llm.line_dedup import dedup_lines
 from boardflow.llm.packing import pack_documents
 from boardflow.llm.queries import ORACLE_SQL, QUERIES
-from boardflow.llm.sharding import assign_shards
+from boardflow.llm.sharding import assign_shards, shuffle_key
 from boardflow.llm.suffix_dedup import cut_repeats
 from tests.llm import data
 
@@ -198,6 +200,37 @@ def test_shards_carry_the_mixture(spark):
     data.same([(r.doc_id, r.shard, r.slot) for r in one], [(r.doc_id, r.shard, r.slot) for r in found])
 
 
+def shard_rows(rows, shards, seed=42):
+    """rows: (doc_id, text, source)."""
+    strata = defaultdict(list)
+    for doc_id, text, source in rows:
+        raw = (text or "").encode()
+        crc = zlib.crc32(raw)
+        key = int(hashlib.md5(f"{'null' if doc_id is None else doc_id}:{seed}:{crc}:{len(raw)}".encode()).hexdigest()[:15], 16)
+        strata["0" if source is None else "1" + source].append((key, doc_id is not None, doc_id or 0, crc, len(raw) + 1))
+    order = sorted(((2 * r - 1) / (2 * len(of)), row[0], stratum, *row[1:]) for stratum, of in strata.items() for r, row in enumerate(sorted(of), 1))
+    out = []
+    for place, (_, _, _, has, doc_id, crc, size) in enumerate(order):
+        shard = ((place + 1) * shards - 1) // len(order)
+        out.append((doc_id if has else None, size, crc, shard, place - shard * len(order) // shards))
+    return out
+
+
+@pytest.mark.parametrize("cell_rows", [3, 40, 10**6])
+def test_shards_are_those_of_one_sort(spark, cell_rows):
+    rows = [(r.doc_id, r.text, r.source) for r in data.documents(spark).collect()]
+    rows += [(None, f"text {i % 50}", "hot") for i in range(150)] + [(7, None, None), (7, "", "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = assign_shards(docs, cell_rows=cell_rows)
+    data.same(found.select("doc_id", "size", "text_crc32", "shard", "slot").collect(), shard_rows(rows, 16))
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("s").alias("source"))
+    keys = docs.select(F.shiftright(shuffle_key(F.col("doc_id"), 42, F.crc32(F.col("text").cast("binary"))), 55).alias("cell"))
+    assert keys.groupBy("cell").count().agg(F.max("count")).first()[0] < 400
+
+
 def test_shards_edge_cases(spark):
     found = assign_shards(data.edge_docs(spark), cell_rows=3).collect()
     check_shards(found, 16)
