@@ -38,7 +38,7 @@ from boardflow.llm.filters import build_filter
 WINDOW = 200
 GRAM = 64
 SEGMENT = 1 << 22  # starts of a very long text that are handled at once
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19  # a task's arrays take about 120 times as much
 SPLIT = 2048  # contents of one hash in a shard
 MOST_TASKS = 20_000  # tasks that shards are dealt over; beyond that many a task has several, one after the other
 MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 * i & (2**64 - 1) | 1) for i in range(2)]
@@ -240,7 +240,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     def regions(batches):
         import pyarrow as pa
 
-        seen: set[tuple[int, int]] = set()  # a content's bytes are passed on once a task
+        seen: set[int] = set()  # a content's bytes are passed on once a task
         for batch in batches:
             at, hs, begins, sizes, one, two, data = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -249,12 +249,12 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
                     on = np.flatnonzero(filter_.value.has(h))
                     for hh, q, k in zip(h[on].view(np.int64).tolist(), begin[on].tolist(), n[on].tolist(), strict=True):
                         content = b[q : q + k - 1 + window].tobytes()
-                        pair = _pair(xxhash.xxh3_128_intdigest(content, seed=hh & 0xFFFFFFFF))
-                        new = pair not in seen
+                        digest = xxhash.xxh3_128_intdigest(content, seed=hh & 0xFFFFFFFF)
+                        pair, new = _pair(digest), digest not in seen
                         if new:
                             if len(seen) > 200_000:
                                 seen.clear()
-                            seen.add(pair)
+                            seen.add(digest)
                         at.append(i)
                         hs.append(hh)
                         begins.append(q)
