@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +12,13 @@ from boardflow.functions.similarity import claim_plausible, symbol_cap, symbols_
 from boardflow.functions.text import alias_key, symbols
 from boardflow.operators import analysis, sampling, sheet
 from boardflow.operators.consolidate import consolidate
+from boardflow.operators.hold import remove, shared_folder
 from boardflow.operators.ranks import run_summary, tally
 from boardflow.operators.resolve import drop_conflicts, name_keys, near_symbols, resolve
 from boardflow.plans.queries import K_SQL, ORACLE_SQL, SECONDS_SQL, _cents, _seconds, _sightings, equal_motion_sql
 from boardflow.plans.registry import query, table
 from boardflow.sources.replies import parse_replies, reply_status, sheet_head
+from boardflow.sources.sheet_store import SheetStore
 
 HEX, SIGNS = "0123456789abcdef", "★☆☀☁☂☃☄☎☏♠♣♥♦♪♫♬"
 WIDE = "０１２３４５６７８９ａｂｃｄｅｆ"
@@ -441,6 +446,37 @@ def asked_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", sampling.wait_seconds(text).alias("wait"))
 
 
+# Sheets on storage
+
+
+@query(
+    """
+WITH c AS (SELECT c_name AS name, c_mktsegment AS grp, row_number() OVER (ORDER BY c_custkey) AS p FROM customer),
+n AS (SELECT count(*) AS n FROM supplier)
+SELECT CASE WHEN p >= 10 THEN p + n ELSE p END AS row, 'customers' AS write_id, name, grp FROM c, n
+UNION ALL SELECT 9 + row_number() OVER (ORDER BY s_suppkey), 'suppliers', s_name, '' FROM supplier
+"""
+)
+def sheet_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written, suppliers inserted before row 10, nations written and undone; read from what the log says."""
+    store = SheetStore(spark, f"{shared_folder(spark)}/sheet-{uuid.uuid4().hex}", ["name", "grp"])
+    atexit.register(remove, spark, store.path)
+    read = lambda t, name: table(spark, sf_dir, t).withColumn("name", F.col(name))
+    store.write(read("customer", "c_name").withColumn("grp", F.col("c_mktsegment")), ["c_custkey"], write_id="customers")
+    store.write(read("nation", "n_name"), ["n_nationkey"], write_id="nations")
+    store.write(read("supplier", "s_name"), ["s_suppkey"], before=10, write_id="suppliers")
+    store.undo("nations")
+    return store.read()
+
+
+@query("SELECT c_custkey AS index, c_name AS name FROM customer WHERE c_custkey % 3 <> 0")
+def rows_not_there_yet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without those that a sheet has, in capitals, under every third key."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("index"), F.col("c_name").alias("name"))
+    there = rows.where("index % 3 = 0").select(F.col("index").alias("row"), F.upper("name").alias("name"))
+    return sheet.keep_rows(rows, sheet.find_duplicates(rows, there, ["name"]))
+
+
 # Answers
 
 
