@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from boardflow.functions.similarity import similarity
 
-RARE_FIRST, IN_ORDER = "qxzjvkwyfbghpmucdltrnsioea0123456789", "0123456789abcdefghijklmnopqrstuvwxyz"
+RARE_FIRST, IN_ORDER = "987654321qxzjvkwyfbghpmucdltrnsioea0", "0123456789abcdefghijklmnopqrstuvwxyz"  # numbers tell names apart, zeros don't
 SLACK = 1e-9  # products of a share and a length are whole numbers at times
 
 
@@ -47,10 +47,12 @@ def alike_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str,
     edits = lambda n: f"cast(floor((1 - {least}) * ({n}) + {SLACK}) as int)"
     a = left.withColumn("_x", ranked(F.col("key"))).withColumn("_n", F.char_length("key"))
     lengths = f"sequence(cast(ceil({least} * _n - {SLACK}) as int), cast(floor(_n / {least} + {SLACK}) as int))"
-    a = a.withColumn("_m", F.explode(F.expr(lengths))).withColumn("_part", F.explode(F.expr(_pairs("_x", f"2 * {edits('greatest(_n, _m)')} + 1"))))
+    a = a.withColumn("_m", F.explode(F.expr(lengths))).withColumn("_px", F.expr(_pairs("_x", f"2 * {edits('greatest(_n, _m)')} + 1")))
     b = right.withColumn("_y", ranked(F.col("form_key"))).withColumn("_m", F.char_length("form_key"))
-    b = b.withColumn("_part", F.explode(F.expr(_pairs("_y", f"2 * {edits(f'_m / {least}')} + 1")))).drop("_y")
-    met = a.drop("_x", "_n").join(b, [*on, "_m", "_part"]).drop("_m", "_part").distinct()
+    b = b.withColumn("_py", F.expr(_pairs("_y", f"2 * {edits(f'_m / {least}')} + 1"))).drop("_y")
+    met = a.drop("_x", "_n").withColumn("_part", F.explode("_px")).join(b.withColumn("_part", F.explode("_py")), [*on, "_m", "_part"])
+    # A pair that shares several parts counts where it shares the rarest.
+    met = met.where(F.col("_part") == F.array_min(F.array_intersect("_px", "_py"))).drop("_m", "_part", "_px", "_py")
     return met.withColumn("s", similarity(F.col("key"), F.col("form_key"))).where(F.col("s") >= least)
 
 

@@ -2,7 +2,7 @@
 
 A row joins the first earlier leader that it resembles, or else leads: the
 leaders are the first independent set, in order of arrival, of the graph of
-similar rows. Rows are taken in blocks, each eight times as long as all before
+similar rows. Rows are taken in blocks, each many times as long as all before
 it. A block's graph is worked out by itself, and its leaders take their
 followers out of all that comes later, so that a large crowd of similar rows is
 gone before its pairs could meet.
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from boardflow.operators.alike import alike_pairs
 from boardflow.operators.hold import hold, release
 
-GROWTH, CUTS = 8, 14  # first blocks of groups of up to 8 ** 14 blocks
+GROWTH, CUTS = 8, 14  # a block and all before it are 8 times as long as those before
 
 
 def blocks(items: DataFrame, on: list[str], seq: str, first: int) -> DataFrame:
-    """``items`` with ``level``: of each group the first rows by ``seq``, about ``first`` of them, are level 0, the next seven eighths of a block eight times as large level 1, and so on.
+    """``items`` with ``level``: of each group the first rows by ``seq``, ``first`` of them at most, are level 0, the others of the first ``GROWTH`` times as many level 1, and so on.
 
     Cuts are approximate percentiles; where exactly they lie doesn't matter.
     """

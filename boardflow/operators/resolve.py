@@ -80,7 +80,7 @@ def near_symbols(readings: DataFrame, forms: DataFrame, keys: list[str]) -> Data
 
 
 #: Names leave as soon as the best of what is this much alike is known; so few are left for the weaker filters.
-ROUNDS, LOOSE_ROUNDS = (0.8, 0.65, 0.5), (0.35, 0.0)
+ROUNDS, LOOSE_ROUNDS = (0.9, 0.75, 0.5), (0.35, 0.0)
 
 
 def most_similar(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
