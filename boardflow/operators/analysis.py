@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from boardflow.functions.text import shown_key
@@ -93,10 +94,15 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def ask(df: DataFrame, intent: str, **given) -> dict:
     """A typed question over the whole table: components by kind, and how many rows were read.
 
+    ``rowsRead`` is to be called once a component has been worked out, as the very
+    job that does so counts the rows it reads; before that it waits.
+
     Intents: average (group, value), total (group, value), over_time (group,
     time, value), change (label, period, before, after, value), top (columns,
     value), distribution (value, bins), missing (expected, on), count.
     """
+    seen = Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     value = F.col(given["value"]) if "value" in given else None
     group = F.col(given["group"]) if "group" in given else None
     answers = {
@@ -112,7 +118,7 @@ def ask(df: DataFrame, intent: str, **given) -> dict:
     if intent not in answers:
         raise ValueError(f"unknown question {intent!r}: one of {', '.join(sorted(answers))}")
     kind, rows = answers[intent]()
-    return {"type": "analysis", "components": [(kind, rows)], "rowsRead": df.count(), "rowsNotRead": 0}
+    return {"type": "analysis", "components": [(kind, rows)], "rowsRead": lambda: seen.get["rows"], "rowsNotRead": 0}
 
 
 # Written answers: untrusted JSON becomes one of the kinds above, or nothing.
@@ -244,6 +250,32 @@ def extract_json(said: str) -> object:
     return None
 
 
+ANSWER = "title string, summary string, confidence string, components array<struct<type: string, body: string>>, sources array<struct<label: string, dataset: string, rows: double>>"
+
+
+def read_answers(replies: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """Raw answers to ``key``, title, summary, confidence, components (type, body as JSON) and sources, a row for each.
+
+    A null text counts as an empty one. Nothing of a row reaches another, so rows
+    are read where they are.
+    """
+    kind = replies.schema[key].dataType.simpleString()
+
+    def read(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for page in pages:
+            found = [clean_analysis(extract_json(said or ""), said or "") for said in page["text"]]
+            yield pd.DataFrame(
+                {
+                    "id": page["id"],
+                    **{k: [f[k] for f in found] for k in ("title", "summary", "confidence")},
+                    "components": [[{"type": c["type"], "body": json.dumps(c, ensure_ascii=False)} for c in f["components"]] for f in found],
+                    "sources": [[{**s, "rows": None if s["rows"] is None else float(s["rows"])} for s in f["sources"]] for f in found],
+                }
+            )
+
+    return replies.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(read, f"id {kind}, {ANSWER}").withColumnRenamed("id", key)
+
+
 def union_components(parts: dict[str, DataFrame]) -> DataFrame:
     """Several components as rows: component, row (JSON)."""
     return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("component"), F.to_json(F.struct(*df.columns)).alias("row")) for name, df in parts.items()])

@@ -17,6 +17,7 @@ from boardflow.operators.leaders import first_leaders
 
 LATER = 1 << 60  # attached sightings count after a group's own
 BLANK_RANK = 9999
+TALLIED = ["board_id", "rank", "points", "name", "plain", "roster_name"]
 
 
 def label_of() -> Column:
@@ -40,9 +41,19 @@ def ordered_distinct(df: DataFrame, keys: list[str], value: str, seq: str, out:
     return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", value))), lambda x: x[value]).alias(out))
 
 
+def tally(sightings: DataFrame) -> DataFrame:
+    """Equal sightings of a board as one row: their number ``n`` and the ``first`` and ``last`` of their ``seq``.
+
+    It is all that consolidation needs to know of them. As it is one aggregate,
+    it also works on a stream.
+    """
+    rows = sightings.withColumn("rank", F.when(F.col("rank") > 0, F.col("rank")))
+    return rows.groupBy(*TALLIED).agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
 def _summary(members: DataFrame) -> DataFrame:
-    """members: board_id, gid, pos, points, name, plain, roster_name, seq, rank."""
-    alike = members.withColumn("plain", label_of()).groupBy("board_id", "gid", "points", "name", "plain", "roster_name").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.min("pos").alias("first"))
+    """members: board_id, gid, points, name, plain, roster_name, rank, n, first, last."""
+    alike = members.withColumn("plain", label_of()).groupBy("board_id", "gid", "points", "name", "plain", "roster_name").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.min("first").alias("first"))
     fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in ("points", "name", "plain", "roster_name")])
     values = alike.select("board_id", "gid", "n", "last", "first", F.inline(fields)).where("field != 'roster_name' or value != ''")
     counts = values.groupBy("board_id", "gid", "field", "value").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.min("first").alias("first"))
@@ -62,7 +73,7 @@ def _summary(members: DataFrame) -> DataFrame:
         F.coalesce(mode("roster_name"), F.lit("")).alias("pick_"),
         F.sum(F.when(F.col("field") == "points", F.col("n"))).alias("seen"),
     )
-    heads = members.groupBy("board_id", "gid").agg(F.max("rank").alias("rank"), F.min("pos").alias("group_pos"))
+    heads = members.groupBy("board_id", "gid").agg(F.max("rank").alias("rank"), F.min("first").alias("group_pos"))
     return modes.join(heads, ["board_id", "gid"]).withColumn("seenRank", F.col("rank"))
 
 
@@ -75,25 +86,31 @@ def consolidate(sightings: DataFrame) -> DataFrame:
     Sightings that show the same name for the same score go the same way, so
     only distinct names are compared.
     """
-    rows = hold(sightings.select("board_id", "seq", F.when(F.col("rank") > 0, F.col("rank")).alias("rank"), "points", "name", "plain", "roster_name"))
-    ranked = rows.where("rank is not null").withColumn("gid", F.concat(F.lit("r"), F.col("rank"))).withColumn("pos", F.col("seq"))
+    return consolidate_tallies(tally(sightings))
+
+
+def consolidate_tallies(tallies: DataFrame) -> DataFrame:
+    """``consolidate`` of sightings that ``tally`` has put together already."""
+    rows = hold(tallies.select(*TALLIED, "n", "first", "last"))
+    ranked = rows.where("rank is not null").withColumn("gid", F.concat(F.lit("r"), F.col("rank")))
     keyed = lambda df: df.withColumn("label", label_of()).withColumn("key", fold(F.col("label"))).withColumn("shown", symbols(F.col("label"))).drop("label")
     orphans = keyed(rows.where("rank is null"))
 
-    modes = peak_mode(ranked, ["board_id", "gid"], "points", "seq", "g_points")
-    firsts = ranked.groupBy("board_id", "gid").agg(F.min_by(F.struct("plain", "name"), "seq").alias("f"), F.min("seq").alias("g_pos")).select("board_id", "gid", "g_pos", "f.plain", "f.name")
+    scores = ranked.groupBy("board_id", "gid", "points").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    modes = scores.groupBy("board_id", "gid").agg(F.max_by("points", F.struct("n", -F.col("last"))).alias("g_points"))
+    firsts = ranked.groupBy("board_id", "gid").agg(F.min_by(F.struct("plain", "name"), "first").alias("f"), F.min("first").alias("g_pos")).select("board_id", "gid", "g_pos", "f.plain", "f.name")
     firsts = keyed(firsts).select("board_id", "gid", "g_pos", F.col("key").alias("g_key"), F.col("shown").alias("g_shown"))
     groups = modes.join(firsts, ["board_id", "gid"])
     alike = F.when((F.col("key") == "") & (F.col("g_key") == ""), F.col("shown") == F.col("g_shown")).otherwise(similarity(F.col("key"), F.col("g_key")) >= ORPHAN)
     same = ["board_id", "points", "key", "shown"]
-    distinct = hold(orphans.groupBy(*same).agg(F.min("seq").alias("seq")))
+    distinct = hold(orphans.groupBy(*same).agg(F.min("first").alias("seq")))
     near = distinct.join(groups.withColumnRenamed("g_points", "points"), ["board_id", "points"]).where(alike)
     attached = near.groupBy(*same).agg(F.min_by("gid", "g_pos").alias("gid"))
     rest = distinct.join(attached, same, "left_anti")
     rest = hold(rest.select(*same, "seq"))
     led = first_leaders(rest, ["board_id", "points"], "key", "seq", ORPHAN)
     led = rest.join(led, ["board_id", "points", "seq"]).select(*same, F.concat(F.lit("o"), "leader").alias("gid"))
-    placed = orphans.join(attached.unionByName(led), same).withColumn("pos", F.col("seq") + LATER)
+    placed = orphans.join(attached.unionByName(led), same).withColumns({c: F.col(c) + LATER for c in ("first", "last")})
     members = hold(ranked.unionByName(placed.select(ranked.columns)))
     out = _summary(members)
     return out.withColumn("group_pos", F.col("group_pos") % LATER + F.when(F.col("rank").isNull(), LATER).otherwise(0))

@@ -43,6 +43,23 @@ def unmapped(mapping: list[tuple[str, str | None]]) -> list[str]:
     return [f for f in FIELDS if f not in have and f not in OPTIONAL]
 
 
+def guess_fields_of(sheets: DataFrame, headings: str = "headings") -> DataFrame:
+    """``guess_fields`` and ``unmapped`` for a table of sheets: ``fields`` (a field or null for each of the ``headings``) and ``missing``.
+
+    The fields claim headings one after the other, in SQL functions over a row's
+    own array. Null headings are blank ones, null arrays empty.
+    """
+    kept = sheets.columns
+    cleaned = F.transform(F.coalesce(headings, F.array().cast("array<string>")), lambda h: F.trim(F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), r"\s+", " ")))
+    rows = sheets.withColumns({"_cleaned": cleaned, "_got": F.transform(cleaned, lambda h: F.lit(None).cast("string"))})
+    for field, patterns in FIELDS.items():
+        fits = lambda h, i: (h != "") & F.get("_got", i).isNull() & h.rlike("|".join(f"(?:{p})" for p in patterns))  # noqa: E731, B023
+        at = F.array_position(F.transform("_cleaned", fits), True)  # from 1, 0 without
+        rows = rows.withColumn("_at", at).withColumn("_got", F.transform("_got", lambda g, i: F.when(i + 1 == F.col("_at"), F.lit(field)).otherwise(g)))  # noqa: B023
+    wanted = F.array(*[F.lit(f) for f in FIELDS if f not in OPTIONAL])
+    return rows.select(*kept, F.col("_got").alias("fields"), F.array_except(wanted, F.array_compact("_got")).alias("missing"))
+
+
 def sheet_columns(mapping: list[tuple[str, str | None]], extra: dict[str, str] | None = None) -> list[Column]:
     """A column for each heading: a field's value as text, run metadata for date and label, else ''. Zero is a value, null is ''."""
     extra = extra or {}

@@ -12,13 +12,14 @@ from boardflow.functions.similarity import claim_plausible, symbol_cap, symbols_
 from boardflow.functions.text import alias_key, symbols
 from boardflow.operators import analysis, sampling, sheet
 from boardflow.operators.consolidate import consolidate
-from boardflow.operators.hold import remove, shared_folder
-from boardflow.operators.ranks import run_summary, tally
+from boardflow.operators.hold import hold, remove, shared_folder
+from boardflow.operators.ranks import fill_ranks, run_summary, tally
 from boardflow.operators.resolve import drop_conflicts, name_keys, near_symbols, resolve
 from boardflow.plans.queries import K_SQL, ORACLE_SQL, SECONDS_SQL, _cents, _seconds, _sightings, equal_motion_sql
 from boardflow.plans.registry import query, table
 from boardflow.sources.replies import parse_replies, reply_status, sheet_head
 from boardflow.sources.sheet_store import SheetStore
+from boardflow.streaming.boards import keep_boards
 
 HEX, SIGNS = "0123456789abcdef", "★☆☀☁☂☃☄☎☏♠♣♥♦♪♫♬"
 WIDE = "０１２３４５６７８９ａｂｃｄｅｆ"
@@ -325,7 +326,7 @@ def keyed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_rows_of_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows that a sheet shows (a top-k), beside how many it has."""
     _, rows, total = sheet_head(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
-    return rows.withColumn("total", F.lit(total))
+    return hold(rows).withColumn("total", F.lit(total()))
 
 
 @query(
@@ -469,6 +470,23 @@ def sheet_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+@query(
+    """
+SELECT 0 AS number, 'write' AS kind, 'orders' AS write_id, (SELECT count(*) FROM orders) AS rows, 'all orders' AS label
+UNION ALL SELECT 1, 'write', 'parts', (SELECT count(*) FROM part), '' UNION ALL SELECT 2, 'undo', 'orders', (SELECT count(*) FROM orders), ''
+"""
+)
+def sheet_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sheet's audit says of two writes and an undo."""
+    store = SheetStore(spark, f"{shared_folder(spark)}/sheet-{uuid.uuid4().hex}", ["name"])
+    atexit.register(remove, spark, store.path)
+    store.write(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("name")), ["o_orderkey"], write_id="orders", label="all orders")
+    store.write(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")), ["p_partkey"], write_id="parts")
+    gone = store.undo("orders")
+    history = store.history()
+    return history.select("number", "kind", "write_id", F.coalesce("rows", F.when(F.col("kind") == "undo", F.lit(gone))).cast("long").alias("rows"), F.coalesce("label", F.lit("")).alias("label"))
+
+
 @query("SELECT c_custkey AS index, c_name AS name FROM customer WHERE c_custkey % 3 <> 0")
 def rows_not_there_yet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without those that a sheet has, in capitals, under every third key."""
@@ -505,4 +523,82 @@ def asked_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     answer = analysis.ask(rows, "average", group="n_name", value="o_totalprice")
-    return answer["components"][0][1].select("label", F.round("value", 4).alias("value"), F.lit(answer["rowsRead"]).alias("read"))
+    shown = hold(answer["components"][0][1])
+    return shown.select("label", F.round("value", 4).alias("value"), F.lit(answer["rowsRead"]()).alias("read"))
+
+
+@query(
+    """
+WITH a AS (SELECT o_orderkey, o_orderkey % 6 AS k, o_custkey AS c FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN 'T' ELSE 'Answer' END AS title,
+  CASE k WHEN 0 THEN 'S' || c WHEN 1 THEN 'A' || c WHEN 2 THEN 'R' || c WHEN 3 THEN 'The answer could not be read.' WHEN 4 THEN 'Nothing but words ' || c ELSE 'x' END AS summary,
+  CASE k WHEN 1 THEN 'inferred' WHEN 5 THEN 'unavailable' ELSE 'measured' END AS confidence,
+  CASE WHEN k IN (0, 1) THEN 'metric' WHEN k = 2 THEN 'bar_chart' WHEN k = 5 THEN 'text,comparison' ELSE '' END AS kinds,
+  CASE WHEN k < 3 THEN c::DOUBLE WHEN k = 5 THEN least(4000, 2 * (1950 + c % 100))::DOUBLE END AS shown,
+  CASE WHEN k = 5 THEN 1000.0 - c END::DOUBLE AS change, CASE WHEN k = 0 THEN 1100.0 + c % 900 END::DOUBLE AS source_rows
+FROM a
+"""
+)
+def answers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written answers of six kinds: as asked, in a fence, amid words, broken, words alone, and too long in part."""
+    k, c = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = (
+        F.when(k == 0, say('{"title": " T ", "summary": "S', c, '", "confidence": "Measured", "components": [{"type": "metric", "label": "Orders", "value": ', c, '}], "sources": [{"label": "orders", "rows": "1,', (F.col("o_custkey") % 900 + 100).cast("string"), '"}, {}]}'))
+        .when(k == 1, say('Here:\n```json\n{"answer": "A', c, '", "confidence": "a low guess", "metrics": [{"name": "M", "value": ', c, '}, {"name": "none"}]}\n```'))
+        .when(k == 2, say('so {"response": "R', c, '", "charts": [{"type": "bar", "data": [{"group": "g", "value": "', c, '"}, {"group": "h"}]}]} ok'))
+        .when(k == 3, say('{"summary": broken ', c))
+        .when(k == 4, say("Nothing but words ", c))
+        .otherwise(say('{"text": "x", "confidence": "unavailable", "components": [{"type": "text", "text": "', F.expr("repeat('ab', cast(1950 + o_custkey % 100 as int))"), '"}, {"type": "poem"}, {"type": "comparison", "rows": [{"player": "p", "before": ', c, ', "after": "1,000"}]}]}'))
+    )
+    read = analysis.read_answers(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "o_orderkey")
+    first = F.get("components", F.lit(0))["body"]
+    shown = F.coalesce(F.get_json_object(first, "$.value"), F.get_json_object(first, "$.rows[0].value")).cast("double")
+    return read.select(
+        "o_orderkey", "title", "summary", "confidence", F.array_join("components.type", ",").alias("kinds"),
+        F.coalesce(shown, F.length(F.get_json_object(first, "$.text")).cast("double")).alias("shown"),
+        F.get_json_object(F.get("components", F.lit(1))["body"], "$.rows[0].change").cast("double").alias("change"),
+        F.get("sources", F.lit(0))["rows"].alias("source_rows"),
+    )
+
+
+POOL = ["Rank", "Player", "Game  name", "Team", "Score", "Date", "Day 2", "Notes", "Search rank", " DISPLAY"]
+FITS_SQL = """CASE field WHEN 'place' THEN h IN (0, 8) WHEN 'search' THEN h IN (1, 8) WHEN 'ingame' THEN h IN (2, 9) WHEN 'alliance' THEN h = 3 WHEN 'points' THEN h = 4 WHEN 'date' THEN h = 5 ELSE h = 6 END"""
+
+
+@query(
+    f"""
+WITH h AS (SELECT c_custkey, i, (c_custkey * (2 * i + 1) + i * i) % 10 AS h FROM customer, (SELECT unnest(range(6)) AS i)),
+f AS (SELECT unnest(['place', 'search', 'ingame', 'alliance', 'points', 'date', 'label']) AS field),
+m AS (SELECT c_custkey, field, i FROM h, f WHERE {FITS_SQL}),
+p AS (SELECT c_custkey, min(i) AS taken FROM m WHERE field = 'place' GROUP BY c_custkey),
+g AS (SELECT m.c_custkey, field, min(i) AS i FROM m LEFT JOIN p ON p.c_custkey = m.c_custkey WHERE field = 'place' OR taken IS NULL OR i <> taken GROUP BY m.c_custkey, field),
+n AS (SELECT c_custkey, field FROM customer, f WHERE field NOT IN ('date', 'label') EXCEPT SELECT c_custkey, field FROM g),
+w AS (SELECT c_custkey, string_agg(field, ',' ORDER BY list_position(['place', 'search', 'ingame', 'alliance', 'points'], field)) AS missing FROM n GROUP BY c_custkey),
+s AS (SELECT h.c_custkey, string_agg(coalesce(field, '-'), ',' ORDER BY h.i) AS fields FROM h LEFT JOIN g ON g.c_custkey = h.c_custkey AND g.i = h.i GROUP BY h.c_custkey)
+SELECT s.c_custkey, fields, coalesce(missing, '') AS missing FROM s LEFT JOIN w ON w.c_custkey = s.c_custkey
+"""
+)
+def fields_of_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six headings for each customer, of ten with repeats: which field each one is, and which fields are missing."""
+    pool = F.array(*[F.lit(h) for h in POOL])
+    heads = F.array(*[F.get(pool, ((F.col("c_custkey") * (2 * i + 1) + i * i) % 10).cast("int")) for i in range(6)])
+    found = sheet.guess_fields_of(table(spark, sf_dir, "customer").select("c_custkey", heads.alias("headings")))
+    return found.select("c_custkey", F.array_join("fields", ",", "-").alias("fields"), F.array_join("missing", ",").alias("missing"))
+
+
+# Streams
+
+
+@query(ORACLE_SQL["consolidated_board"])
+def streamed_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that arrive in three parts, each taken up by a stream that starts again; then ranks filled."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, base)
+    rows = _sightings(spark, sf_dir)
+    for part in range(3):
+        rows.where(F.col("seq") % 3 == part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        keep_boards(stream, f"{base}/store", f"{base}/out", f"{base}/check").awaitTermination()
+    placed = fill_ranks(spark.read.parquet(f"{base}/out"), ["board_id"], [F.desc("points"), "seenRank", "group_pos"], "seenRank")
+    return placed.select("board_id", "place", "points", "name", F.array_join("obs", "|").alias("readings"), "seen")

@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from boardflow.functions.text import first_integer
@@ -112,9 +112,15 @@ def roster_of(rows: DataFrame, search: str, ingame: str, alliance: str, position
     return out.where("search != '' or ingame != ''")
 
 
-def sheet_head(df: DataFrame, position: str, limit: int = 300) -> tuple[list[str], DataFrame, int]:
-    """Headings, the first ``limit`` rows in order, and how many there are."""
-    return df.columns, df.orderBy(position).limit(limit), df.count()
+def sheet_head(df: DataFrame, position: str, limit: int = 300) -> tuple[list[str], DataFrame, Callable[[], int]]:
+    """Headings, the first ``limit`` rows in order, and how many there are.
+
+    The last is to be called once the rows have been fetched, as the job that
+    fetches them counts what it reads; before that it waits.
+    """
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    return df.columns, rows.orderBy(position).limit(limit), lambda: seen.get["rows"]
 
 
 def sheet_lines(df: DataFrame) -> DataFrame:

@@ -1,38 +1,75 @@
 """Boards kept up to date while readings arrive.
 
-Each micro-batch is written to its own folder, so one that runs twice replaces
-itself; then the boards it touched, and no others, are consolidated anew from
-everything that is stored of them.
+The stream's state is a number and two positions for each distinct reading of a
+board (``tally``), in Spark's state store. A micro-batch brings the tallies that
+changed, as they are now. They replace the stored ones of their boards, and
+those boards are consolidated anew. So a batch costs what its boards have of
+distinct readings, however often each was seen before.
+
+Tallies are stored in ``buckets`` of boards, a new generation of a bucket in
+each batch that touches it. A batch that runs twice reads the same generation
+as before and replaces its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from boardflow.operators.clean import drop_foreign_rows
-from boardflow.operators.consolidate import consolidate
+from boardflow.operators.consolidate import TALLIED, consolidate_tallies, tally
+from boardflow.operators.hold import hold, release, remove
+
+BUCKETS = 64
+
+
+def _generations(spark: SparkSession, store: str) -> dict[int, list[tuple[int, str]]]:
+    """Of each bucket its generations with their folders, oldest first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/batch=*/bucket=*")
+    found: dict[int, list[tuple[int, str]]] = {}
+    for status in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []:
+        path = status.getPath()
+        number = lambda p: int(p.getName().split("=")[1])
+        found.setdefault(number(path), []).append((number(path.getParent()), path.toString()))
+    return {k: sorted(v) for k, v in found.items()}
+
 
-FEW = 1000  # boards that a micro-batch may touch to be named one by one
+def update_boards(tallies: DataFrame, batch_id: int, store: str, out: str, buckets: int = BUCKETS) -> None:
+    """``tallies``: those that changed in this batch, as they are after it.
 
+    Generations that two later batches don't need any more are deleted: when a
+    batch runs, all before it are known to have ended.
+    """
+    spark = tallies.sparkSession
+    changed = hold(tallies.withColumn("bucket", F.pmod(F.xxhash64("board_id"), F.lit(buckets)).cast("int")))
+    touched = {r["bucket"] for r in changed.select("bucket").distinct().collect()}  # of ``buckets``
+    before = {k: [g for g in v if g[0] < batch_id] for k, v in _generations(spark, store).items() if k in touched}
+    newest = [v[-1][1] for v in before.values() if v]
+    both = changed
+    if newest:
+        schema = changed.drop("bucket").schema
+        both = both.unionByName(spark.read.schema(schema).parquet(*newest).withColumn("bucket", F.pmod(F.xxhash64("board_id"), F.lit(buckets)).cast("int")))
+    # Numbers only grow, so of a reading's tallies the largest is the newest.
+    now = both.groupBy("bucket", *TALLIED).agg(F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    if touched:
+        now.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
+        stored = spark.read.schema(now.schema).parquet(f"{store}/batch={batch_id}")
+        mine = stored.join(changed.select("board_id").distinct(), "board_id", "left_semi")
+        boards = consolidate_tallies(drop_foreign_rows(mine, times="n"))
+        boards.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("board_id").parquet(out)
+    for path in (g[1] for v in before.values() for g in v[:-1]):  # a few for each bucket
+        remove(spark, path)
+    release(changed)
 
-def update_boards(batch: DataFrame, batch_id: int, store: str, out: str) -> None:
-    spark = batch.sparkSession
-    batch.write.mode("overwrite").partitionBy("board_id").parquet(f"{store}/batch={batch_id}")
-    touched = spark.read.parquet(f"{store}/batch={batch_id}").select("board_id").distinct()
-    stored = spark.read.schema(batch.schema).option("basePath", store).parquet(f"{store}/batch=*").drop("batch")
-    few = [r["board_id"] for r in touched.limit(FEW + 1).collect()]
-    # A list of boards prunes folders before they are read; very many are joined.
-    mine = stored.where(F.col("board_id").isin(few)) if len(few) <= FEW else stored.join(touched, "board_id", "left_semi")
-    boards = consolidate(drop_foreign_rows(mine))
-    boards.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("board_id").parquet(out)
 
+def keep_boards(sightings: DataFrame, store: str, out: str, checkpoint: str, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
+    """Start the stream; ``sightings`` are columns of ``parse_replies``, ``trigger`` goes to Spark's trigger.
 
-def keep_boards(sightings: DataFrame, store: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Start the stream; ``sightings`` are columns of ``parse_replies``, ``trigger`` goes to Spark's trigger."""
-    writer = sightings.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
-    return writer.foreachBatch(lambda batch, i: update_boards(batch, i, store, out)).start()
+    ``buckets`` has to stay the same for a ``store``.
+    """
+    writer = tally(sightings).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    return writer.foreachBatch(lambda batch, i: update_boards(batch, i, store, out, buckets)).start()
 
 
 def rolling_totals(events: DataFrame, t: str, by: str, value: str, late: str = "5 minutes", width: str = "1 minute", slide: str = "10 seconds") -> DataFrame:

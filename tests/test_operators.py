@@ -11,12 +11,12 @@ from boardflow.functions.similarity import similarity, symbols_near, within_one_
 from boardflow.functions.text import MORE_LETTERS, NO_LETTERS, exoticness, fold, fold_text, symbols, usable_fold
 from boardflow.operators import analysis, sampling, sheet
 from boardflow.operators.clean import drop_foreign_rows, upper_median
-from boardflow.operators.consolidate import consolidate, peak_mode
+from boardflow.operators.consolidate import consolidate, peak_mode, tally
 from boardflow.operators.ranks import fill_ranks, missing_ranks
 from boardflow.operators.resolve import drop_conflicts, most_similar, resolve
 from boardflow.plans.names import resolution_ladder
 from boardflow.sources.replies import parse_replies, read_batches, reply_status, sheet_head
-from boardflow.streaming.boards import keep_boards, rolling_totals
+from boardflow.streaming.boards import keep_boards, rolling_totals, update_boards
 
 NAMES = [
     ("ŊŲƁĮ", "nubi", "nubi", 1.0, 4),
@@ -100,6 +100,37 @@ def test_stream_gives_what_a_table_gives(spark, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(consolidate(rows))
 
 
+def test_batches_of_a_stream_run_again_and_keep_only_distinct_readings(spark, tmp_path):
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    rows = sightings(spark)
+    more = rows.unionByName(rows.withColumn("seq", F.col("seq") + 100)).unionByName(rows.withColumn("seq", F.col("seq") + 200))
+    key = lambda df: sorted((r.board_id, r.name, r.points, r.seen, tuple(r.obs)) for r in df.collect())
+    so_far = lambda i: tally(more.where(F.col("seq") < 100 * (i + 1)))
+    for i in (0, 1, 1, 2, 2):  # as a driver that was lost runs them
+        update_boards(so_far(i), i, store, out, buckets=4)
+        stored = spark.read.parquet(f"{store}/batch={i}")
+        assert stored.count() == tally(rows).count() and stored.agg(F.sum("n")).first()[0] == 10 * (i + 1)
+        assert key(spark.read.parquet(out)) == key(consolidate(more.where(F.col("seq") < 100 * (i + 1))))
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if any(p.glob("bucket=*"))) == ["batch=1", "batch=2"]
+    update_boards(so_far(2).limit(0), 3, store, out, buckets=4)  # an empty batch changes nothing
+    assert key(spark.read.parquet(out)) == key(consolidate(more))
+
+
+def test_medians_of_tallied_rows(spark):
+    rows = spark.createDataFrame([("a", float(v), n) for v, n in ((1, 3), (2, 9000), (5, 2), (7, 9001), (100, 4))], "g string, v double, n long")
+    each = rows.select("g", "v", F.explode(F.expr("sequence(1, n)"))).select("g", "v")
+    assert [tuple(r) for r in upper_median(rows, "g", "v", few=64, times="n").collect()] == [tuple(r) for r in upper_median(each, "g", "v").collect()]
+
+
+def test_fields_of_many_sheets(spark):
+    heads = [["Rank", " Player  ", None, "score", "Total points"], [], None, ["Search rank", "Rank", "name", "day 3", "Day"], ["", "#", "Game  Name", "CLAN"]]
+    df = spark.createDataFrame(list(enumerate(heads)), "id int, headings array<string>")
+    got = {r.id: r for r in sheet.guess_fields_of(df).collect()}
+    for i, h in enumerate(heads):
+        mapping = sheet.guess_fields(h)
+        assert got[i].fields == [field for _, field in mapping] and got[i].missing == sheet.unmapped(mapping)
+
+
 def test_resolve(spark):
     roster = spark.createDataFrame(
         [(1, "Nubi", "", "N"), (2, "Peezy", "", "N"), (3, "🐻❄️", "", "S"), (4, "Longname", "Ŀøngname", "S"), (5, "Twin", "", "W"), (6, "twin", "", "W"), (7, "ᴀʟᴇxᴀɴᴅʀᴀ", "", "W")],
@@ -185,8 +216,10 @@ def test_written_answers():
 def test_ask(spark):
     df = spark.createDataFrame([("N", 1, 10.0), ("N", 2, 4.0), ("S", 1, 5.0), ("S", 2, None), (None, 1, 3.0)], "grp string, day int, points double")
     assert analysis.ask(df, "count")["components"][0][1].first()["value"] == 5
-    kind, bars = analysis.ask(df, "average", group="grp", value="points")["components"][0]
+    answer = analysis.ask(df, "average", group="grp", value="points")
+    kind, bars = answer["components"][0]
     assert kind == "bar_chart" and [tuple(r) for r in bars.collect()] == [("N", 7.0), ("S", 5.0)]
+    assert answer["rowsRead"]() == 5
     change = analysis.ask(df, "change", label="grp", period="day", before=1, after=2, value="points")["components"][0][1]
     assert [tuple(r) for r in change.collect()] == [("N", 10.0, 4.0, -6.0)]
     with pytest.raises(ValueError):
@@ -265,7 +298,8 @@ def test_missing_and_tables_of_answers(spark):
     kind, rows = analysis.ask(have, "missing", expected=want, on="n")["components"][0]
     assert kind == "list" and [tuple(r) for r in rows.collect()] == [("Cy", "")]
     head, rows, total = sheet_head(spark.range(5).withColumnRenamed("id", "n"), "n", 2)
-    assert (head, [r.n for r in rows.collect()], total) == (["n"], [0, 1], 5)
+    assert (head, [r.n for r in rows.collect()]) == (["n"], [0, 1])
+    assert total() == 5
 
 
 def test_layout_and_output(spark):
