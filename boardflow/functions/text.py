@@ -89,7 +89,7 @@ def fold(c: Column) -> Column:
         styled = F.translate(F.when(c.rlike(spelt_range()), whole).otherwise(c), "".join(one), "".join(one.values()))
         return F.when(c.rlike(r"[^\x00-\x7F]"), styled).otherwise(c)
 
-    return F.coalesce(F.regexp_replace(F.lower(plain(c)), "[^a-z0-9]+", ""), F.lit(""))
+    return F.coalesce(once(c, lambda c: F.regexp_replace(F.lower(plain(c)), "[^a-z0-9]+", "")), F.lit(""))
 
 
 def usable(folded: Column, raw: Column) -> Column:

@@ -30,11 +30,16 @@ def ranked(key: Column) -> Column:
     return F.translate(key, RARE_FIRST, IN_ORDER)
 
 
-def _pairs(c: str, prefix: str) -> str:
-    """SQL: the first ``prefix`` of the numbered letter pairs of a ranked name, in order."""
-    grams = f"transform(sequence(1, char_length({c}) + 1), i -> substring(concat('\\u0001', {c}, '\\u0001'), i, 2))"
-    numbered = f"transform({grams}, (g, i) -> concat(g, size(filter({grams}, (h, j) -> j < i and h = g))))"
-    return f"slice(array_sort({numbered}), 1, {prefix})"
+def _pairs(c: str) -> str:
+    """SQL: the numbered letter pairs of a ranked name, rarest first. A pair's number tells its repeats apart."""
+    grams = f"sort_array(transform(sequence(1, char_length({c}) + 1), i -> substring(concat('\\u0001', {c}, '\\u0001'), i, 2)))"
+    return f"element_at(transform(array({grams}), gs -> transform(gs, (g, i) -> concat(g, i + 1 - array_position(gs, g)))), 1)"
+
+
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over all cores: names are few bytes but many keys, so a small table would else be one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
 
 
 def alike_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str, ...] = ()) -> DataFrame:
@@ -45,11 +50,11 @@ def alike_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str,
     if not 0.5 <= least <= 1:
         raise ValueError("letter pairs are sure to be shared only by names that are at least half alike")
     edits = lambda n: f"cast(floor((1 - {least}) * ({n}) + {SLACK}) as int)"
-    a = left.withColumn("_x", ranked(F.col("key"))).withColumn("_n", F.char_length("key"))
     lengths = f"sequence(cast(ceil({least} * _n - {SLACK}) as int), cast(floor(_n / {least} + {SLACK}) as int))"
-    a = a.withColumn("_m", F.explode(F.expr(lengths))).withColumn("_px", F.expr(_pairs("_x", f"2 * {edits('greatest(_n, _m)')} + 1")))
-    b = right.withColumn("_y", ranked(F.col("form_key"))).withColumn("_m", F.char_length("form_key"))
-    b = b.withColumn("_py", F.expr(_pairs("_y", f"2 * {edits(f'_m / {least}')} + 1"))).drop("_y")
+    a = _spread(left, *on, "key").withColumn("_n", F.char_length("key")).withColumn("_y", ranked(F.col("key"))).withColumn("_x", F.expr(_pairs("_y"))).drop("_y")
+    a = a.withColumn("_m", F.explode(F.expr(lengths))).withColumn("_px", F.expr(f"slice(_x, 1, 2 * {edits('greatest(_n, _m)')} + 1)"))
+    b = _spread(right, *on, "form_key").withColumn("_m", F.char_length("form_key")).withColumn("_y", ranked(F.col("form_key")))
+    b = b.withColumn("_py", F.expr(f"slice({_pairs('_y')}, 1, 2 * {edits(f'_m / {least}')} + 1)")).drop("_y")
     met = a.drop("_x", "_n").withColumn("_part", F.explode("_px")).join(b.withColumn("_part", F.explode("_py")), [*on, "_m", "_part"])
     # A pair that shares several parts counts where it shares the rarest.
     met = met.where(F.col("_part") == F.array_min(F.array_intersect("_px", "_py"))).drop("_m", "_part", "_px", "_py")

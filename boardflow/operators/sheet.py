@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardflow.functions.text import EXOTIC, exoticness, shown_key, usable_fold
+from boardflow.functions.text import EXOTIC, exoticness, once, shown_key, usable_fold
 from boardflow.operators.hold import hold
 
 # The fields and the heading patterns of each, in the order in which they claim headings.
@@ -99,11 +99,12 @@ def find_duplicates(rows: DataFrame, existing: DataFrame, keys: list[str], index
     Case, spacing and style are ignored. A row whose keys are all empty is no
     repeat. The sheet is one row per distinct key before it is joined.
     """
-    shown = lambda df, own: df.select(F.array(*[shown_key(F.col(f"`{k}`").cast("string")) for k in keys]).cast("array<string>").alias("k"), own)
-    # Keys are as long as cells are, so rows meet by a hash of them.
-    keyed = lambda df, own: shown(df, own).select(F.sha2(F.to_json("k"), 256).alias("k"), (F.array_max("k") != "").alias("some"), own)
+    cells = F.array(*[shown_key(F.col(f"`{k}`").cast("string")) for k in keys]).cast("array<string>")
+    # Keys are as long as cells are, so rows meet by a hash of them. In a generator they are folded once, whatever filters come later.
+    hashed = once(cells, lambda k: F.when(F.array_max(k) != "", F.array(F.sha2(F.to_json(k), 256))))
+    keyed = lambda df, own: df.select(own, F.explode(hashed).alias("k"))
     first = keyed(existing, row).groupBy("k").agg(F.min(row).alias(row))
-    return keyed(rows, index).join(first, "k").where("some").select(index, row)
+    return keyed(rows, index).join(first, "k").select(index, row)
 
 
 def keep_rows(rows: DataFrame, dropped: DataFrame, index: str = "index") -> DataFrame:
