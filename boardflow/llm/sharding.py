@@ -97,3 +97,18 @@ def assign_shards(
 
 def op9_stratified_shards(spark, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16).drop("source")
+
+
+#: One sort of all rows, and CRC-32 of whole texts bit by bit.
+OP9_SQL = """
+WITH t AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
+b AS (SELECT text, list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\\1,', 'g'), ',')[:-2], lambda h: ('0x' || h)::BIGINT) AS bytes FROM t),
+k AS (SELECT text, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+  lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) AS text_crc32 FROM b),
+s AS (SELECT doc_id, coalesce('1' || source, '0') AS stratum, strlen(k.text) AS bytes, text_crc32 FROM documents d JOIN k ON k.text = coalesce(d.text, '')),
+m AS (SELECT *, ('0x' || md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), 42, text_crc32, bytes))[1:15])::BIGINT AS key FROM s),
+f AS (SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id NULLS FIRST, text_crc32, bytes) - 1) / (2 * count(*) OVER (PARTITION BY stratum))::DOUBLE AS share FROM m),
+p AS (SELECT *, row_number() OVER (ORDER BY share, key, stratum, doc_id NULLS FIRST, text_crc32, bytes) - 1 AS place, count(*) OVER () AS n FROM f),
+c AS (SELECT *, ((place + 1) * 16 - 1) // n AS shard FROM p)
+SELECT doc_id, bytes + 1 AS size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, place - shard * n // 16 AS slot, NULL::INTEGER AS grown_shard FROM c
+"""
