@@ -13,7 +13,7 @@ from boardflow.llm.packing import op4_pattern_packing
 from boardflow.llm.prefix_trie import OP12_SQL, op12_merged_prefixes
 from boardflow.llm.sentence_pieces import op11_backtracked_pieces
 from boardflow.llm.sharding import OP9_SQL, op9_stratified_shards
-from boardflow.llm.suffix_dedup import op5_suffix_shards
+from boardflow.llm.suffix_dedup import OP5_SQL, op5_suffix_shards
 from boardflow.llm.warc import OP2_SQL, op2_chunked_records
 
 QUERIES = {
@@ -35,4 +35,12 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op2_chunked_records": OP2_SQL, "op7_pivot_cells": OP7_SQL, "op9_stratified_shards": OP9_SQL, "op10_line_windows": OP10_SQL, "op12_merged_prefixes": OP12_SQL, "op13_isolated_split": OP13_SQL}
+ORACLE_SQL = {
+    "op2_chunked_records": OP2_SQL,
+    "op5_suffix_shards": OP5_SQL,
+    "op7_pivot_cells": OP7_SQL,
+    "op9_stratified_shards": OP9_SQL,
+    "op10_line_windows": OP10_SQL,
+    "op12_merged_prefixes": OP12_SQL,
+    "op13_isolated_split": OP13_SQL,
+}

@@ -351,3 +351,19 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col:
 
 def op5_suffix_shards(spark, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+#: Every 200-byte string of every distinct text, so memory for all of them: 11 s for 2.4 MB of texts.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+t AS (SELECT b, octet_length(b) AS n, count(*) AS copies, row_number() OVER () AS id FROM d GROUP BY b),
+w AS (SELECT id, p, copies, md5_number(b[p + 1:p + 200]) AS h FROM (SELECT id, b, copies, unnest(range(n - 199)) AS p FROM t WHERE n >= 200)),
+r AS (SELECT h FROM w GROUP BY h HAVING sum(copies) > 1),
+s AS (SELECT id, p, p - lag(p) OVER (PARTITION BY id ORDER BY p) AS gap FROM w SEMI JOIN r USING (h)),
+g AS (SELECT id, p, count(*) FILTER (WHERE gap IS NULL OR gap > 200) OVER (PARTITION BY id ORDER BY p) AS span FROM s),
+c AS (SELECT id, span, min(p) AS lo, max(p) + 200 AS hi FROM g GROUP BY id, span),
+e AS (SELECT id, lo, hi FROM c UNION ALL SELECT id, n, n FROM t),
+o AS (SELECT id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY id ORDER BY lo, hi), 0) AS before FROM e),
+k AS (SELECT o.id, sum(hi - lo) AS n_removed, count(*) - 1 AS n_spans, sha256(unhex(string_agg(hex(b)[2 * before + 1:2 * lo], '' ORDER BY lo, hi))) AS kept_sha256 FROM o JOIN t USING (id) GROUP BY o.id)
+SELECT d.doc_id, t.n AS n_bytes, k.n_removed::BIGINT AS n_removed, k.n_spans, k.kept_sha256 FROM d JOIN t USING (b) JOIN k USING (id)
+"""
