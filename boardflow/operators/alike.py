@@ -1,6 +1,6 @@
 """Joins of similar names, as equi-joins on keys that lose no pair.
 
-Three kinds of keys, by how alike names have to be:
+Four kinds of keys, by how alike names have to be:
 
 * at least half alike: pairs of neighbouring letters, numbered where they repeat.
   Every edit changes two of them at most, so of the rarest ``2 k + 1`` of each
@@ -8,8 +8,10 @@ Three kinds of keys, by how alike names have to be:
 * less than that: two or three letters in order. Names that are ``least`` alike
   share that part of the longer one's letters in order, so the rarest of these
   are among a name's rarest letters.
-* near symbols: ``k + 1`` segments of one name, of which the other has one whole,
-  shifted no further than edits before and after it allow.
+* short names that few edits may be apart: all but ``k`` letters of the longer one,
+  in order. Of names within ``k`` edits both have these.
+* near symbols that are longer: ``k + 1`` segments of one name, of which the other
+  has one whole, shifted no further than edits before and after it allow.
 
 Letters count as rare by a fixed order; any order gives the same pairs.
 """
@@ -19,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardflow.functions.similarity import similarity
+from boardflow.functions.similarity import similarity, symbol_cap, symbols_near
+from boardflow.operators.hold import meet
 
 RARE_FIRST, IN_ORDER = "987654321qxzjvkwyfbghpmucdltrnsioea0", "0123456789abcdefghijklmnopqrstuvwxyz"  # numbers tell names apart, zeros don't
+SHORT_SIGNS = 8  # names in symbols up to here may be two edits apart and have few keys of all letters but two
 SLACK = 1e-9  # products of a share and a length are whole numbers at times
 
 
@@ -42,6 +46,13 @@ def _spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
 
 
+def _kept_letters(c: str, n: str) -> str:
+    """SQL: all distinct choices of ``n`` letters of a name, in their order."""
+    size = f"char_length({c})"
+    more = f"concat(transform(acc, a -> concat(a, substring({c}, i, 1))), acc)"
+    return f"if({size} < {n}, array(), aggregate(sequence(1, {size}), array(''), (acc, i) -> array_distinct(filter({more}, a -> char_length(a) <= {n} and char_length(a) >= i - {size} + {n}))))"
+
+
 def alike_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of distinct rows of ``left`` (``on``, key, others) and ``right`` (``on``, form_key, others) with equal ``on`` and similarity ``least`` (0.5 or more): both's columns and ``s``.
 
@@ -128,3 +139,27 @@ def probe_keys(c: str) -> str:
     probes = f"transform(if({low} <= {high}, sequence({low}, {high}), array()), s -> concat_ws('|', p.m, p.k, i, substring({c}, s + 1, {cut('i + 1')} - {cut('i')})))"
     lengths = f"filter(transform(sequence(greatest(2, cast(ceil({n} / 2) as int)), {n} + cast(ceil({n} / 2) as int) + 1), m -> struct(m as m, {cap} as k)), p -> abs(p.m - {n}) <= p.k)"
     return f"array_distinct(flatten(transform({lengths}, p -> flatten(transform(sequence(0, p.k), i -> {probes})))))"
+
+
+def near_symbol_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of ``left`` (shown) and ``right`` (roster_id, form_shown) that are near by edits, some more than once.
+
+    Short ones meet on all letters but as many as may be edited, so that those
+    which meet are nearly those which are near; longer ones on segments.
+    """
+    sizes = lambda df, c, n: df.select(F.char_length(c).alias(n)).distinct()
+    lengths = sizes(left, "shown", "_n").crossJoin(sizes(right, "form_shown", "_m"))
+    lengths = lengths.withColumn("_most", F.greatest("_n", "_m")).withColumn("_k", symbol_cap(F.expr("repeat('x', _n)"), F.expr("repeat('x', _m)")).cast("int")).where("_most - least(_n, _m) <= _k")
+    a, b = left.withColumn("_n", F.char_length("shown")), right.withColumn("_m", F.char_length("form_shown"))
+    few, many = lengths.where(F.col("_most") <= SHORT_SIGNS), lengths.where(F.col("_most") > SHORT_SIGNS)
+    kept = lambda df, c: df.withColumn("_part", F.explode(F.expr(_kept_letters(c, "(_most - _k)")))).drop("_k")
+    # A row for each pair of lengths that occurs.
+    ours = kept(_spread(a, "shown").join(F.broadcast(few), "_n"), "shown").drop("_n")
+    theirs = kept(_spread(b, "form_shown").join(F.broadcast(few.select("_m", "_most", "_k").distinct()), "_m"), "form_shown")
+    short = meet(ours, theirs, ["_m", "_most", "_part"]).select(*left.columns, *right.columns)
+    asked = a.withColumn("_part", F.explode(F.expr(probe_keys("shown")))).withColumn("_m", F.split_part("_part", F.lit("|"), F.lit(1)).cast("int"))
+    asked = asked.join(F.broadcast(many.select("_n", "_m")), ["_n", "_m"])
+    cut = b.withColumn("_part", F.explode(F.expr(segment_keys("form_shown")))).withColumn("_k", F.split_part("_part", F.lit("|"), F.lit(2)).cast("int"))
+    cut = cut.join(F.broadcast(many.select("_m", "_k").distinct()), ["_m", "_k"])
+    long = meet(asked, cut.drop("_m"), "_part").select(*left.columns, *right.columns).distinct()
+    return short.unionByName(long).where(symbols_near(F.col("shown"), F.col("form_shown")))

@@ -55,3 +55,12 @@ def remove(spark: SparkSession, path: str) -> None:
         return
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that sorts both sides and never gathers one in the driver.
+
+    Sizes are estimated from files, which are compressed, and know nothing of
+    rows that are exploded to many: of those a broadcast would outgrow the driver.
+    """
+    return left.join(right.hint("merge"), on, how)

@@ -3,7 +3,7 @@
 A row has several readings of one name and, at times, a claim of who it is.
 All candidates of all tiers are found by joins on keys, and one aggregate picks
 the first one by tier and reading. No tier compares every row with every roster
-entry: near names meet on deletion keys, near symbols on segments, suggestions
+entry: near names meet on deletion keys, near symbols on kept letters or segments, suggestions
 on rare pairs of letters and, below half alike, on letters in order.
 """
 
@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boardflow.functions.similarity import NEAR_LETTERS, claim_plausible, deletion_keys, symbols_near, within_one_edit
+from boardflow.functions.similarity import NEAR_LETTERS, claim_plausible, deletion_keys, within_one_edit
 from boardflow.functions.text import EXOTIC, alias_key, exoticness, fold, symbols, usable
-from boardflow.operators.alike import alike_pairs, loose_pairs, one_letter_best, probe_keys, segment_keys
-from boardflow.operators.hold import hold
+from boardflow.operators.alike import alike_pairs, loose_pairs, near_symbol_pairs, one_letter_best
+from boardflow.operators.hold import hold, meet
 
 # Tiers; within the ladder of one reading, rungs.
 ALIAS, FOLD, CLAIM, LADDER = range(1, 5)
@@ -67,16 +67,11 @@ def near_names(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFr
 
 
 def near_symbols(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
-    """Readings in symbols near those of exactly one entry in symbols: ``keys``, roster_id.
-
-    They meet on segments: of one more than edits are allowed, one is whole in the reading.
-    """
+    """Readings in symbols near those of exactly one entry in symbols: ``keys``, roster_id."""
     left = readings.where((F.col("key") == "") & (F.char_length("shown") >= 2)).select(*keys, "shown")
     right = forms.where((F.col("key") == "") & (F.char_length("shown") >= 2)).select("roster_id", F.col("shown").alias("form_shown")).distinct()
-    met = left.select("shown").distinct().withColumn("part", F.explode(F.expr(probe_keys("shown"))))
-    met = met.join(right.withColumn("part", F.explode(F.expr(segment_keys("form_shown")))), "part").drop("part").distinct()
-    near = _sole(met.where(symbols_near(F.col("shown"), F.col("form_shown"))), ["shown"])
-    return _sole(left.join(near, "shown"), keys)
+    near = _sole(near_symbol_pairs(left.select("shown").distinct(), right), ["shown"])
+    return _sole(meet(left, near, "shown"), keys)
 
 
 #: Names leave as soon as the best of what is this much alike is known; so few are left for the weaker filters.

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from boardflow.operators.alike import alike_pairs, loose_pairs, probe_keys, segment_keys
+from boardflow.operators.alike import alike_pairs, loose_pairs, near_symbol_pairs, probe_keys, segment_keys
 from boardflow.operators.resolve import most_similar, near_symbols
 
 
@@ -124,3 +124,21 @@ def test_near_symbols_are_of_one_entry(spark):
         if len(hits) == 1:
             want[g] = hits.pop()
     assert {r.g: r.roster_id for r in near_symbols(left, right, ["g"]).collect()} == want
+
+
+def test_near_symbols_by_kept_letters_equal_all_pairs(spark):
+    a, b = ([x for x in made(s, 150, "★☆☀☁", 13) if len(x) > 1] for s in (13, 14))
+    left = spark.createDataFrame([(x,) for x in a], "shown string")
+    right = spark.createDataFrame(list(enumerate(b)), "roster_id long, form_shown string")
+    got = {(r.shown, r.form_shown) for r in near_symbol_pairs(left, right).collect()}
+    assert got == {(x, y) for x in a for y in b if edits(x, y) <= cap(x, y)}
+
+
+def test_no_exploded_side_is_broadcast(spark):
+    left = spark.createDataFrame([(1, "", "★☆☀☁☂☃")], "g long, key string, shown string")
+    right = spark.createDataFrame([(1, "", "★☆☀☁☂♣")], "roster_id long, key string, shown string")
+    out = near_symbols(left, right, ["g"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.roster_id for r in out.collect()] == [1]
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "_part" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
