@@ -2,7 +2,7 @@
 
 Four kinds of keys, by how alike names have to be:
 
-* at least half alike: pairs of neighbouring letters, numbered where they repeat.
+* at least half alike and not short: pairs of neighbouring letters, numbered where they repeat.
   Every edit changes two of them at most, so of the rarest ``2 k + 1`` of each
   name one is shared (a prefix filter); the other name's length is in the key.
 * less than that: two or three letters in order. Names that are ``least`` alike
@@ -18,6 +18,8 @@ Letters count as rare by a fixed order; any order gives the same pairs.
 
 from __future__ import annotations
 
+from math import comb, floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from boardflow.functions.similarity import similarity, symbol_cap, symbols_near
 from boardflow.operators.hold import meet
 
 RARE_FIRST, IN_ORDER = "987654321qxzjvkwyfbghpmucdltrnsioea0", "0123456789abcdefghijklmnopqrstuvwxyz"  # numbers tell names apart, zeros don't
+KEPT_KEYS = 150  # names meet on kept letters where there are at most so many choices of them
+BLOCK = 1024  # forms that a name is compared with at once
 SHORT_SIGNS = 8  # names in symbols up to here may be two edits apart and have few keys of all letters but two
 SLACK = 1e-9  # products of a share and a length are whole numbers at times
 
@@ -61,15 +65,39 @@ def alike_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str,
     if not 0.5 <= least <= 1:
         raise ValueError("letter pairs are sure to be shared only by names that are at least half alike")
     edits = lambda n: f"cast(floor((1 - {least}) * ({n}) + {SLACK}) as int)"
-    lengths = f"sequence(cast(ceil({least} * _n - {SLACK}) as int), cast(floor(_n / {least} + {SLACK}) as int))"
-    a = _spread(left, *on, "key").withColumn("_n", F.char_length("key")).withColumn("_y", ranked(F.col("key"))).withColumn("_x", F.expr(_pairs("_y"))).drop("_y")
-    a = a.withColumn("_m", F.explode(F.expr(lengths))).withColumn("_px", F.expr(f"slice(_x, 1, 2 * {edits('greatest(_n, _m)')} + 1)"))
-    b = _spread(right, *on, "form_key").withColumn("_m", F.char_length("form_key")).withColumn("_y", ranked(F.col("form_key")))
+    # By the longer length of a pair: names of few choices of kept letters meet on those, the others on letter pairs.
+    short = [n for n in range(1, 65) if comb(n, floor((1 - least) * n + SLACK)) <= KEPT_KEYS]
+    is_short = F.greatest("_n", "_m").isin(short)
+    lengths = lambda n: f"sequence(cast(ceil({least} * {n} - {SLACK}) as int), cast(floor({n} / {least} + {SLACK}) as int))"
+    a, b = _spread(left, *on, "key").withColumn("_n", F.char_length("key")), _spread(right, *on, "form_key").withColumn("_m", F.char_length("form_key"))
+    a = a.withColumn("_m", F.explode(F.expr(lengths("_n")))).withColumn("_most", F.greatest("_n", "_m"))
+    kept = lambda c: F.explode(F.expr(_kept_letters(c, f"(_most - {edits('_most')})")))
+    ours = a.where(is_short).withColumn("_part", kept("key")).drop("_n")
+    most = F.array_distinct(F.transform(F.expr(lengths("_m")), lambda n: F.greatest(n, "_m")))
+    theirs = b.withColumn("_most", F.explode(most)).where(F.col("_most").isin(short)).withColumn("_part", kept("form_key"))
+    likeness = similarity(F.col("key"), F.col("form_key"))
+    columns = [*left.columns, *[c for c in right.columns if c not in on]]
+    near = meet(ours, theirs, [*on, "_m", "_most", "_part"]).select(*columns).withColumn("s", likeness).where(F.col("s") >= least).distinct()
+    a = a.where(~is_short).withColumn("_y", ranked(F.col("key"))).withColumn("_px", F.expr(f"slice({_pairs('_y')}, 1, 2 * {edits('_most')} + 1)"))
+    a = a.select(*left.columns, "_m", "_px")
+    b = b.where(F.floor(F.col("_m") / least + SLACK) >= next(n for n in range(1, 66) if n not in short)).withColumn("_y", ranked(F.col("form_key")))
     b = b.withColumn("_py", F.expr(f"slice({_pairs('_y')}, 1, 2 * {edits(f'_m / {least}')} + 1)")).drop("_y")
-    met = a.drop("_x", "_n").withColumn("_part", F.explode("_px")).join(b.withColumn("_part", F.explode("_py")), [*on, "_m", "_part"])
+    met = meet(a.withColumn("_part", F.explode("_px")), b.withColumn("_part", F.explode("_py")), [*on, "_m", "_part"])
     # A pair that shares several parts counts where it shares the rarest.
-    met = met.where(F.col("_part") == F.array_min(F.array_intersect("_px", "_py"))).drop("_m", "_part", "_px", "_py")
-    return met.withColumn("s", similarity(F.col("key"), F.col("form_key"))).where(F.col("s") >= least)
+    met = met.where(F.col("_part") == F.array_min(F.array_intersect("_px", "_py"))).select(*columns)
+    return near.unionByName(met.withColumn("s", likeness).where(F.col("s") >= least))
+
+
+def best_of_all(names: DataFrame, n: int, forms: DataFrame, n_forms: int) -> DataFrame:
+    """``key``, s, back, roster_id: of each of ``n`` names (key) the best of ``n_forms`` forms, compared outright, a block of forms at a time.
+
+    The side with fewer rows goes to all tasks, so the product of both has to be bounded.
+    """
+    blocks = forms.groupBy(F.pmod(F.xxhash64("form_key"), F.lit(-(-n_forms // BLOCK))).alias("_b")).agg(F.collect_list(F.struct("form_key", "ix_pos", "roster_id")).alias("_forms"))
+    both = _spread(names.select("key"), "key").crossJoin(F.broadcast(blocks)) if n_forms < n else _spread(blocks, "_b").crossJoin(F.broadcast(names.select("key")))
+    of = lambda f: F.struct(similarity(F.col("key"), f["form_key"]).alias("s"), (-f["ix_pos"]).alias("back"), f["roster_id"].alias("roster_id"))
+    best = both.select("key", F.array_max(F.transform("_forms", of)).alias("b"))
+    return best.groupBy("key").agg(F.max("b").alias("b")).select("key", "b.*").where("s > 0")
 
 
 def _combinations(c: str, need: str) -> str:
@@ -94,7 +122,7 @@ def loose_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     a = left.where(F.char_length("key") > 1).withColumn("_x", ranked(F.col("key"))).withColumn("_part", F.explode(F.expr(_combinations("_x", need("_x"))))).drop("_x")
     b = right.where(F.char_length("form_key") > 1).withColumn("_y", ranked(F.col("form_key"))).withColumn("_part", F.explode(F.expr(_combinations("_y", need("_y"))))).drop("_y")
     flip = F.concat(F.substring("_part", 2, 1), F.substring("_part", 1, 1), F.expr("substring(_part, 3)"))
-    met = a.join(b.withColumn("_part", flip), "_part").drop("_part").distinct()
+    met = meet(a, b.withColumn("_part", flip), "_part").drop("_part").distinct()
     return met.withColumn("s", similarity(F.col("key"), F.col("form_key"))).where((F.col("s") > 0) & (F.col("s") >= least))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from boardflow.functions.similarity import ORPHAN, similarity
 from boardflow.functions.text import fold, symbols
-from boardflow.operators.hold import hold
+from boardflow.operators.hold import hold, meet
 from boardflow.operators.leaders import first_leaders
 
 LATER = 1 << 60  # attached sightings count after a group's own
@@ -74,7 +74,7 @@ def _summary(members: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("field") == "points", F.col("n"))).alias("seen"),
     )
     heads = members.groupBy("board_id", "gid").agg(F.max("rank").alias("rank"), F.min("first").alias("group_pos"))
-    return modes.join(heads, ["board_id", "gid"]).withColumn("seenRank", F.col("rank"))
+    return meet(modes, heads, ["board_id", "gid"]).withColumn("seenRank", F.col("rank"))
 
 
 def consolidate(sightings: DataFrame) -> DataFrame:
@@ -100,17 +100,17 @@ def consolidate_tallies(tallies: DataFrame) -> DataFrame:
     modes = scores.groupBy("board_id", "gid").agg(F.max_by("points", F.struct("n", -F.col("last"))).alias("g_points"))
     firsts = ranked.groupBy("board_id", "gid").agg(F.min_by(F.struct("plain", "name"), "first").alias("f"), F.min("first").alias("g_pos")).select("board_id", "gid", "g_pos", "f.plain", "f.name")
     firsts = keyed(firsts).select("board_id", "gid", "g_pos", F.col("key").alias("g_key"), F.col("shown").alias("g_shown"))
-    groups = modes.join(firsts, ["board_id", "gid"])
+    groups = meet(modes, firsts, ["board_id", "gid"])
     alike = F.when((F.col("key") == "") & (F.col("g_key") == ""), F.col("shown") == F.col("g_shown")).otherwise(similarity(F.col("key"), F.col("g_key")) >= ORPHAN)
     same = ["board_id", "points", "key", "shown"]
     distinct = hold(orphans.groupBy(*same).agg(F.min("first").alias("seq")))
-    near = distinct.join(groups.withColumnRenamed("g_points", "points"), ["board_id", "points"]).where(alike)
+    near = meet(distinct, groups.withColumnRenamed("g_points", "points"), ["board_id", "points"]).where(alike)
     attached = near.groupBy(*same).agg(F.min_by("gid", "g_pos").alias("gid"))
-    rest = distinct.join(attached, same, "left_anti")
+    rest = meet(distinct, attached, same, "left_anti")
     rest = hold(rest.select(*same, "seq"))
     led = first_leaders(rest, ["board_id", "points"], "key", "seq", ORPHAN)
-    led = rest.join(led, ["board_id", "points", "seq"]).select(*same, F.concat(F.lit("o"), "leader").alias("gid"))
-    placed = orphans.join(attached.unionByName(led), same).withColumns({c: F.col(c) + LATER for c in ("first", "last")})
+    led = meet(rest, led, ["board_id", "points", "seq"]).select(*same, F.concat(F.lit("o"), "leader").alias("gid"))
+    placed = meet(orphans, attached.unionByName(led), same).withColumns({c: F.col(c) + LATER for c in ("first", "last")})
     members = hold(ranked.unionByName(placed.select(ranked.columns)))
     out = _summary(members)
     return out.withColumn("group_pos", F.col("group_pos") % LATER + F.when(F.col("rank").isNull(), LATER).otherwise(0))

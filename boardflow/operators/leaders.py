@@ -2,7 +2,8 @@
 
 A row joins the first earlier leader that it resembles, or else leads: the
 leaders are the first independent set, in order of arrival, of the graph of
-similar rows. Rows are taken in blocks, each many times as long as all before
+similar rows. The first row of a group leads in any case; all rows are compared
+with it at once, so a group of one crowd never meets itself. Then rows are taken in blocks, each many times as long as all before
 it. A block's graph is worked out by itself, and its leaders take their
 followers out of all that comes later, so that a large crowd of similar rows is
 gone before its pairs could meet.
@@ -13,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boardflow.functions.similarity import similarity
 from boardflow.operators.alike import alike_pairs
-from boardflow.operators.hold import hold, release
+from boardflow.operators.hold import hold, meet, release
 
 GROWTH, CUTS = 8, 14  # a block and all before it are 8 times as long as those before
 
@@ -28,7 +30,7 @@ def blocks(items: DataFrame, on: list[str], seq: str, first: int) -> DataFrame:
     cuts = items.groupBy(*on).agg(F.count("*").alias("_n"), F.percentile_approx(seq, shares, 1000).alias("_cuts"))
     last = F.greatest(F.lit(0), F.least(F.lit(CUTS - 1), F.ceil(F.log(float(GROWTH), F.col("_n") / first)))).cast("int")
     within = F.size(F.filter(F.slice("_cuts", F.lit(2), F.col("_last")), lambda c: F.col(seq) <= c))
-    return items.join(cuts.withColumn("_last", last), on).withColumn("level", F.col("_last") - within).drop("_n", "_cuts", "_last")
+    return meet(items, cuts.withColumn("_last", last), on).withColumn("level", F.col("_last") - within).drop("_n", "_cuts", "_last")
 
 
 def followers(edges: DataFrame, on: list[str]) -> DataFrame:
@@ -40,11 +42,11 @@ def followers(edges: DataFrame, on: list[str]) -> DataFrame:
     """
     found, left = [], edges
     while not left.isEmpty():
-        leads = left.select(*on, "a").join(left.select(*on, F.col("b").alias("a")), [*on, "a"], "left_anti").distinct()
-        gone = hold(left.join(leads, [*on, "a"]).select(*on, "b").distinct())
+        leads = meet(left.select(*on, "a"), left.select(*on, F.col("b").alias("a")), [*on, "a"], "left_anti").distinct()
+        gone = hold(meet(left, leads, [*on, "a"]).select(*on, "b").distinct())
         found.append(gone)
-        rest = left.join(leads, [*on, "a"], "left_anti").join(gone, [*on, "b"], "left_anti")
-        rest = hold(rest.join(gone.withColumnRenamed("b", "a"), [*on, "a"], "left_anti").select(*on, "a", "b"))
+        rest = meet(meet(left, leads, [*on, "a"], "left_anti"), gone, [*on, "b"], "left_anti")
+        rest = hold(meet(rest, gone.withColumnRenamed("b", "a"), [*on, "a"], "left_anti").select(*on, "a", "b"))
         if left is not edges:
             release(left)
         left = rest
@@ -61,22 +63,26 @@ def first_leaders(items: DataFrame, on: list[str], key: str, seq: str, least: fl
     more); rows with an empty key resemble none and lead.
     """
     rows = items.select(*on, F.col(key).alias("key"), F.col(seq).alias("seq"))
-    todo = hold(blocks(rows.where("key != ''"), on, "seq", first))
     out = rows.where("key = ''").select(*on, "seq", F.col("seq").alias("leader"))
+    rows = rows.where("key != ''")
+    heads = rows.groupBy(*on).agg(F.min_by("key", "seq").alias("_head"), F.min("seq").alias("_first"))
+    rows = hold(meet(rows, heads, on).select(*on, "key", "seq", F.when(similarity(F.col("key"), F.col("_head")) >= least, F.col("_first")).alias("leader")))
+    out = out.unionByName(rows.where("leader is not null").drop("key"))
+    todo = hold(blocks(rows.where("leader is null").drop("leader"), on, "seq", first))
     top = todo.agg(F.max("level")).first()[0]
     for level in range(-1 if top is None else top + 1):
         block = todo.where(F.col("level") == level).drop("level")
         theirs = block.select(*on, F.col("key").alias("form_key"), F.col("seq").alias("other"))
         edges = hold(alike_pairs(block, theirs, least, tuple(on)).where("other < seq").select(*on, F.col("other").alias("a"), F.col("seq").alias("b")))
         follow = followers(edges, on).withColumnRenamed("b", "seq")
-        leads = hold(block.join(follow, [*on, "seq"], "left_anti"))
+        leads = hold(meet(block, follow, [*on, "seq"], "left_anti"))
         out = out.unionByName(leads.select(*on, "seq", F.col("seq").alias("leader")))
         named = leads.select(*on, F.col("seq").alias("a"))
-        out = out.unionByName(edges.join(named, [*on, "a"]).groupBy(*on, F.col("b").alias("seq")).agg(F.min("a").alias("leader")))
+        out = out.unionByName(meet(edges, named, [*on, "a"]).groupBy(*on, F.col("b").alias("seq")).agg(F.min("a").alias("leader")))
         if level < top:
             later = todo.where(F.col("level") > level)
             heads = leads.select(*on, F.col("key").alias("form_key"), F.col("seq").alias("leader"))
             taken = hold(alike_pairs(later.drop("level"), heads, least, tuple(on)).groupBy(*on, "seq").agg(F.min("leader").alias("leader")))
             out = out.unionByName(taken)
-            todo = hold(later.join(taken, [*on, "seq"], "left_anti"))
+            todo = hold(meet(later, taken, [*on, "seq"], "left_anti"))
     return out.withColumnRenamed("seq", seq)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardflow.operators.alike import alike_pairs, loose_pairs, near_symbol_pairs, probe_keys, segment_keys
+from boardflow.operators import leaders
 from boardflow.operators.resolve import most_similar, near_symbols
 
 
@@ -142,3 +143,15 @@ def test_no_exploded_side_is_broadcast(spark):
     assert [r.roster_id for r in out.collect()] == [1]
     joins = [line for line in plan.splitlines() if "Join Inner" in line and "_part" in line]
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_names_alike_follow_the_first_one_at_once(spark, monkeypatch):
+    def none(*_, **__):
+        raise AssertionError("pairs of followers were looked for")
+
+    monkeypatch.setattr(leaders, "alike_pairs", none)
+    rows = [(b, 1.0, f"player{i}", 100 * b + i) for b in (1, 2) for i in range(10, 99)]
+    items = spark.createDataFrame(rows, "board long, points double, key string, seq long")
+    got = leaders.first_leaders(items, ["board", "points"], "key", "seq", 0.6)
+    assert {(r.board, r.leader) for r in got.collect()} == {(1, 110), (2, 210)}
+    assert got.count() == len(rows)
