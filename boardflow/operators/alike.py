@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardflow.functions.similarity import similarity, symbol_cap, symbols_near
-from boardflow.operators.hold import meet
+from boardflow.operators.hold import meet, spread
 
 RARE_FIRST, IN_ORDER = "987654321qxzjvkwyfbghpmucdltrnsioea0", "0123456789abcdefghijklmnopqrstuvwxyz"  # numbers tell names apart, zeros don't
 KEPT_KEYS = 150  # names meet on kept letters where there are at most so many choices of them
@@ -44,12 +44,6 @@ def _pairs(c: str) -> str:
     return f"element_at(transform(array({grams}), gs -> transform(gs, (g, i) -> concat(g, i + 1 - array_position(gs, g)))), 1)"
 
 
-def _spread(df: DataFrame, *by: str) -> DataFrame:
-    """Rows over all cores: names are few bytes but many keys, so a small table would else be one task."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
-
-
 def _kept_letters(c: str, n: str) -> str:
     """SQL: all distinct choices of ``n`` letters of a name, in their order."""
     size = f"char_length({c})"
@@ -69,7 +63,7 @@ def alike_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str,
     short = [n for n in range(1, 65) if comb(n, floor((1 - least) * n + SLACK)) <= KEPT_KEYS]
     is_short = F.greatest("_n", "_m").isin(short)
     lengths = lambda n: f"sequence(cast(ceil({least} * {n} - {SLACK}) as int), cast(floor({n} / {least} + {SLACK}) as int))"
-    a, b = _spread(left, *on, "key").withColumn("_n", F.char_length("key")), _spread(right, *on, "form_key").withColumn("_m", F.char_length("form_key"))
+    a, b = spread(left, *on, "key").withColumn("_n", F.char_length("key")), spread(right, *on, "form_key").withColumn("_m", F.char_length("form_key"))
     a = a.withColumn("_m", F.explode(F.expr(lengths("_n")))).withColumn("_most", F.greatest("_n", "_m"))
     kept = lambda c: F.explode(F.expr(_kept_letters(c, f"(_most - {edits('_most')})")))
     ours = a.where(is_short).withColumn("_part", kept("key")).drop("_n")
@@ -94,7 +88,7 @@ def best_of_all(names: DataFrame, n: int, forms: DataFrame, n_forms: int) -> Dat
     The side with fewer rows goes to all tasks, so the product of both has to be bounded.
     """
     blocks = forms.groupBy(F.pmod(F.xxhash64("form_key"), F.lit(-(-n_forms // BLOCK))).alias("_b")).agg(F.collect_list(F.struct("form_key", "ix_pos", "roster_id")).alias("_forms"))
-    both = _spread(names.select("key"), "key").crossJoin(F.broadcast(blocks)) if n_forms < n else _spread(blocks, "_b").crossJoin(F.broadcast(names.select("key")))
+    both = spread(names.select("key"), "key").crossJoin(F.broadcast(blocks)) if n_forms < n else spread(blocks, "_b").crossJoin(F.broadcast(names.select("key")))
     of = lambda f: F.struct(similarity(F.col("key"), f["form_key"]).alias("s"), (-f["ix_pos"]).alias("back"), f["roster_id"].alias("roster_id"))
     best = both.select("key", F.array_max(F.transform("_forms", of)).alias("b"))
     return best.groupBy("key").agg(F.max("b").alias("b")).select("key", "b.*").where("s > 0")
@@ -182,8 +176,8 @@ def near_symbol_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     few, many = lengths.where(F.col("_most") <= SHORT_SIGNS), lengths.where(F.col("_most") > SHORT_SIGNS)
     kept = lambda df, c: df.withColumn("_part", F.explode(F.expr(_kept_letters(c, "(_most - _k)")))).drop("_k")
     # A row for each pair of lengths that occurs.
-    ours = kept(_spread(a, "shown").join(F.broadcast(few), "_n"), "shown").drop("_n")
-    theirs = kept(_spread(b, "form_shown").join(F.broadcast(few.select("_m", "_most", "_k").distinct()), "_m"), "form_shown")
+    ours = kept(spread(a, "shown").join(F.broadcast(few), "_n"), "shown").drop("_n")
+    theirs = kept(spread(b, "form_shown").join(F.broadcast(few.select("_m", "_most", "_k").distinct()), "_m"), "form_shown")
     short = meet(ours, theirs, ["_m", "_most", "_part"]).select(*left.columns, *right.columns)
     asked = a.withColumn("_part", F.explode(F.expr(probe_keys("shown")))).withColumn("_m", F.split_part("_part", F.lit("|"), F.lit(1)).cast("int"))
     asked = asked.join(F.broadcast(many.select("_n", "_m")), ["_n", "_m"])

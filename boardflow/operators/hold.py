@@ -64,3 +64,9 @@ def meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inn
     rows that are exploded to many: of those a broadcast would outgrow the driver.
     """
     return left.join(right.hint("merge"), on, how)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over all cores, where few bytes are much work: a small table would else be one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)

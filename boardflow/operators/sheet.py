@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardflow.functions.text import EXOTIC, exoticness, once, shown_key, usable_fold
-from boardflow.operators.hold import hold
+from boardflow.operators.hold import hold, spread
 
 # The fields and the heading patterns of each, in the order in which they claim headings.
 FIELDS = {
@@ -46,18 +46,34 @@ def unmapped(mapping: list[tuple[str, str | None]]) -> list[str]:
 def guess_fields_of(sheets: DataFrame, headings: str = "headings") -> DataFrame:
     """``guess_fields`` and ``unmapped`` for a table of sheets: ``fields`` (a field or null for each of the ``headings``) and ``missing``.
 
-    The fields claim headings one after the other, in SQL functions over a row's
-    own array. Null headings are blank ones, null arrays empty.
+    Which fields fit is worked out once for each heading. Then the fields claim
+    headings one after the other, in SQL functions over a row's own array, each
+    of a step's values named once. Null headings are blank ones, null arrays empty.
     """
-    kept = sheets.columns
+    kept, bits = sheets.columns, {field: 1 << i for i, field in enumerate(FIELDS)}
+
+    def fits(h: Column) -> Column:
+        """A bit for each field that a clean heading fits."""
+        of = [F.when(h.rlike("|".join(f"(?:{p})" for p in patterns)), bits[field]).otherwise(0) for field, patterns in FIELDS.items()]
+        return F.when(h == "", 0).otherwise(sum(of[1:], of[0]))
+
     cleaned = F.transform(F.coalesce(headings, F.array().cast("array<string>")), lambda h: F.trim(F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), r"\s+", " ")))
-    rows = sheets.withColumns({"_cleaned": cleaned, "_got": F.transform(cleaned, lambda h: F.lit(None).cast("string"))})
-    for field, patterns in FIELDS.items():
-        fits = lambda h, i: (h != "") & F.get("_got", i).isNull() & h.rlike("|".join(f"(?:{p})" for p in patterns))  # noqa: E731, B023
-        at = F.array_position(F.transform("_cleaned", fits), True)  # from 1, 0 without
-        rows = rows.withColumn("_at", at).withColumn("_got", F.transform("_got", lambda g, i: F.when(i + 1 == F.col("_at"), F.lit(field)).otherwise(g)))  # noqa: B023
-    wanted = F.array(*[F.lit(f) for f in FIELDS if f not in OPTIONAL])
-    return rows.select(*kept, F.col("_got").alias("fields"), F.array_except(wanted, F.array_compact("_got")).alias("missing"))
+    # All cores share the rows, however few files they come from; in a generator they are worked out once.
+    rows = spread(sheets).select(*kept, F.explode(F.array(F.transform(cleaned, lambda h: once(h, fits)))).alias("_fits"))
+
+    def claim(taken: Column, field: str) -> Column:
+        """``taken``: for each field the place of its heading from 1, 0 without; a field more."""
+        free = F.transform("_fits", lambda b, i: (b.bitwiseAND(F.lit(bits[field])) != 0) & ~F.array_contains(taken, (i + 1).cast("int")))
+        return F.concat(taken, F.array(F.array_position(free, True).cast("int")))
+
+    got = F.array().cast("array<int>")
+    for field in FIELDS:
+        got = once(got, lambda taken: claim(taken, field))  # noqa: B023
+    rows = rows.withColumn("_got", F.explode(F.array(got)))
+    names = F.array(*[F.lit(f) for f in FIELDS])
+    found = F.transform("_fits", lambda b, i: once(F.array_position("_got", (i + 1).cast("int")).cast("int"), lambda at: F.when(at > 0, F.get(names, at - 1))))
+    missing = F.array_compact(F.array(*[F.when(F.get("_got", F.lit(i)) == 0, F.lit(f)) for i, f in enumerate(FIELDS) if f not in OPTIONAL]))
+    return rows.select(*kept, found.alias("fields"), missing.alias("missing"))
 
 
 def sheet_columns(mapping: list[tuple[str, str | None]], extra: dict[str, str] | None = None) -> list[Column]:

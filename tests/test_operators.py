@@ -334,3 +334,13 @@ def test_readers_are_tried_again_and_replaced(spark):
     df = spark.createDataFrame([("b", 0, b"x", "p:"), ("b", 1, b"day", "p:"), ("b", 2, b"bad", "p:")], "board_id string, batch int, content binary, prompt string")
     got = [(r.batch, r.text, r.error) for r in read_batches(df, reader, other, attempts=2, pause=0.0).orderBy("batch").collect()]
     assert got == [(0, "p:x", None), (1, "other day", None), (2, None, "no")]
+
+
+def test_headings_are_tried_once_for_each_field(spark):
+    heads = [["Rank", "search rank", None, "Day 2", "Score", "score"], [], None, ["Name", "In Game", "Clan", "#", "when"]]
+    found = sheet.guess_fields_of(spark.createDataFrame(list(enumerate(heads)), "id long, headings array<string>"))
+    for r in found.collect():
+        want = sheet.guess_fields(heads[r.id])
+        assert r.fields == [f for _, f in want] and r.missing == sheet.unmapped(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("rlike") == len(sheet.FIELDS)
