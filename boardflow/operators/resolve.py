@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from boardflow.functions.similarity import NEAR_LETTERS, claim_plausible, deletion_keys, within_one_edit
 from boardflow.functions.text import EXOTIC, alias_key, exoticness, fold, symbols, usable
-from boardflow.operators.alike import alike_pairs, loose_pairs, near_symbol_pairs, one_letter_best
+from boardflow.operators.alike import alike_pairs, best_of_all, loose_pairs, near_symbol_pairs, one_letter_best
 from boardflow.operators.hold import hold, meet
 
 # Tiers; within the ladder of one reading, rungs.
@@ -44,7 +44,7 @@ def roster_forms(roster: DataFrame) -> DataFrame:
 def first_hit(left: DataFrame, forms: DataFrame, on: str) -> DataFrame:
     """Rows of ``left`` with the first roster entry whose key is equal (hash lookup)."""
     first = forms.where(F.col(on) != "").groupBy(on).agg(F.min_by("roster_id", "ix_pos").alias("roster_id"))
-    return left.join(first, on)
+    return meet(left, first, on)
 
 
 def sole_owner(forms: DataFrame, on: str) -> DataFrame:
@@ -63,7 +63,7 @@ def near_names(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFr
     left = readings.where((F.char_length("key") >= NEAR_LETTERS) & (F.col("exotic") >= EXOTIC)).select(*keys, "key", F.explode(deletion_keys(F.col("key"))).alias("cut"))
     right = forms.where(F.char_length("key") >= NEAR_LETTERS).select("roster_id", F.col("key").alias("form_key")).distinct()
     right = right.withColumn("cut", F.explode(deletion_keys(F.col("form_key"))))
-    return _sole(left.join(right, "cut").where(within_one_edit(F.col("key"), F.col("form_key"))), keys)
+    return _sole(meet(left, right, "cut").where(within_one_edit(F.col("key"), F.col("form_key"))), keys)
 
 
 def near_symbols(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,7 +75,9 @@ def near_symbols(readings: DataFrame, forms: DataFrame, keys: list[str]) -> Data
 
 
 #: Names leave as soon as the best of what is this much alike is known; so few are left for the weaker filters.
-ROUNDS, LOOSE_ROUNDS = (0.9, 0.75, 0.5), (0.35, 0.0)
+ROUNDS, LOOSE_ROUNDS = (0.9, 0.85, 0.75, 0.5), (0.35, 0.0)
+#: Names and forms of no more pairs than this are compared outright; so the smaller side has 16,384 rows at most.
+OUTRIGHT = 1 << 28
 
 
 def most_similar(readings: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,14 +85,19 @@ def most_similar(readings: DataFrame, forms: DataFrame, keys: list[str]) -> Data
 
     Of equals the first reading, then the first roster form. Names are looked up
     in rounds, each with a lower bar: one whose best form is above the bar is
-    done. Forms of less than half a name are found by letters in order, and the
+    done. As soon as the pairs of what is left are few, they are compared outright.
+    Forms of less than half a name are found by letters in order, and the
     last ones by a single letter and its place.
     """
     left = readings.where("key != ''").select(*keys, "pos", "key")
     right = forms.where("key != ''").groupBy(F.col("key").alias("form_key")).agg(F.min_by("roster_id", "ix_pos").alias("roster_id"), F.min("ix_pos").alias("ix_pos"))
     right, todo, done = hold(right), hold(left.select("key").distinct()), []
+    n_forms = right.count()
     for least in ROUNDS + LOOSE_ROUNDS:
-        if todo.isEmpty():
+        n = todo.count()
+        if n * n_forms <= OUTRIGHT:
+            if n * n_forms:
+                done.append(hold(best_of_all(todo, n, right, n_forms)))
             break
         pairs = alike_pairs(todo, right, least) if least in ROUNDS else loose_pairs(todo, right, least)
         best = pairs.select("key", F.struct("s", (-F.col("ix_pos")).alias("back"), "roster_id").alias("b"))
@@ -98,12 +105,12 @@ def most_similar(readings: DataFrame, forms: DataFrame, keys: list[str]) -> Data
             best = best.unionByName(one_letter_best(todo, right).select("key", F.struct("s", "back", "roster_id").alias("b")))
         done.append(hold(best.groupBy("key").agg(F.max("b").alias("b")).select("key", "b.*")))
         if least != LOOSE_ROUNDS[-1]:
-            todo = hold(todo.join(done[-1], "key", "left_anti"))
+            todo = hold(meet(todo, done[-1], "key", "left_anti"))
     found = right.select(F.col("form_key").alias("key"), F.lit(1.0).alias("s"), (-F.col("ix_pos")).alias("back"), "roster_id").limit(0)
     for part in done:
         found = found.unionByName(part)
     top = F.max_by(F.struct("roster_id", "s"), F.struct("s", -F.col("pos"), "back"))
-    return left.join(found, "key").groupBy(*keys).agg(top.alias("b")).select(*keys, "b.roster_id", F.col("b.s").alias("near_score"))
+    return meet(left, found, "key").groupBy(*keys).agg(top.alias("b")).select(*keys, "b.roster_id", F.col("b.s").alias("near_score"))
 
 
 def resolve(rows: DataFrame, roster: DataFrame, aliases: DataFrame | None = None, keys: tuple[str, ...] = ("board_id", "gid")) -> DataFrame:
@@ -134,33 +141,33 @@ def resolve(rows: DataFrame, roster: DataFrame, aliases: DataFrame | None = None
     signs = first_hit(readings.where("shown != ''"), forms.where("key = ''"), "shown")
     near, near_signs = near_names(readings, forms, [*ids, "pos"]), near_symbols(readings, forms, [*ids, "pos"])
     claims = rows.select(*ids, F.posexplode("claims").alias("claim_pos", "claim")).where("claim != ''")
-    claimed = claims.withColumn("fold", fold(F.col("claim"))).join(first, "fold").select(*ids, "claim_pos", F.coalesce("sole_id", "first_id").alias("roster_id"))
+    claimed = meet(claims.withColumn("fold", fold(F.col("claim"))), first, "fold").select(*ids, "claim_pos", F.coalesce("sole_id", "first_id").alias("roster_id"))
     shapes = forms.select("roster_id", F.col("key").alias("f_key"), F.col("shown").alias("f_shown"), F.col("exotic").alias("f_exotic"))
     plausible = claim_plausible(*[F.col(c) for c in ("key", "shown", "exotic", "f_key", "f_shown", "f_exotic")])
     pos = F.col("pos")
     hits = (
-        hit(readings.join(first.where("sole_id is not null"), "fold").withColumnRenamed("sole_id", "roster_id"), FOLD, pos)
-        .unionByName(hit(claimed.join(shapes, "roster_id").join(readings, ids).where(plausible), CLAIM, F.col("claim_pos")))
-        .unionByName(hit(readings.where("key != ''").drop("fold").withColumnRenamed("key", "fold").join(first, "fold").withColumnRenamed("first_id", "roster_id"), LADDER, pos, FIRST))
+        hit(meet(readings, first.where("sole_id is not null"), "fold").withColumnRenamed("sole_id", "roster_id"), FOLD, pos)
+        .unionByName(hit(meet(meet(claimed, shapes, "roster_id"), readings, ids).where(plausible), CLAIM, F.col("claim_pos")))
+        .unionByName(hit(readings.where("key != ''").drop("fold").withColumnRenamed("key", "fold").transform(meet, first, "fold").withColumnRenamed("first_id", "roster_id"), LADDER, pos, FIRST))
         .unionByName(hit(signs, LADDER, pos, SYMBOL))
         .unionByName(hit(near, LADDER, pos, NEAR))
         .unionByName(hit(near_signs, LADDER, pos, NEAR_SYMBOL))
     )
     if aliases is not None:
         given = aliases.groupBy("alias_key").agg(F.max(F.struct("name", "alliance")).alias("alias")).select(F.col("alias_key").alias("any"), "alias.*")
-        given = given.withColumn("fold", fold(F.col("name"))).join(first, "fold", "left").select("any", "name", "alliance", F.coalesce("sole_id", "first_id").alias("roster_id"))
+        given = meet(given.withColumn("fold", fold(F.col("name"))), first, "fold", "left").select("any", "name", "alliance", F.coalesce("sole_id", "first_id").alias("roster_id"))
         own = rows.select(*ids, F.posexplode(F.array(F.when(F.coalesce("plain", F.lit("")) != "", F.col("plain")).otherwise(F.col("name")), F.col("name"))).alias("pos", "reading"))
-        own = own.withColumn("any", alias_key(F.col("reading"))).where("any != ''").join(given, "any")
+        own = meet(own.withColumn("any", alias_key(F.col("reading"))).where("any != ''"), given, "any")
         # Of the row's two names the first that has a correction counts, on the roster or not.
         own = own.groupBy(*ids).agg(F.min_by("roster_id", "pos").alias("roster_id")).where("roster_id is not null")
         free = lambda c: F.when(F.col("roster_id").isNull(), F.coalesce(c, F.lit("")))
-        of_readings = readings.where("any != ''").join(given, "any")
+        of_readings = meet(readings.where("any != ''"), given, "any")
         hits = hits.unionByName(hit(own, ALIAS, F.lit(0))).unionByName(hit(of_readings, LADDER, pos, FREE, free(F.col("name")), free(F.col("alliance"))))
     found = hold(hits.groupBy(*ids).agg(F.min("hit").alias("hit"))).select(*ids, "hit.tier", "hit.rung", "hit.roster_id", "hit.free", "hit.free_alliance")
 
-    suggested = most_similar(readings.join(found, ids, "left_anti"), forms, ids).withColumnRenamed("roster_id", "near_id")
+    suggested = most_similar(meet(readings, found, ids, "left_anti"), forms, ids).withColumnRenamed("roster_id", "near_id")
     names = roster.select("roster_id", "search", "ingame", "alliance")
-    out = rows.join(found, ids, "left").join(names, "roster_id", "left").join(suggested, ids, "left")
+    out = meet(meet(meet(rows, found, ids, "left"), names, "roster_id", "left"), suggested, ids, "left")
     word = lambda words, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), F.col(c))
     out = out.withColumn("via", F.coalesce(F.when(F.col("tier") == LADDER, word(RUNG_VIA, "rung")).otherwise(word(VIA, "tier")), F.lit("")))
     out = out.withColumns({"search": F.coalesce("search", "free"), "ingame": F.coalesce("ingame", "free"), "alliance": F.coalesce("alliance", "free_alliance")})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boardflow.operators.alike import alike_pairs, loose_pairs, near_symbol_pairs, probe_keys, segment_keys
 from boardflow.operators import leaders
+from boardflow.operators import resolve as resolving
 from boardflow.operators.resolve import most_similar, near_symbols
 
 
@@ -155,3 +156,26 @@ def test_names_alike_follow_the_first_one_at_once(spark, monkeypatch):
     got = leaders.first_leaders(items, ["board", "points"], "key", "seq", 0.6)
     assert {(r.board, r.leader) for r in got.collect()} == {(1, 110), (2, 210)}
     assert got.count() == len(rows)
+
+
+@pytest.mark.parametrize(("n", "m"), [(40, 90), (90, 40)])
+def test_few_pairs_are_compared_outright(spark, monkeypatch, n, m):
+    def none(*_, **__):
+        raise AssertionError("few pairs need no rounds")
+
+    monkeypatch.setattr(resolving, "alike_pairs", none)
+    names, forms = made(15, n, "abcdefgh"), made(16, m, "abcdefgh")
+    left = spark.createDataFrame([(g, 0, x) for g, x in enumerate(names)], "g long, pos int, key string")
+    right = spark.createDataFrame([(i, i, y) for i, y in enumerate(forms)], "roster_id long, ix_pos long, key string")
+    want = {g: max((likeness(x, y), -i) for i, y in enumerate(forms)) for g, x in enumerate(names)}
+    got = {r.g: (r.roster_id, round(r.near_score, 9)) for r in most_similar(left, right, ["g"]).collect()}
+    assert got == {g: (-back, round(s, 9)) for g, (s, back) in want.items() if s > 0}
+
+
+def test_rounds_find_what_outright_comparison_finds(spark, monkeypatch):
+    names, forms = made(17, 150, "abcdefghijkl0123"), made(18, 150, "abcdefghijkl0123")
+    left = spark.createDataFrame([(g, 0, x) for g, x in enumerate(names)], "g long, pos int, key string")
+    right = spark.createDataFrame([(i, i, y) for i, y in enumerate(forms)], "roster_id long, ix_pos long, key string")
+    outright = sorted(map(tuple, most_similar(left, right, ["g"]).collect()))
+    monkeypatch.setattr(resolving, "OUTRIGHT", 0)
+    assert sorted(map(tuple, most_similar(left, right, ["g"]).collect())) == outright
