@@ -179,3 +179,12 @@ def test_rounds_find_what_outright_comparison_finds(spark, monkeypatch):
     outright = sorted(map(tuple, most_similar(left, right, ["g"]).collect()))
     monkeypatch.setattr(resolving, "OUTRIGHT", 0)
     assert sorted(map(tuple, most_similar(left, right, ["g"]).collect())) == outright
+
+
+def test_near_names_never_gather_their_cuts(spark):
+    left = spark.createDataFrame([(1, "abcde", 1.0)], "g long, key string, exotic double")
+    right = spark.createDataFrame([(7, "abcdf")], "roster_id long, key string")
+    out = resolving.near_names(left, right, ["g"])
+    assert [r.roster_id for r in out.collect()] == [7]
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
