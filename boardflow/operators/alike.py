@@ -18,9 +18,10 @@ Letters count as rare by a fixed order; any order gives the same pairs.
 
 from __future__ import annotations
 
-from math import comb, floor
+from itertools import combinations
+from math import ceil, comb, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardflow.functions.similarity import similarity, symbol_cap, symbols_near
@@ -51,28 +52,52 @@ def _kept_letters(c: str, n: str) -> str:
     return f"if({size} < {n}, array(), aggregate(sequence(1, {size}), array(''), (acc, i) -> array_distinct(filter({more}, a -> char_length(a) <= {n} and char_length(a) >= i - {size} + {n}))))"
 
 
-def alike_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str, ...] = ()) -> DataFrame:
+def _cuts(spark: SparkSession, rows: list[tuple[int, int, int, int]], own: str, most_gone: int) -> DataFrame:
+    """``own``, the other columns of ``rows`` (own length, _m, _most, letters to leave out) and all choices of places to leave out, one each row."""
+    places = "".join(f", _d{i} int" for i in range(most_gone))
+    found = [(n, m, most, *cut, *([n + 1] * (most_gone - gone))) for n, m, most, gone in rows for cut in combinations(range(1, n + 1), gone)]
+    return spark.createDataFrame(found, f"{own} int, _m int, _most int{places}")
+
+
+def _without(c: str, n: int) -> Column:
+    """A name without the letters at the places ``_d0`` to ``_d{n - 1}``, which rise and may lie past its end."""
+    starts = [F.lit(1), *[F.col(f"_d{i}") + 1 for i in range(n)]]
+    ends = [*[F.col(f"_d{i}") for i in range(n)], F.char_length(c) + 1]
+    return F.concat(*[F.substring(F.col(c), start, end - start) for start, end in zip(starts, ends)])
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, least: float, on: tuple[str, ...] = (), sizes: set[int] | None = None) -> DataFrame:
     """All pairs of distinct rows of ``left`` (``on``, key, others) and ``right`` (``on``, form_key, others) with equal ``on`` and similarity ``least`` (0.5 or more): both's columns and ``s``.
 
-    Keys are not empty. A pair comes once.
+    Keys are not empty. A pair comes once. ``sizes``: all lengths that keys have, if they are known.
     """
     if not 0.5 <= least <= 1:
         raise ValueError("letter pairs are sure to be shared only by names that are at least half alike")
     edits = lambda n: f"cast(floor((1 - {least}) * ({n}) + {SLACK}) as int)"
+    k = lambda n: floor((1 - least) * n + SLACK)
     # By the longer length of a pair: names of few choices of kept letters meet on those, the others on letter pairs.
-    short = [n for n in range(1, 65) if comb(n, floor((1 - least) * n + SLACK)) <= KEPT_KEYS]
+    short = [n for n in range(1, 65) if comb(n, k(n)) <= KEPT_KEYS]
     is_short = F.greatest("_n", "_m").isin(short)
+    low, high = (lambda n: ceil(least * n - SLACK)), (lambda n: floor(n / least + SLACK))
     lengths = lambda n: f"sequence(cast(ceil({least} * {n} - {SLACK}) as int), cast(floor({n} / {least} + {SLACK}) as int))"
     a, b = spread(left, *on, "key").withColumn("_n", F.char_length("key")), spread(right, *on, "form_key").withColumn("_m", F.char_length("form_key"))
-    a = a.withColumn("_m", F.explode(F.expr(lengths("_n")))).withColumn("_most", F.greatest("_n", "_m"))
-    kept = lambda c: F.explode(F.expr(_kept_letters(c, f"(_most - {edits('_most')})")))
-    ours = a.where(is_short).withColumn("_part", kept("key")).drop("_n")
-    most = F.array_distinct(F.transform(F.expr(lengths("_m")), lambda n: F.greatest(n, "_m")))
-    theirs = b.withColumn("_most", F.explode(most)).where(F.col("_most").isin(short)).withColumn("_part", kept("form_key"))
+    met = [(n, m, max(n, m)) for n in short for m in range(max(1, low(n)), high(n) + 1) if max(n, m) in short and (sizes is None or {n, m} <= sizes)]
+    ours = [(n, m, most, n - most + k(most)) for n, m, most in met]
+    theirs = sorted({(m, m, most, m - most + k(most)) for _, m, most in met})
+    gone = max((g for *_, g in ours + theirs), default=0)
     likeness = similarity(F.col("key"), F.col("form_key"))
     columns = [*left.columns, *[c for c in right.columns if c not in on]]
-    near = meet(ours, theirs, [*on, "_m", "_most", "_part"]).select(*columns).withColumn("s", likeness).where(F.col("s") >= least).distinct()
-    a = a.where(~is_short).withColumn("_y", ranked(F.col("key"))).withColumn("_px", F.expr(f"slice({_pairs('_y')}, 1, 2 * {edits('_most')} + 1)"))
+    # Sides meet on one number, which sorts fast; what it stands for is the same in both if they are alike.
+    met_on = lambda c: F.xxhash64(*on, "_m", "_most", _without(c, gone)).alias("_part")
+    a_short = a.join(F.broadcast(_cuts(left.sparkSession, ours, "_n", gone)), "_n").select(*left.columns, met_on("key"))
+    b_short = b.join(F.broadcast(_cuts(left.sparkSession, theirs, "_of", gone).drop("_of")), "_m").select(*[F.col(c).alias(f"_on_{c}") if c in on else c for c in right.columns], met_on("form_key"))
+    near = meet(a_short, b_short, "_part")
+    for c in on:
+        near = near.where(F.col(c) == F.col(f"_on_{c}"))
+    near = near.select(*columns).withColumn("s", likeness).where(F.col("s") >= least).distinct()
+    if sizes is not None and all(max(n, m) in short for n in sizes for m in sizes if low(n) <= m <= high(n)):
+        return near
+    a = a.withColumn("_m", F.explode(F.expr(lengths("_n")))).where(~is_short).withColumn("_y", ranked(F.col("key"))).withColumn("_px", F.expr(f"slice({_pairs('_y')}, 1, 2 * {edits('greatest(_n, _m)')} + 1)"))
     a = a.select(*left.columns, "_m", "_px")
     b = b.where(F.floor(F.col("_m") / least + SLACK) >= next(n for n in range(1, 66) if n not in short)).withColumn("_y", ranked(F.col("form_key")))
     b = b.withColumn("_py", F.expr(f"slice({_pairs('_y')}, 1, 2 * {edits(f'_m / {least}')} + 1)")).drop("_y")

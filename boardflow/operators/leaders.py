@@ -18,7 +18,7 @@ from boardflow.functions.similarity import similarity
 from boardflow.operators.alike import alike_pairs
 from boardflow.operators.hold import hold, meet, release
 
-GROWTH, CUTS = 8, 14  # a block and all before it are 8 times as long as those before
+GROWTH, CUTS = 32, 9  # a block and all before it are 32 times as long as those before
 
 
 def blocks(items: DataFrame, on: list[str], seq: str, first: int) -> DataFrame:
@@ -69,11 +69,12 @@ def first_leaders(items: DataFrame, on: list[str], key: str, seq: str, least: fl
     rows = hold(meet(rows, heads, on).select(*on, "key", "seq", F.when(similarity(F.col("key"), F.col("_head")) >= least, F.col("_first")).alias("leader")))
     out = out.unionByName(rows.where("leader is not null").drop("key"))
     todo = hold(blocks(rows.where("leader is null").drop("leader"), on, "seq", first))
-    top = todo.agg(F.max("level")).first()[0]
+    top, sizes = todo.agg(F.max("level"), F.collect_set(F.char_length("key"))).first()
+    sizes = set(sizes)
     for level in range(-1 if top is None else top + 1):
         block = todo.where(F.col("level") == level).drop("level")
         theirs = block.select(*on, F.col("key").alias("form_key"), F.col("seq").alias("other"))
-        edges = hold(alike_pairs(block, theirs, least, tuple(on)).where("other < seq").select(*on, F.col("other").alias("a"), F.col("seq").alias("b")))
+        edges = hold(alike_pairs(block, theirs, least, tuple(on), sizes).where("other < seq").select(*on, F.col("other").alias("a"), F.col("seq").alias("b")))
         follow = followers(edges, on).withColumnRenamed("b", "seq")
         leads = hold(meet(block, follow, [*on, "seq"], "left_anti"))
         out = out.unionByName(leads.select(*on, "seq", F.col("seq").alias("leader")))
@@ -82,7 +83,7 @@ def first_leaders(items: DataFrame, on: list[str], key: str, seq: str, least: fl
         if level < top:
             later = todo.where(F.col("level") > level)
             heads = leads.select(*on, F.col("key").alias("form_key"), F.col("seq").alias("leader"))
-            taken = hold(alike_pairs(later.drop("level"), heads, least, tuple(on)).groupBy(*on, "seq").agg(F.min("leader").alias("leader")))
+            taken = hold(alike_pairs(later.drop("level"), heads, least, tuple(on), sizes).groupBy(*on, "seq").agg(F.min("leader").alias("leader")))
             out = out.unionByName(taken)
             todo = hold(meet(later, taken, [*on, "seq"], "left_anti"))
     return out.withColumnRenamed("seq", seq)

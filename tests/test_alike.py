@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from boardflow.operators import alike, hold, leaders
 from boardflow.operators.alike import alike_pairs, loose_pairs, near_symbol_pairs, probe_keys, segment_keys
-from boardflow.operators import leaders
 from boardflow.operators import resolve as resolving
 from boardflow.operators.resolve import most_similar, near_symbols
 
@@ -158,6 +158,25 @@ def test_names_alike_follow_the_first_one_at_once(spark, monkeypatch):
     assert got.count() == len(rows)
 
 
+def test_leaders_meet_only_on_lengths_that_occur(spark, monkeypatch):
+    """Six letters, two of which may be edited, have 15 choices of four; lengths that no name has bring none."""
+    met = []
+
+    def counted(left, right, *more):
+        met.append((left.count(), right.count()))
+        return hold.meet(left, right, *more)
+
+    monkeypatch.setattr(alike, "meet", counted)
+    names = sorted({"".join(random.Random(i).choices("0123456789abcdef", k=6)) for i in range(200)})
+    items = spark.createDataFrame([(1, x, i) for i, x in enumerate(names)], "g long, key string, seq long")
+    got = leaders.first_leaders(items, ["g"], "key", "seq", 0.6)
+    want = []
+    for i, x in enumerate(names):
+        want.append(next((j for j in range(i) if want[j] == j and likeness(x, names[j]) >= 0.6), i))
+    assert [r.leader for r in got.orderBy("seq").collect()] == want
+    assert met and max(max(m) for m in met) <= 15 * len(names)
+
+
 @pytest.mark.parametrize(("n", "m"), [(40, 90), (90, 40)])
 def test_few_pairs_are_compared_outright(spark, monkeypatch, n, m):
     def none(*_, **__):
