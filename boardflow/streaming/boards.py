@@ -1,10 +1,10 @@
 """Boards kept up to date while readings arrive.
 
-The stream's state is a number and two positions for each distinct reading of a
-board (``tally``), in Spark's state store. A micro-batch brings the tallies that
-changed, as they are now. They replace the stored ones of their boards, and
-those boards are consolidated anew. So a batch costs what its boards have of
-distinct readings, however often each was seen before.
+What is kept of a board is a number and two positions for each distinct reading
+(``tally``). A micro-batch's tallies are added to the stored ones of their
+boards, and those boards are consolidated anew. So a batch costs what its boards
+have of distinct readings, however often each was seen before, and no executor
+keeps readings in memory between batches.
 
 Tallies are stored in ``buckets`` of boards, a new generation of a bucket in
 each batch that touches it. A batch that runs twice reads the same generation
@@ -35,8 +35,8 @@ def _generations(spark: SparkSession, store: str) -> dict[int, list[tuple[int, s
     return {k: sorted(v) for k, v in found.items()}
 
 
-def update_boards(tallies: DataFrame, batch_id: int, store: str, out: str, buckets: int = BUCKETS) -> None:
-    """``tallies``: those that changed in this batch, as they are after it.
+def update_boards(tallies: DataFrame, batch_id: int, store: str, out: str, buckets: int = BUCKETS, added: bool = False) -> None:
+    """``tallies``: those that changed in this batch, as they are after it; with ``added`` those of this batch alone, which count on top of the stored ones.
 
     Generations that two later batches don't need any more are deleted: when a
     batch runs, all before it are known to have ended.
@@ -50,8 +50,8 @@ def update_boards(tallies: DataFrame, batch_id: int, store: str, out: str, bucke
     if newest:
         schema = changed.drop("bucket").schema
         both = both.unionByName(spark.read.schema(schema).parquet(*newest).withColumn("bucket", F.pmod(F.xxhash64("board_id"), F.lit(buckets)).cast("int")))
-    # Numbers only grow, so of a reading's tallies the largest is the newest.
-    now = both.groupBy("bucket", *TALLIED).agg(F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    # Numbers only grow, so of a reading's tallies that are as they are after a batch the largest is the newest.
+    now = both.groupBy("bucket", *TALLIED).agg((F.sum("n") if added else F.max("n")).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     if touched:
         now.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={batch_id}")
         stored = spark.read.schema(now.schema).parquet(f"{store}/batch={batch_id}")
@@ -68,8 +68,15 @@ def keep_boards(sightings: DataFrame, store: str, out: str, checkpoint: str, buc
 
     ``buckets`` has to stay the same for a ``store``.
     """
-    writer = tally(sightings).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
-    return writer.foreachBatch(lambda batch, i: update_boards(batch, i, store, out, buckets)).start()
+    spark = sightings.sparkSession
+
+    def take(batch: DataFrame, i: int) -> None:
+        # A stream's own session plans without adaptive execution, so its rows are taken over by the one that it was started from.
+        rows = hold(batch)
+        update_boards(tally(spark.read.schema(rows.schema).parquet(rows.held_at)), i, store, out, buckets, added=True)
+        release(rows)
+
+    return sightings.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(take).start()
 
 
 def rolling_totals(events: DataFrame, t: str, by: str, value: str, late: str = "5 minutes", width: str = "1 minute", slide: str = "10 seconds") -> DataFrame:

@@ -16,6 +16,7 @@ from boardflow.operators.ranks import fill_ranks, missing_ranks
 from boardflow.operators.resolve import drop_conflicts, most_similar, resolve
 from boardflow.plans.names import resolution_ladder
 from boardflow.sources.replies import parse_replies, read_batches, reply_status, sheet_head
+from boardflow.streaming import boards
 from boardflow.streaming.boards import keep_boards, rolling_totals, update_boards
 
 NAMES = [
@@ -100,6 +101,26 @@ def test_stream_gives_what_a_table_gives(spark, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(consolidate(rows))
 
 
+def test_batches_are_planned_adaptively_and_leave_no_state_in_executors(spark, tmp_path, monkeypatch):
+    planned = []
+
+    def seen(tallies, *more, **options):
+        planned.append(tallies.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return update_boards(tallies, *more, **options)
+
+    monkeypatch.setattr(boards, "update_boards", seen)
+    rows = sightings(spark)
+    parts = [rows, rows.withColumn("seq", F.col("seq") + 100), rows.withColumn("seq", F.col("seq") + 200)]
+    for part in parts:  # the same readings come in each, and the stream starts again
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        keep_boards(stream, str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    key = lambda df: sorted((r.name, r.points, r.seen, tuple(r.obs), r.group_pos) for r in df.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(consolidate(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    assert planned == ["true"] * 3
+    assert not (tmp_path / "check" / "state").exists()
+
+
 def test_batches_of_a_stream_run_again_and_keep_only_distinct_readings(spark, tmp_path):
     store, out = str(tmp_path / "store"), str(tmp_path / "out")
     rows = sightings(spark)
